@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colloquy.rules import DEFAULT_RULES, OTHER_CATEGORY, RuleSet
 
 
+def keyword_regex(keywords) -> str:
+    """Alternation of quoted literals: a find() of it == 'any keyword is a substring'."""
+    return "|".join("\\Q" + k + "\\E" for k in keywords)
+
+
 def any_keyword(text: Column, keywords) -> Column:
-    """True when any keyword is a substring of ``text`` (substring, not word)."""
-    return reduce(lambda a, b: a | b, [text.contains(F.lit(k)) for k in keywords])
+    """True when any keyword is a substring of ``text`` (substring, not word).
+
+    One regex per keyword set keeps the generated code small (dozens of
+    ``contains`` per row overflow the 64 KB method limit of whole-stage codegen)."""
+    return F.coalesce(text.rlike(keyword_regex(keywords)), F.lit(False))
 
 
 def call_type(title: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -23,7 +29,7 @@ def call_type(title: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
             .otherwise(F.lit("internal")))
 
 
-def _title_level(title: Column, rules: RuleSet) -> Column:
+def title_level(title: Column, rules: RuleSet) -> Column:
     t = F.coalesce(title, F.lit(""))
     out = None
     for pattern, cat in rules.title_patterns:
@@ -32,7 +38,7 @@ def _title_level(title: Column, rules: RuleSet) -> Column:
     return out
 
 
-def _taxonomy_level(text: Column, rules: RuleSet) -> Column:
+def taxonomy_level(text: Column, rules: RuleSet) -> Column:
     out = None
     for cat, kws in rules.taxonomy:
         cond = any_keyword(text, kws)
@@ -40,38 +46,38 @@ def _taxonomy_level(text: Column, rules: RuleSet) -> Column:
     return out
 
 
-def _primary_topic(topics: Column) -> Column:
+def primary_topic(topics: Column) -> Column:
     return F.lower(F.coalesce(F.get(topics, 0), F.lit("")))
 
 
-def _all_topics(topics: Column) -> Column:
+def all_topics(topics: Column) -> Column:
     return F.lower(F.array_join(F.coalesce(topics, F.array().cast("array<string>")), " "))
 
 
 def category(title: Column, topics: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """3-level classifier: title regex, then first topic, then all topics, else 'Other'."""
-    return F.coalesce(_title_level(title, rules),
-                      _taxonomy_level(_primary_topic(topics), rules),
-                      _taxonomy_level(_all_topics(topics), rules),
+    return F.coalesce(title_level(title, rules),
+                      taxonomy_level(primary_topic(topics), rules),
+                      taxonomy_level(all_topics(topics), rules),
                       F.lit(OTHER_CATEGORY))
 
 
 def category_level(title: Column, topics: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """Which level decided the category: 1, 2, 3 or 0 (none -> 'Other')."""
-    return (F.when(_title_level(title, rules).isNotNull(), F.lit(1))
-            .when(_taxonomy_level(_primary_topic(topics), rules).isNotNull(), F.lit(2))
-            .when(_taxonomy_level(_all_topics(topics), rules).isNotNull(), F.lit(3))
+    return (F.when(title_level(title, rules).isNotNull(), F.lit(1))
+            .when(taxonomy_level(primary_topic(topics), rules).isNotNull(), F.lit(2))
+            .when(taxonomy_level(all_topics(topics), rules).isNotNull(), F.lit(3))
             .otherwise(F.lit(0)))
 
 
 def l3_category(topics: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """Single-level classifier over all topics joined (keywords only)."""
-    return F.coalesce(_taxonomy_level(_all_topics(topics), rules), F.lit(OTHER_CATEGORY))
+    return F.coalesce(taxonomy_level(all_topics(topics), rules), F.lit(OTHER_CATEGORY))
 
 
 def topic_categories(topics: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """Struct(primary, all): every matching category in taxonomy order, or ['Other']."""
-    text = _all_topics(topics)
+    text = all_topics(topics)
     hits = F.filter(F.array(*[F.when(any_keyword(text, kws), F.lit(cat)) for cat, kws in rules.taxonomy]),
                     lambda x: x.isNotNull())
     all_cats = F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(OTHER_CATEGORY)))

@@ -35,10 +35,13 @@ def _issue(sev: str, word: Column, key_moments: Column) -> Column:
     return F.when(word.isNotNull(), F.struct(title.alias("title"), F.lit(sev).alias("severity"), itype.alias("type")))
 
 
-def extract_issues(summary: Column, key_moments: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    """array<struct<title,severity,type>> following the stop rule."""
-    text = combined_text(summary, key_moments)
-    words = {sev: _first_word(text, ws) for sev, ws in rules.severity_words}
+def first_words(text: Column, rules: RuleSet = DEFAULT_RULES) -> dict:
+    """severity -> first word of its list found in ``text`` (NULL when none)."""
+    return {sev: _first_word(text, ws) for sev, ws in rules.severity_words}
+
+
+def issues_from_words(words: dict, key_moments: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """Apply the stop rule: the first pager severity found alone, else every other hit."""
     issues = {sev: _issue(sev, words[sev], key_moments) for sev, _ in rules.severity_words}
     out = None
     rest = []
@@ -53,11 +56,19 @@ def extract_issues(summary: Column, key_moments: Column, rules: RuleSet = DEFAUL
     return out.otherwise(tail) if out is not None else tail
 
 
-def top_severity(summary: Column, key_moments: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    """Highest severity whose words occur, or NULL."""
-    text = combined_text(summary, key_moments)
+def severity_from_words(words: dict, rules: RuleSet = DEFAULT_RULES) -> Column:
     out = None
-    for sev, ws in rules.severity_words:
-        cond = _first_word(text, ws).isNotNull()
+    for sev, _ in rules.severity_words:
+        cond = words[sev].isNotNull()
         out = F.when(cond, F.lit(sev)) if out is None else out.when(cond, F.lit(sev))
     return out
+
+
+def extract_issues(summary: Column, key_moments: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """array<struct<title,severity,type>> following the stop rule."""
+    return issues_from_words(first_words(combined_text(summary, key_moments), rules), key_moments, rules)
+
+
+def top_severity(summary: Column, key_moments: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """Highest severity whose words occur, or NULL."""
+    return severity_from_words(first_words(combined_text(summary, key_moments), rules), rules)

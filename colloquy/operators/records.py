@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import accounts, classify, flags, issues, routing, sentiment
-from colloquy.rules import DEFAULT_RULES, SUMMARY_MAX_CHARS, RuleSet
+from colloquy.rules import DEFAULT_RULES, OTHER_CATEGORY, SUMMARY_MAX_CHARS, RuleSet
 from colloquy.sources.meetings import meetings_raw
 
 RECORD_COLUMNS = ["meeting_id", "title", "call_type", "category", "sentiment_score", "sentiment_label",
@@ -19,30 +19,44 @@ RECORD_COLUMNS = ["meeting_id", "title", "call_type", "category", "sentiment_sco
 
 
 def enrich(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Adds every derived per-meeting column (records fields + notebook fields)."""
-    m = meetings
-    df = m.withColumns({
+    """Adds every derived per-meeting column (records fields + notebook fields).
+
+    Staged so each rule chain is evaluated once per row; intermediate columns
+    start with an underscore and are dropped at the end."""
+    sev = [s for s, _ in rules.severity_words]
+    df = meetings.withColumns({
         "call_type": classify.call_type(F.col("title"), rules),
-        "category": classify.category(F.col("title"), F.col("topics"), rules),
-        "category_level": classify.category_level(F.col("title"), F.col("topics"), rules),
-        "topic_category": classify.topic_categories(F.col("topics"), rules)["primary"],
-        "l3_category": classify.l3_category(F.col("topics"), rules),
-        "issues": issues.extract_issues(F.col("summary"), F.col("key_moments"), rules),
-        "severity": issues.top_severity(F.col("summary"), F.col("key_moments"), rules),
+        "_l1": classify.title_level(F.col("title"), rules),
+        "_l2": classify.taxonomy_level(classify.primary_topic(F.col("topics")), rules),
+        "_l3": classify.taxonomy_level(classify.all_topics(F.col("topics")), rules),
+        "_topic": classify.topic_categories(F.col("topics"), rules),
+        "_ctext": issues.combined_text(F.col("summary"), F.col("key_moments")),
         "month": F.date_format(F.col("start_time"), "yyyy-MM"),
         "score_h": sentiment.hundredths(F.col("sentiment_score")),
     })
-    s = sentiment.sentiment_columns(F.col("call_type"), F.col("sentiment_score"), rules)
-    df = df.withColumns({"baseline": s["baseline"], "z_score": s["z_score"], "is_anomaly": s["is_anomaly"],
-                         "n_issues": F.size("issues")})
+    words = issues.first_words(F.col("_ctext"), rules)
+    df = df.withColumns({
+        "category": F.coalesce("_l1", "_l2", "_l3", F.lit(OTHER_CATEGORY)),
+        "category_level": (F.when(F.col("_l1").isNotNull(), F.lit(1)).when(F.col("_l2").isNotNull(), F.lit(2))
+                           .when(F.col("_l3").isNotNull(), F.lit(3)).otherwise(F.lit(0))),
+        "l3_category": F.coalesce("_l3", F.lit(OTHER_CATEGORY)),
+        "topic_category": F.col("_topic")["primary"],
+        "topic_categories_all": F.array_join(F.col("_topic")["all"], "|"),
+        **{f"_w_{s}": words[s] for s in sev},
+    })
+    wcols = {s: F.col(f"_w_{s}") for s in sev}
+    s_cols = sentiment.sentiment_columns(F.col("call_type"), F.col("sentiment_score"), rules)
+    df = df.withColumns({
+        "issues": issues.issues_from_words(wcols, F.col("key_moments"), rules),
+        "severity": issues.severity_from_words(wcols, rules),
+        "baseline": s_cols["baseline"], "z_score": s_cols["z_score"], "is_anomaly": s_cols["is_anomaly"],
+    })
+    df = df.withColumn("n_issues", F.size("issues"))
     r = routing.route(F.col("category"), F.col("severity"), F.col("sentiment_score"), F.col("is_anomaly"), rules)
-    return df.withColumns({
-        "escalation_team": r["team"],
-        "escalation_priority": r["priority"],
-        "has_pagerduty": r["pagerduty"],
-        "requires_escalation": r["requires_escalation"],
-        "notebook_team": routing.notebook_team(F.col("category"), F.col("severity"), F.col("sentiment_score"),
-                                               F.col("is_anomaly"), rules),
+    df = df.withColumns({"escalation_team": r["team"], "escalation_priority": r["priority"],
+                         "has_pagerduty": r["pagerduty"], "requires_escalation": r["requires_escalation"]})
+    df = df.withColumns({
+        "notebook_team": F.when(F.col("is_anomaly") | F.col("has_pagerduty"), F.col("escalation_team")),
         "account_name": accounts.account_name(F.col("title"), F.col("call_type"), rules),
         "title_account": accounts.account_from_title(F.col("title"), rules),
         "company": accounts.company(F.col("title"), F.col("call_type")),
@@ -59,6 +73,7 @@ def enrich(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
         "processed_at": F.col("start_time"),
         "processed_bucket": F.lit("processed"),
     })
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
 def enriched(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:

@@ -141,6 +141,7 @@ e1 AS (
     coalesce({l1}, {l2}, {l3}, {q(OTHER_CATEGORY)}) AS category,
     CASE WHEN {l1} IS NOT NULL THEN 1 WHEN {l2} IS NOT NULL THEN 2 WHEN {l3} IS NOT NULL THEN 3 ELSE 0 END AS category_level,
     coalesce({topic_hits}[1], {q(OTHER_CATEGORY)}) AS topic_category,
+    CASE WHEN len({topic_hits}) > 0 THEN array_to_string({topic_hits}, '|') ELSE {q(OTHER_CATEGORY)} END AS topic_categories_all,
     coalesce({l3}, {q(OTHER_CATEGORY)}) AS l3_category,
     {ctext} AS ctext,
     strftime(start_time, '%Y-%m') AS month,
