@@ -1 +1,162 @@
-"""placeholder"""
+"""Text operators: redaction (D-01..D-03, E-03), BM25 (D-24, D-29, D-30, T-04), transcripts (D-31)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from colloquy.operators import conversations as C
+from colloquy.operators import redaction as RD
+from colloquy.operators import search as S
+from colloquy.operators.records import enriched
+from colloquy.plans import register
+from colloquy.plans.sqlgen import enriched_ctes, q, with_enriched
+from colloquy.rules import DEFAULT_RULES, SEARCH_B, SEARCH_K1
+from colloquy.sources.tables import table
+
+DOC_QUERY = "the stupid worthless data"
+RECORD_QUERY = "outage engineering dashboard down"
+
+
+# --- DuckDB rendering of the redaction chain --------------------------------------------------
+def _duck_pattern(etype: str, pattern: str) -> str:
+    # RE2 has no lookahead: the e-mail pattern drops its vendor lookaheads and the
+    # vendor domains are filtered from the extracted matches instead.
+    if etype == "EMAIL":
+        pattern = pattern.replace(r"(?!aegiscloud\.com)(?!aegis\.com)", "")
+    return "(?i)" + pattern
+
+
+def _vendor_filter(m: str) -> str:
+    doms = DEFAULT_RULES.vendor_email_domains
+    cond = " AND ".join(f"NOT starts_with(lower(split_part(x, '@', 2)), {q(d)})" for d in doms)
+    return f"list_filter({m}, lambda x: {cond})"
+
+
+def redaction_ctes(source: str, id_col: str, text_col: str) -> str:
+    ctes = [f"r0 AS (SELECT {id_col} AS source_id, {text_col} AS t0, 0 AS n0 FROM {source})"]
+    for i, (etype, pattern) in enumerate(DEFAULT_RULES.pii_patterns, start=1):
+        m = f"regexp_extract_all(t{i-1}, {q(_duck_pattern(etype, pattern))}, 0)"
+        if etype == "EMAIL":
+            m = _vendor_filter(m)
+        ph = f"concat({q('[' + etype + '_')}, substr(md5(lower(x)), 1, 6), ']')"
+        ctes.append(f"""r{i}m AS (SELECT *, {m} AS m{i} FROM r{i-1}),
+r{i} AS (SELECT *, CASE WHEN m{i} IS NULL THEN t{i-1}
+                        ELSE list_reduce(list_prepend(t{i-1}, m{i}), lambda acc, x: replace(acc, x, {ph})) END AS t{i},
+                   n{i-1} + coalesce(len(m{i}), 0) AS n{i} FROM r{i}m)""")
+    return ",\n".join(ctes)
+
+
+_NP = len(DEFAULT_RULES.pii_patterns)
+_MATCH_ROWS = " UNION ALL ".join(
+    f"SELECT source_id, {i} AS pidx, unnest(m{i}) AS original, generate_subscripts(m{i}, 1) AS pos, {q(e)} AS entity_type FROM r{_NP}"
+    for i, (e, _) in enumerate(DEFAULT_RULES.pii_patterns, start=1))
+
+register("d01_redact_documents", f"WITH {redaction_ctes('documents', 'doc_id', 'text')} "
+         f"SELECT source_id AS doc_id, t{_NP} AS redacted_text, CAST(n{_NP} AS INTEGER) AS n_redacted FROM r{_NP}")(
+    lambda spark, sf: RD.redact_column(table(spark, sf, "documents").select("doc_id", "text"), "text", out="redacted_text")
+    .select("doc_id", "redacted_text", "n_redacted"))
+
+_MATCHES_CTE = (f"matches AS (SELECT *, concat('[', entity_type, '_', substr(md5(lower(original)), 1, 6), ']') AS placeholder "
+                f"FROM ({_MATCH_ROWS}))")
+register("d03_pii_vault", f"WITH {redaction_ctes('documents', 'doc_id', 'text')}, {_MATCHES_CTE} "
+         "SELECT placeholder, arg_max(original, {'s': source_id, 'p': pidx, 'q': pos}) AS original, "
+         "arg_max(entity_type, {'s': source_id, 'p': pidx, 'q': pos}) AS entity_type, "
+         "arg_max(source_id, {'s': source_id, 'p': pidx, 'q': pos}) AS source_id, count(*) AS n_matches "
+         "FROM matches GROUP BY placeholder")(
+    lambda spark, sf: RD.pii_vault(RD.match_rows(table(spark, sf, "documents"), "doc_id", "text")))
+register("d03b_pii_matches", f"WITH {redaction_ctes('documents', 'doc_id', 'text')}, {_MATCHES_CTE} "
+         "SELECT source_id, pidx, CAST(pos AS INTEGER) AS pos, entity_type, original, placeholder FROM matches")(
+    lambda spark, sf: RD.match_rows(table(spark, sf, "documents"), "doc_id", "text"))
+register("e03_redaction_leak_check", f"WITH {redaction_ctes('documents', 'doc_id', 'text')}, {_MATCHES_CTE} "
+         f"SELECT m.source_id, m.original FROM matches m JOIN r{_NP} r ON r.source_id = m.source_id "
+         f"WHERE contains(r.t{_NP}, m.original)")(
+    lambda spark, sf: RD.leak_check(table(spark, sf, "documents"), "doc_id", "text"))
+register("d02_redact_meeting_record")(  # nested struct/array leaves: rows-only check
+    lambda spark, sf: RD.redact_record(enriched(spark, sf).select("meeting_id", "title", "summary", "attendees",
+                                                                  "topics", "key_moments", "action_items"),
+                                       ["title", "summary", "attendees", "topics", "key_moments", "action_items"]))
+
+
+# --- BM25 ----------------------------------------------------------------------------------------
+def _bm25_sql(docs_sql: str, query: str, k: int | None) -> str:
+    terms = S.query_terms(query)
+    qrows = " UNION ALL ".join(f"SELECT {q(t)} AS term, {n} AS qn" for t, n in terms.items())
+    tok = r"[\p{L}\p{N}_]+"
+    qlist = "[" + ", ".join(q(t) for t in terms) + "]::VARCHAR[]"
+    body = f"""WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(txt, '')), '{tok}', 0) AS tokens FROM ({docs_sql})),
+stats AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS avgdl FROM docs),
+qt AS ({qrows}),
+hits AS (SELECT doc_id, dl, term, count(*) AS tf FROM (
+           SELECT doc_id, len(tokens) AS dl, unnest(list_filter(tokens, lambda t: list_contains({qlist}, t))) AS term FROM docs)
+         GROUP BY doc_id, dl, term),
+dft AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
+scores AS (
+  SELECT h.doc_id, sum(qt.qn * ln((stats.n_docs - dft.df + 0.5) / (dft.df + 0.5) + 1.0) * (h.tf * {SEARCH_K1 + 1})
+                       / (h.tf + {SEARCH_K1} * ({1 - SEARCH_B} + {SEARCH_B} * h.dl / stats.avgdl))) AS score
+  FROM hits h JOIN dft USING (term) JOIN qt USING (term), stats GROUP BY h.doc_id)
+"""
+    if k is None:
+        return body + "SELECT doc_id, score FROM scores"
+    return body + (f"SELECT doc_id, floor(score * 1000000 + 0.5) / 1000000 AS score FROM scores WHERE score > 0 "
+                   f"ORDER BY score DESC, doc_id LIMIT {min(max(1, k), 20)}")
+
+
+def _docs_top(spark, sf, k):
+    d = table(spark, sf, "documents")
+    return S.top_k(S.bm25(d, "doc_id", F.col("text"), DOC_QUERY), "doc_id", k)
+
+
+register("d29_bm25_documents_top5", _bm25_sql("SELECT doc_id, text AS txt FROM documents", DOC_QUERY, 5))(
+    lambda spark, sf: _docs_top(spark, sf, 5))
+register("t04_bm25_documents_top20", _bm25_sql("SELECT doc_id, text AS txt FROM documents", DOC_QUERY, 20))(
+    lambda spark, sf: _docs_top(spark, sf, 20))
+register("d29b_bm25_documents_scores",
+         "SELECT doc_id, floor(score * 1000000 + 0.5) / 1000000 AS score FROM ("
+         + _bm25_sql("SELECT doc_id, text AS txt FROM documents", DOC_QUERY, None) + ")")(
+    lambda spark, sf: S.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), DOC_QUERY)
+    .select("doc_id", (F.floor(F.col("score") * 1_000_000 + 0.5) / 1_000_000).alias("score")))
+
+_ISSUES3 = "array_to_string(list_transform(issues[1:3], lambda i: coalesce(i.title, '')), ' ')"
+_CHAT_DOC = ("concat_ws(' ', nullif(title, ''), nullif(account_name, ''), nullif(call_type, ''), nullif(category, ''), "
+             f"nullif(sentiment_label, ''), nullif(escalation_team, ''), nullif(escalation_priority, ''), nullif({_ISSUES3}, ''))")
+_SERVER_DOC = ("concat_ws(' ', nullif(title, ''), nullif(call_type, ''), nullif(category, ''), nullif(sentiment_label, ''), "
+               f"nullif({_ISSUES3}, ''))")
+register("d24_search_document", with_enriched(f"SELECT meeting_id, {_CHAT_DOC} AS chat_doc, {_SERVER_DOC} AS server_doc FROM enriched"))(
+    lambda spark, sf: enriched(spark, sf).select("meeting_id", S.record_doc("chat").alias("chat_doc"),
+                                                 S.record_doc("server").alias("server_doc")))
+
+
+def _records_top(spark, sf, version, k):
+    e = enriched(spark, sf)
+    return S.top_k(S.bm25(e, "meeting_id", S.record_doc(version), RECORD_QUERY), "meeting_id", k) \
+        .withColumnRenamed("meeting_id", "doc_id")
+
+
+def _records_bm25_sql(doc_sql: str, k: int) -> str:
+    body = _bm25_sql("SELECT doc_id, txt FROM src", RECORD_QUERY, k)
+    assert body.startswith("WITH ")
+    return (f"WITH {enriched_ctes()},\nsrc AS (SELECT meeting_id AS doc_id, {doc_sql} AS txt FROM enriched),\n"
+            + body[len("WITH "):])
+
+
+register("t04b_bm25_records_chat_top5", _records_bm25_sql(_CHAT_DOC, 5))(
+    lambda spark, sf: _records_top(spark, sf, "chat", 5))
+register("t04c_bm25_records_server_top20", _records_bm25_sql(_SERVER_DOC, 20))(
+    lambda spark, sf: _records_top(spark, sf, "server", 20))
+register("d25_context_blocks")(  # text blocks for the retrieved records: rows-only check
+    lambda spark, sf: S.context_block(
+        enriched(spark, sf).join(_records_top(spark, sf, "chat", 5).withColumnRenamed("doc_id", "meeting_id"), "meeting_id")))
+
+# --- D-30 tokenizer, D-31 transcript metrics ----------------------------------------------------
+register("d30_tokenize_counts", r"""
+SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+', 0)) AS INTEGER) AS n_tokens,
+       CAST(len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+', 0))) AS INTEGER) AS n_distinct
+FROM documents""")(lambda spark, sf: table(spark, sf, "documents").select(
+    "doc_id", F.size(S.tokens(F.col("text"))).alias("n_tokens"),
+    F.size(F.array_distinct(S.tokens(F.col("text")))).alias("n_distinct")))
+register("d31_transcript_metrics", r"""
+SELECT conv_id, count(*) AS n_turns,
+       CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+', 0))) AS BIGINT) AS n_words,
+       CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[.!?]+', 0))) AS BIGINT) AS n_sentences,
+       count(DISTINCT role) AS n_speakers, count_if(role = 'user') AS user_turns, count_if(role = 'assistant') AS assistant_turns
+FROM conversations GROUP BY conv_id""")(lambda spark, sf: C.transcript_metrics(table(spark, sf, "conversations")))
