@@ -76,10 +76,19 @@ def enrich(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
-def enriched(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+def build_enriched(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """The full write path from the driver tables (no materialisation)."""
     return enrich(meetings_raw(spark, sf_dir), rules)
 
 
+def enriched(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Enriched meetings as the stored (gold) table: built once per input fingerprint and
+    rule set, then every report scans parquet (column pruning + row-group skipping)."""
+    from colloquy.operators.gold import gold_table
+    return gold_table(spark, "enriched", [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "lineitem")],
+                      repr(rules), lambda: build_enriched(spark, sf_dir, rules), sort_by=["call_type", "month"])
+
+
 def records(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES, extra: list | None = None) -> DataFrame:
     """The stored record (18 fields) plus any requested enriched columns."""
     return enriched(spark, sf_dir, rules).select(*RECORD_COLUMNS, *(extra or []))

@@ -109,7 +109,7 @@ def key_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``row_number() <= 5`` is planned with a partial WindowGroupLimit before the
     shuffle, so even an order holding a large share of all lines ships at most
     five rows per map partition."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *MOMENT_ORDER)
+    li = table(spark, sf_dir, "lineitem", key="l_orderkey").select("l_orderkey", *MOMENT_ORDER)
     w = Window.partitionBy("l_orderkey").orderBy(*MOMENT_ORDER)
     ranked = li.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 5)
     moment = F.struct(F.col("rn"),
@@ -123,7 +123,7 @@ def key_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meetings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """meetings_raw schema plus ``k`` (order key), ``account`` (c_name), ``segment``."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = table(spark, sf_dir, "orders", key="o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     km = key_moments(spark, sf_dir)
     k = F.col("o_orderkey")
