@@ -56,7 +56,8 @@ def redact_record(df: DataFrame, columns: list | None = None, rules: RuleSet = D
         v, n = _redact_value(F.col(c), schema[c], rules)
         out[c] = v
         total = total + n
-    return df.withColumns(out).withColumn(count_col, total)
+    # One projection: the count must be taken from the original values.
+    return df.withColumns({**out, count_col: total})
 
 
 def match_rows(df: DataFrame, id_col: str, column: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
