@@ -53,7 +53,10 @@ def to_meetings_raw(info: DataFrame, summary: DataFrame) -> DataFrame:
     i = info.select("meeting_id", "title", F.col("startTime").alias("start_raw"),
                     F.coalesce("durationMinutes", "duration").alias("duration_min"),
                     F.coalesce("attendees", "allEmails", F.array().cast("array<string>")).alias("attendees"),
-                    F.col("_corrupt_record").alias("info_corrupt"))
+                    # PERMISSIVE parsing leaves every field NULL on a corrupt record; naming real
+                    # columns here also keeps the scan from reading only the corrupt column.
+                    (F.col("_corrupt_record").isNotNull() & F.col("title").isNull()
+                     & F.col("startTime").isNull()).alias("info_corrupt"))
     s = summary.select("meeting_id", F.col("sentimentScore").alias("sentiment_score"),
                        F.col("overallSentiment").alias("sentiment_label"), "topics",
                        F.col("summary"), F.col("keyMoments").alias("key_moments"),
@@ -77,5 +80,5 @@ def read_meetings(spark: SparkSession, root: str) -> tuple:
     info = read_part(spark, root, "meeting-info", INFO_SCHEMA)
     summary = read_part(spark, root, "summary", SUMMARY_SCHEMA)
     m = to_meetings_raw(info, summary)
-    bad = F.col("info_corrupt").isNotNull() | F.col("meeting_id").isNull() | (F.col("meeting_id") == "")
+    bad = F.col("info_corrupt") | F.col("meeting_id").isNull() | (F.col("meeting_id") == "")
     return m.filter(~bad).drop("info_corrupt"), m.filter(bad)

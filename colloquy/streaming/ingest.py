@@ -50,7 +50,7 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, records_path: str,
     # Ids of this micro-batch only (bounded by maxFilesPerTrigger).
     ids = [r["meeting_id"] for r in batch.select("meeting_id").where(F.col("meeting_id").isNotNull()).collect()]
     m = to_meetings_raw(batch, _summaries_for(spark, root, ids))
-    bad = F.col("info_corrupt").isNotNull() | F.col("meeting_id").isNull()
+    bad = F.col("info_corrupt") | F.col("meeting_id").isNull()
     m.filter(bad).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine_path)
     good = enrich(m.filter(~bad).drop("info_corrupt")).select(*RECORD_COLUMNS)
     try:
