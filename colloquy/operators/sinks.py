@@ -122,3 +122,22 @@ def lineage_events(enriched: DataFrame, stage: str, ts, status: str = "complete"
     """Lineage rows (meeting_id, stage, timestamp, status, n_pii_redacted)."""
     return enriched.select("meeting_id", F.lit(stage).alias("stage"), ts.alias("timestamp"),
                            F.lit(status).alias("status"))
+
+
+def write_sanitized(parts: DataFrame, path: str) -> None:
+    """S-07: the redacted meeting document (all parts, every string leaf redacted) as
+    JSON lines, one per meeting, appended batch by batch (no per-meeting folders: one
+    tiny file per meeting would not scale)."""
+    from colloquy.operators.redaction import redact_record
+    cols = [c for c in parts.columns if c != "meeting_id"]
+    redact_record(parts, cols).write.mode("append").json(path)
+
+
+def append_feedback(accepted: DataFrame, path: str) -> None:
+    """S-11: append the accepted (error-free) submissions to the feedback log."""
+    accepted.filter(F.col("error").isNull()).drop("error").write.mode("append").parquet(path)
+
+
+def error_counters(quarantine: DataFrame, stage: str = "ingestion") -> DataFrame:
+    """S-16: rejected rows per stage."""
+    return quarantine.select(F.lit(stage).alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("errors"))

@@ -160,3 +160,8 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[.!?]+', 0))) AS BIGINT) AS n_sentences,
        count(DISTINCT role) AS n_speakers, count_if(role = 'user') AS user_turns, count_if(role = 'assistant') AS assistant_turns
 FROM conversations GROUP BY conv_id""")(lambda spark, sf: C.transcript_metrics(table(spark, sf, "conversations")))
+
+# --- D-26 briefing (rows-only: a text document as line rows) -------------------------------------
+from colloquy.operators.briefing import briefing_lines  # noqa: E402
+
+register("d26_briefing_lines")(lambda spark, sf: briefing_lines(enriched(spark, sf)))

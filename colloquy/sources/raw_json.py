@@ -36,9 +36,20 @@ def meeting_id_from_path(path: Column, root_depth: int | None = None) -> Column:
     return F.when(F.size(parts) >= 2, F.element_at(parts, -2)).otherwise(path)
 
 
+def has_files(spark: SparkSession, pattern: str) -> bool:
+    """Does the glob match anything (any Hadoop file system)?"""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return st is not None and len(st) > 0
+
+
 def read_part(spark: SparkSession, root: str, part: str, schema: T.StructType | None = None,
               streaming: bool = False) -> DataFrame:
-    """One part for every meeting: ``root/*/<part>.json`` (prefix + suffix filter as a glob)."""
+    """One part for every meeting: ``root/*/<part>.json`` (prefix + suffix filter as a glob).
+    A part absent for every meeting reads as an empty table."""
+    if not streaming and schema is not None and not has_files(spark, f"{root.rstrip('/')}/*/{part}.json"):
+        return spark.createDataFrame([], schema).withColumn("meeting_id", F.lit(None).cast("string"))
     reader = spark.readStream if streaming else spark.read
     r = reader.option("multiLine", "true").option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record")
@@ -82,3 +93,25 @@ def read_meetings(spark: SparkSession, root: str) -> tuple:
     m = to_meetings_raw(info, summary)
     bad = F.col("info_corrupt") | F.col("meeting_id").isNull() | (F.col("meeting_id") == "")
     return m.filter(~bad).drop("info_corrupt"), m.filter(bad)
+
+
+def read_all_parts(spark: SparkSession, root: str) -> DataFrame:
+    """J-01: every meeting's six parts as one row.  meeting-info and summary are parsed
+    with their schemas; transcript, speaker-meta, speakers and events (whose fields the
+    pipeline never reads) stay as their raw JSON text.  All parts join on the id, left
+    outer from meeting-info, so a missing part is NULL."""
+    info = read_part(spark, root, "meeting-info", INFO_SCHEMA)
+    summary = read_part(spark, root, "summary", SUMMARY_SCHEMA)
+    out = info.select("meeting_id", F.struct(*[c for c in INFO_SCHEMA.fieldNames() if c != "_corrupt_record"]).alias("meeting_info"))
+    out = out.join(summary.select("meeting_id", F.struct(*[c for c in SUMMARY_SCHEMA.fieldNames()
+                                                           if c != "_corrupt_record"]).alias("summary")),
+                   "meeting_id", "left")
+    for part in ("transcript", "speaker-meta", "speakers", "events"):
+        if not has_files(spark, f"{root.rstrip('/')}/*/{part}.json"):
+            out = out.withColumn(part.replace("-", "_"), F.lit(None).cast("string"))
+            continue
+        raw = (spark.read.option("wholetext", "true").text(f"{root.rstrip('/')}/*/{part}.json")
+               .select(meeting_id_from_path(F.col("_metadata.file_path")).alias("meeting_id"),
+                       F.col("value").alias(part.replace("-", "_"))))
+        out = out.join(raw, "meeting_id", "left")
+    return out
