@@ -1,11 +1,11 @@
 """BM25 keyword search over a text column.
 
-Plan: tokens per document stay inside their row (``regexp_extract_all``); only
-tokens equal to a query term are exploded, so the shuffle carries
-(doc, term) pairs for the query terms, not the whole corpus.  Corpus-wide N and
-average length come from one global aggregate (one row, map-side combined);
-document frequencies are grouped per query term (bounded by the query length)
-and broadcast.
+Plan: tokens per document stay inside their row (``regexp_extract_all``).
+Pass 1 is one global aggregate giving N, the average length and the document
+frequency of every query term (one row, width bounded by the query).  Pass 2
+explodes only tokens equal to a query term, so the shuffle carries
+(doc, term) pairs for the query terms, never the whole corpus; the per-term idf
+weights are literals in that plan.
 """
 
 from __future__ import annotations
@@ -31,33 +31,42 @@ def query_terms(query: str) -> Counter:
     return Counter(re.findall(r"\w+", query.lower()))
 
 
-def corpus_stats(docs: DataFrame) -> tuple:
-    """(N, avgdl) — one aggregate row."""
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    return int(row["n"]), float(row["avgdl"] or 0.0)
+def corpus_stats(docs: DataFrame, terms: list) -> tuple:
+    """(N, avgdl, {term: df}) in ONE aggregate pass over the corpus: a single row whose
+    width is bounded by the number of query terms (map-side combined)."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")]
+    aggs += [F.count_if(F.array_contains("tokens", F.lit(t))).alias(f"df{i}") for i, t in enumerate(terms)]
+    row = docs.agg(*aggs).first()
+    return int(row["n"]), float(row["avgdl"] or 0.0), {t: int(row[f"df{i}"]) for i, t in enumerate(terms)}
 
 
 def bm25(df: DataFrame, id_col: str, text: Column, query: str, k1: float = SEARCH_K1, b: float = SEARCH_B) -> DataFrame:
-    """Score every document with at least one query term: (id, score)."""
+    """Score every document with at least one query term: (id, score).
+
+    Two passes over the text: the corpus statistics (one aggregate row) and the
+    scoring pass, where only tokens equal to a query term are exploded and the
+    per-term constants are literals in the plan (no join, no broadcast)."""
     q = query_terms(query)
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens"))
-    n_docs, avgdl = corpus_stats(docs)
-    if not q or n_docs == 0:
-        return spark.createDataFrame([], "doc_id string, score double").select(F.col("doc_id").alias(id_col), "score")
     terms = list(q)
+    if not terms:
+        return spark.createDataFrame([], "doc_id string, score double").select(F.col("doc_id").alias(id_col), "score")
+    n_docs, avgdl, dfs = corpus_stats(docs, terms)
+    if n_docs == 0:
+        return spark.createDataFrame([], "doc_id string, score double").select(F.col("doc_id").alias(id_col), "score")
+    # weight(term) = query count * idf(term), a literal per term
+    weight = None
+    for t in terms:
+        d = dfs[t]
+        w = F.lit(q[t]) * F.log(F.lit((n_docs - d + 0.5) / (d + 0.5)) + F.lit(1.0))
+        weight = F.when(F.col("term") == t, w) if weight is None else weight.when(F.col("term") == t, w)
     hits = (docs.select("doc_id", F.size("tokens").alias("dl"),
                         F.explode(F.filter("tokens", lambda t: t.isin(*terms))).alias("term"))
             .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df_terms = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qdf = spark.createDataFrame(list(q.items()), "term string, qn long")
-    idf = F.log((F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
-    contrib = F.col("qn") * idf * (F.col("tf") * F.lit(k1 + 1)) / norm
-    # df_terms and qdf have at most len(terms) rows: a proven bound, so broadcast.
-    return (hits.join(F.broadcast(df_terms), "term").join(F.broadcast(qdf), "term")
-            .groupBy("doc_id").agg(F.sum(contrib).alias("score"))
-            .select(F.col("doc_id").alias(id_col), "score"))
+    contrib = weight * (F.col("tf") * F.lit(k1 + 1)) / norm
+    return hits.groupBy("doc_id").agg(F.sum(contrib).alias("score")).select(F.col("doc_id").alias(id_col), "score")
 
 
 def top_k(scores: DataFrame, id_col: str, k: int = SEARCH_TOP_K) -> DataFrame:
