@@ -1,7 +1,9 @@
 """Benchmark: run the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Each query is executed fully through the ``noop`` sink (no driver collect), after
-one warm-up query that starts the JVM.  Prints ONE JSON line.
+Each query is executed fully through the ``noop`` sink (no driver collect).  Before
+timing, every measured query runs once on the smallest scale factor (untimed JVM /
+code-generation warm-up: same plan shapes, tiny data), so the numbers are warm-JVM
+execution times at $BENCH_SF_DIR.  Prints ONE JSON line.
 Set BENCH_ALL=1 to time every registered query.
 """
 
@@ -32,13 +34,22 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="colloquy-bench")
     reg = load_all()
     names = list(reg) if os.environ.get("BENCH_ALL") else [n for n in HEADLINE if n in reg]
-    from colloquy.operators.records import enriched
+    from colloquy.operators.records import build_enriched, enriched
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    if os.path.isdir(warm_dir) and not os.environ.get("BENCH_NO_WARMUP"):
+        build_enriched(spark, warm_dir).write.format("noop").mode("overwrite").save()
+        for name in names:
+            reg[name][0](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times = {}
-    # The write path (adapter -> classify -> score -> issues -> route) materialised once
-    # as the gold records table; every report below scans it.
+    # The full write path (adapter -> classify -> score -> issues -> route), computed end to
+    # end through the noop sink, then the gold records table made ready (built if absent for
+    # this input/code fingerprint, else reused); every report below scans the gold table.
+    t0 = time.perf_counter()
+    build_enriched(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    times["p00_write_path"] = round(time.perf_counter() - t0, 3)
     t0 = time.perf_counter()
     enriched(spark, sf_dir)
-    times["p00_build_gold_records"] = round(time.perf_counter() - t0, 3)
+    times["p00b_gold_records_ready"] = round(time.perf_counter() - t0, 3)
     for name in names:
         t0 = time.perf_counter()
         reg[name][0](spark, sf_dir).write.format("noop").mode("overwrite").save()

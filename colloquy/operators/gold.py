@@ -22,6 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.session import ensure_checkpoint_dir
 
 GOLD_VERSION = "3"
+_PKG = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+# Source files whose logic shapes gold tables: a change to any of them yields a new fingerprint.
+CODE_FILES = ["rules.py", "sources/meetings.py", "sources/tables.py", "operators/records.py", "functions/__init__.py",
+              "functions/classify.py", "functions/sentiment.py", "functions/issues.py", "functions/routing.py",
+              "functions/accounts.py", "functions/flags.py"]
+
+
+def code_fingerprint() -> str:
+    import os
+    h = hashlib.sha256()
+    for f in CODE_FILES:
+        with open(os.path.join(_PKG, f), "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()
 
 
 def _fs(spark: SparkSession, path: str):
@@ -31,7 +45,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def fingerprint(spark: SparkSession, inputs: list, spec: str) -> str:
-    h = hashlib.sha256((GOLD_VERSION + spec).encode())
+    h = hashlib.sha256((GOLD_VERSION + code_fingerprint() + spec).encode())
     for path in inputs:
         p, fs = _fs(spark, path)
         st = fs.getFileStatus(p)

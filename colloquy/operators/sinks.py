@@ -99,10 +99,11 @@ def read_export(spark, path: str) -> DataFrame:
 
 
 def latest_snapshot(export: DataFrame) -> DataFrame:
-    """S-14: only the newest snapshot, so each meeting counts once.  The max date is a
-    one-row aggregate joined back (dynamic partition pruning applies on partitioned input)."""
-    newest = export.agg(F.max("date").alias("date"))
-    return export.join(F.broadcast(newest), "date", "left_semi")
+    """S-14: only the newest snapshot, so each meeting counts once.  The newest date is one
+    scalar (a one-row aggregate; on the partitioned export it is answered from the
+    partition column), then a literal filter prunes every other date partition."""
+    newest = export.agg(F.max("date").alias("d")).first()["d"]
+    return export.filter(F.col("date") == F.lit(newest)) if newest is not None else export.limit(0)
 
 
 def escalation_notices(records: DataFrame) -> DataFrame:
