@@ -8,20 +8,19 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
 
     A scan with fewer splits than the cluster's parallelism (one small file, one
     row group) would run every per-row expression in one task.  Such scans are
-    spread with a hash repartition on ``key`` (the table's join/group key) into
-    ``spark.sql.shuffle.partitions`` partitions, so the following window /
-    aggregate / join on the same key reuses that partitioning instead of adding
-    an exchange.  Large inputs already have enough splits and are left alone."""
+    spread round-robin (not by key: a key holding a third of the rows would land
+    in one partition before any partial aggregate or WindowGroupLimit could cut
+    it down).  Large inputs already have enough splits and are left alone."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     want = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, key) if key else df.repartition(max(n, want))
+        df = df.repartition(max(n, want))
     return df
