@@ -174,8 +174,10 @@ def first_n_per_group(e: DataFrame, group: str, n: int = 3, order: str = "meetin
                       cols: tuple = ("meeting_id", "title")) -> DataFrame:
     """row_number() <= n per group; planned as WindowGroupLimit (partial limit before the shuffle)."""
     w = Window.partitionBy(group).orderBy(order)
-    return (e.select(group, *[c for c in cols if c != group])
-            .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n))
+    keep = [group] + [c for c in cols if c != group]
+    out = (e.select(*keep, *([order] if order not in keep else []))
+           .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n))
+    return out.select(*keep, "rn")
 
 
 # --- A-12 .. A-14 monthly statistics -------------------------------------------------------------
