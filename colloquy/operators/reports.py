@@ -177,7 +177,7 @@ def first_n_per_group(e: DataFrame, group: str, n: int = 3, order: str = "meetin
     keep = [group] + [c for c in cols if c != group]
     out = (e.select(*keep, *([order] if order not in keep else []))
            .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n))
-    return out.select(*keep, "rn")
+    return out.select(*keep, F.col("rn").cast("bigint").alias("rn"))
 
 
 # --- A-12 .. A-14 monthly statistics -------------------------------------------------------------

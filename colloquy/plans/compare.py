@@ -45,6 +45,17 @@ def canon(columns, rows):
     return cols, out
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+                 "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "smallint": "SMALLINT",
+                 "float": "FLOAT"}
+
+
+def type_mismatches(sdf, rel) -> list:
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return [(c, s_types[c], d_types.get(c)) for c in s_types if d_types.get(c) != s_types[c]]
+
+
 def duck(sf_dir: str):
     import duckdb
     con = duckdb.connect()
@@ -87,7 +98,8 @@ def run(sf_dir: str, names=None, spark=None):
                 bad = next(i for i in range(len(sr)) if sr[i] != dr[i])
                 status = f"VALUES first diff spark={sr[bad]} duck={dr[bad]}"
             else:
-                status = "OK"
+                tm = type_mismatches(sdf, rel)
+                status = "OK" if not tm else f"OK-TYPES {tm}"
             results[name] = (status, len(sr), round(t1 - t0, 2), round(t2 - t1, 2))
         except Exception as e:  # report and continue
             results[name] = ("ERROR " + str(e).split("\n")[0][:300],)

@@ -49,7 +49,7 @@ FROM enriched"""), lambda spark, sf: R.kpis(enriched(spark, sf)))
 def _domain_sql(column: str, domain: list, name: str) -> str:
     dom = " UNION ALL ".join(f"SELECT {q(v)} AS {name}, {i} AS ord" for i, v in enumerate(domain))
     return with_enriched(f"""
-SELECT {name}, n, {rt("n * 100", "sum(n) OVER ()", 1)} AS pct, sum(n) OVER () AS total
+SELECT {name}, n, {rt("n * 100", "sum(n) OVER ()", 1)} AS pct, CAST(sum(n) OVER () AS BIGINT) AS total
 FROM (SELECT d.{name}, coalesce(c.n, 0) AS n FROM ({dom}) d
       LEFT JOIN (SELECT {column} AS {name}, count(*) AS n FROM enriched GROUP BY 1) c ON c.{name} = d.{name})""")
 
@@ -240,7 +240,7 @@ _reg("a21_escalations_by_team", with_enriched("""
 SELECT escalation_team AS team, escalation_priority AS priority, count(*) AS n FROM enriched
 WHERE escalation_priority IN ('p0', 'p1') GROUP BY 1, 2"""), lambda spark, sf: R.escalations_by_team(enriched(spark, sf)))
 _reg("a22_score_histogram", with_enriched("""
-SELECT v.call_type, CASE WHEN hi = lo THEN 1 ELSE least(floor((score_h - lo) * 12 / (hi - lo)), 11) + 1 END AS bin, count(*) AS n
+SELECT v.call_type, CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((score_h - lo) * 12 / (hi - lo)), 11) + 1 END AS BIGINT) AS bin, count(*) AS n
 FROM enriched v JOIN (SELECT call_type, min(score_h) AS lo, max(score_h) AS hi FROM enriched WHERE score_h > 0 GROUP BY call_type) e
   ON e.call_type = v.call_type
 WHERE score_h > 0 GROUP BY 1, 2"""), lambda spark, sf: R.score_histogram(enriched(spark, sf)))
