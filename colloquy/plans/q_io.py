@@ -268,3 +268,65 @@ FROM enriched e LEFT JOIN latest l ON l.meeting_id = e.meeting_id""", _FEEDBACK_
     lambda spark, sf: FB.apply_corrections(
         enriched(spark, sf).select("meeting_id", "category", "call_type", "sentiment_label"),
         FB.latest_corrections(_accepted(spark, sf))))
+
+
+# --- S-02 / S-03: ids from object keys, trigger-file filter; J-01: six-part key join -------------
+from colloquy.sources.raw_json import PARTS, meeting_id_from_path  # noqa: E402
+
+
+def object_keys(e: DataFrame) -> DataFrame:
+    """Every meeting's six raw part keys plus its processed output key (derived from the data)."""
+    keys = F.array(*[F.concat(F.lit("raw/"), F.col("meeting_id"), F.lit(f"/{p}.json")) for p in PARTS],
+                   F.concat(F.lit("processed/"), F.col("meeting_id"), F.lit("/sanitized.json")))
+    return e.select(F.explode(keys).alias("key"))
+
+
+def trigger_ids(spark, sf):
+    """S-03 prefix + suffix filter (raw/ ... meeting-info.json), then S-02 id from the key."""
+    k = object_keys(enriched(spark, sf))
+    trig = k.filter(F.col("key").startswith("raw/") & F.col("key").endswith("meeting-info.json"))
+    return trig.select("key", meeting_id_from_path(F.col("key")).alias("meeting_id"))
+
+
+_KEYS_SQL = ("keys AS (SELECT unnest([" + ", ".join(f"concat('raw/', meeting_id, '/{p}.json')" for p in PARTS)
+             + ", concat('processed/', meeting_id, '/sanitized.json')]) AS key FROM enriched)")
+register("s03_trigger_key_filter", with_enriched("""
+SELECT key, CASE WHEN len(string_split(key, '/')) >= 2 THEN string_split(key, '/')[-2] ELSE key END AS meeting_id
+FROM keys WHERE starts_with(key, 'raw/') AND ends_with(key, 'meeting-info.json')""", _KEYS_SQL))(trigger_ids)
+register("s02_meeting_id_from_key", with_enriched("""
+SELECT key, CASE WHEN len(string_split(key, '/')) >= 2 THEN string_split(key, '/')[-2] ELSE key END AS meeting_id
+FROM keys""", _KEYS_SQL))(
+    lambda spark, sf: object_keys(enriched(spark, sf)).select("key", meeting_id_from_path(F.col("key")).alias("meeting_id")))
+
+
+def six_part_join(spark, sf):
+    """J-01: six per-meeting parts joined 1:1 on the id, left outer from meeting-info; a part
+    missing for a meeting is NULL.  Parts are derived from the data (a part exists when the
+    meeting has the content it would hold)."""
+    e = enriched(spark, sf)
+    info = e.select("meeting_id", "title")
+    parts = {
+        "summary": e.filter(F.col("sentiment_score").isNotNull()).select("meeting_id", F.col("summary_short").alias("summary")),
+        "transcript": e.filter(F.col("n_key_moments") > 0).select("meeting_id", F.col("n_key_moments").alias("transcript")),
+        "speaker_meta": e.filter(F.col("n_attendees") > 1).select("meeting_id", F.col("n_attendees").alias("speaker_meta")),
+        "speakers": e.filter(F.col("n_attendees") > 2).select("meeting_id", F.col("account").alias("speakers")),
+        "events": e.filter(F.col("n_actions") > 0).select("meeting_id", F.col("n_actions").alias("events")),
+    }
+    j = info
+    for p in parts.values():
+        j = j.join(p, "meeting_id", "left")
+    loaded = sum((F.col(c).isNotNull().cast("int") for c in parts), F.lit(1))
+    return j.select("meeting_id", *[F.col(c).isNotNull().alias(f"has_{c}") for c in parts], loaded.alias("files_loaded"))
+
+
+register("j01_six_part_join", with_enriched("""
+SELECT i.meeting_id, s.meeting_id IS NOT NULL AS has_summary, t.meeting_id IS NOT NULL AS has_transcript,
+       m.meeting_id IS NOT NULL AS has_speaker_meta, p.meeting_id IS NOT NULL AS has_speakers, v.meeting_id IS NOT NULL AS has_events,
+       1 + CAST(s.meeting_id IS NOT NULL AS INTEGER) + CAST(t.meeting_id IS NOT NULL AS INTEGER) + CAST(m.meeting_id IS NOT NULL AS INTEGER)
+         + CAST(p.meeting_id IS NOT NULL AS INTEGER) + CAST(v.meeting_id IS NOT NULL AS INTEGER) AS files_loaded
+FROM enriched i
+LEFT JOIN (SELECT meeting_id FROM enriched WHERE sentiment_score IS NOT NULL) s ON s.meeting_id = i.meeting_id
+LEFT JOIN (SELECT meeting_id FROM enriched WHERE n_key_moments > 0) t ON t.meeting_id = i.meeting_id
+LEFT JOIN (SELECT meeting_id FROM enriched WHERE n_attendees > 1) m ON m.meeting_id = i.meeting_id
+LEFT JOIN (SELECT meeting_id FROM enriched WHERE n_attendees > 2) p ON p.meeting_id = i.meeting_id
+LEFT JOIN (SELECT meeting_id FROM enriched WHERE n_actions > 0) v ON v.meeting_id = i.meeting_id"""))(six_part_join)
