@@ -1,8 +1,8 @@
 """Adapter: driver tables (orders, customer, lineitem) -> ``meetings_raw``.
 
 One meeting per order, built deterministically from keys so that the same
-definition can be written in SQL for the DuckDB oracle (see plans/oracle.py,
-which renders these very templates).  K = o_orderkey, C = c_name.
+definition can be written in SQL for the DuckDB oracle (plans/sqlgen.py renders
+these very templates).  K = o_orderkey, C = c_name.
 """
 
 from __future__ import annotations

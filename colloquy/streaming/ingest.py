@@ -16,8 +16,6 @@ so a restarted query resumes after executor or driver loss.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +32,20 @@ def meeting_info_stream(spark: SparkSession, root: str, max_files_per_trigger: i
             .withColumn("meeting_id", meeting_id_from_path(F.col("_metadata.file_path"))))
 
 
+def _existing(spark: SparkSession, paths: list) -> list:
+    """Paths that exist, via the Hadoop FileSystem API (any store); bounded by the batch size."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        jp = jvm.org.apache.hadoop.fs.Path(p)
+        if jp.getFileSystem(conf).exists(jp):
+            out.append(p)
+    return out
+
+
 def _summaries_for(spark: SparkSession, root: str, ids: list) -> DataFrame:
-    paths = [f"{root.rstrip('/')}/{i}/summary.json" for i in ids]
-    existing = [p for p in paths if os.path.exists(p)] if not root.startswith(("s3", "gs", "abfs", "hdfs")) else paths
+    existing = _existing(spark, [f"{root.rstrip('/')}/{i}/summary.json" for i in ids])
     if not existing:
         return spark.createDataFrame([], SUMMARY_SCHEMA).withColumn("meeting_id", F.lit(None).cast("string"))
     return (spark.read.schema(SUMMARY_SCHEMA).option("multiLine", "true").json(existing)
