@@ -18,61 +18,82 @@ RECORD_COLUMNS = ["meeting_id", "title", "call_type", "category", "sentiment_sco
                   "has_pagerduty", "processed_at", "processed_bucket", "account_name", "feature_gap", "month"]
 
 
-def enrich(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Adds every derived per-meeting column (records fields + notebook fields).
+_EXPR_CACHE: dict = {}
 
-    Staged so each rule chain is evaluated once per row; intermediate columns
-    start with an underscore and are dropped at the end."""
+
+def _stages(rules: RuleSet, spark: SparkSession) -> list:
+    """The enrichment as a list of column dicts, one per projection stage.
+
+    Expressions are unresolved Columns, independent of any DataFrame, so they are built
+    once per (rule set, SparkContext) and reused: assembling the rule chains costs
+    thousands of driver-to-JVM calls."""
+    key = (repr(rules), id(spark.sparkContext._jsc))
+    if key in _EXPR_CACHE:
+        return _EXPR_CACHE[key]
     sev = [s for s, _ in rules.severity_words]
-    df = meetings.withColumns({
-        "call_type": classify.call_type(F.col("title"), rules),
-        "_l1": classify.title_level(F.col("title"), rules),
-        "_l2": classify.taxonomy_level(classify.primary_topic(F.col("topics")), rules),
-        "_l3": classify.taxonomy_level(classify.all_topics(F.col("topics")), rules),
-        "_topic": classify.topic_categories(F.col("topics"), rules),
-        "_ctext": issues.combined_text(F.col("summary"), F.col("key_moments")),
-        "month": F.date_format(F.col("start_time"), "yyyy-MM"),
-        "score_h": sentiment.hundredths(F.col("sentiment_score")),
-    })
     words = issues.first_words(F.col("_ctext"), rules)
-    df = df.withColumns({
-        "category": F.coalesce("_l1", "_l2", "_l3", F.lit(OTHER_CATEGORY)),
-        "category_level": (F.when(F.col("_l1").isNotNull(), F.lit(1)).when(F.col("_l2").isNotNull(), F.lit(2))
-                           .when(F.col("_l3").isNotNull(), F.lit(3)).otherwise(F.lit(0))),
-        "l3_category": F.coalesce("_l3", F.lit(OTHER_CATEGORY)),
-        "topic_category": F.col("_topic")["primary"],
-        "topic_categories_all": F.array_join(F.col("_topic")["all"], "|"),
-        **{f"_w_{s}": words[s] for s in sev},
-    })
     wcols = {s: F.col(f"_w_{s}") for s in sev}
     s_cols = sentiment.sentiment_columns(F.col("call_type"), F.col("sentiment_score"), rules)
-    df = df.withColumns({
-        "issues": issues.issues_from_words(wcols, F.col("key_moments"), rules),
-        "severity": issues.severity_from_words(wcols, rules),
-        "baseline": s_cols["baseline"], "z_score": s_cols["z_score"], "is_anomaly": s_cols["is_anomaly"],
-    })
-    df = df.withColumn("n_issues", F.size("issues"))
     r = routing.route(F.col("category"), F.col("severity"), F.col("sentiment_score"), F.col("is_anomaly"), rules)
-    df = df.withColumns({"escalation_team": r["team"], "escalation_priority": r["priority"],
-                         "has_pagerduty": r["pagerduty"], "requires_escalation": r["requires_escalation"]})
-    df = df.withColumns({
-        "notebook_team": F.when(F.col("is_anomaly") | F.col("has_pagerduty"), F.col("escalation_team")),
-        "account_name": accounts.account_name(F.col("title"), F.col("call_type"), rules),
-        "title_account": accounts.account_from_title(F.col("title"), rules),
-        "company": accounts.company(F.col("title"), F.col("call_type")),
-        "company_simple": accounts.company_simple(F.col("title")),
-        "feature_gap": flags.feature_gap_rule(F.col("category"), F.col("title"), F.col("issues"), rules),
-        "has_churn_signal": flags.has_moment(F.col("key_moments"), "churn_signal"),
-        "has_feature_gap": flags.has_moment(F.col("key_moments"), "feature_gap"),
-        "has_praise": flags.has_moment(F.col("key_moments"), "praise"),
-        "outage_related": flags.outage_related(F.col("title"), F.col("topics"), rules),
-        "n_attendees": F.size(F.coalesce("attendees", F.array().cast("array<string>"))),
-        "n_key_moments": F.size("key_moments"),
-        "n_actions": F.size(F.coalesce("action_items", F.array().cast("array<string>"))),
-        "summary_short": F.substring(F.coalesce("summary", F.lit("")), 1, SUMMARY_MAX_CHARS),
-        "processed_at": F.col("start_time"),
-        "processed_bucket": F.lit("processed"),
-    })
+    stages = [
+        {
+            "call_type": classify.call_type(F.col("title"), rules),
+            "_l1": classify.title_level(F.col("title"), rules),
+            "_l2": classify.taxonomy_level(classify.primary_topic(F.col("topics")), rules),
+            "_l3": classify.taxonomy_level(classify.all_topics(F.col("topics")), rules),
+            "_topic": classify.topic_categories(F.col("topics"), rules),
+            "_ctext": issues.combined_text(F.col("summary"), F.col("key_moments")),
+            "month": F.date_format(F.col("start_time"), "yyyy-MM"),
+            "score_h": sentiment.hundredths(F.col("sentiment_score")),
+        },
+        {
+            "category": F.coalesce("_l1", "_l2", "_l3", F.lit(OTHER_CATEGORY)),
+            "category_level": (F.when(F.col("_l1").isNotNull(), F.lit(1)).when(F.col("_l2").isNotNull(), F.lit(2))
+                               .when(F.col("_l3").isNotNull(), F.lit(3)).otherwise(F.lit(0))),
+            "l3_category": F.coalesce("_l3", F.lit(OTHER_CATEGORY)),
+            "topic_category": F.col("_topic")["primary"],
+            "topic_categories_all": F.array_join(F.col("_topic")["all"], "|"),
+            **{f"_w_{s}": words[s] for s in sev},
+        },
+        {
+            "issues": issues.issues_from_words(wcols, F.col("key_moments"), rules),
+            "severity": issues.severity_from_words(wcols, rules),
+            "baseline": s_cols["baseline"], "z_score": s_cols["z_score"], "is_anomaly": s_cols["is_anomaly"],
+        },
+        {"n_issues": F.size("issues")},
+        {"escalation_team": r["team"], "escalation_priority": r["priority"],
+         "has_pagerduty": r["pagerduty"], "requires_escalation": r["requires_escalation"]},
+        {
+            "notebook_team": F.when(F.col("is_anomaly") | F.col("has_pagerduty"), F.col("escalation_team")),
+            "account_name": accounts.account_name(F.col("title"), F.col("call_type"), rules),
+            "title_account": accounts.account_from_title(F.col("title"), rules),
+            "company": accounts.company(F.col("title"), F.col("call_type")),
+            "company_simple": accounts.company_simple(F.col("title")),
+            "feature_gap": flags.feature_gap_rule(F.col("category"), F.col("title"), F.col("issues"), rules),
+            "has_churn_signal": flags.has_moment(F.col("key_moments"), "churn_signal"),
+            "has_feature_gap": flags.has_moment(F.col("key_moments"), "feature_gap"),
+            "has_praise": flags.has_moment(F.col("key_moments"), "praise"),
+            "outage_related": flags.outage_related(F.col("title"), F.col("topics"), rules),
+            "n_attendees": F.size(F.coalesce("attendees", F.array().cast("array<string>"))),
+            "n_key_moments": F.size("key_moments"),
+            "n_actions": F.size(F.coalesce("action_items", F.array().cast("array<string>"))),
+            "summary_short": F.substring(F.coalesce("summary", F.lit("")), 1, SUMMARY_MAX_CHARS),
+            "processed_at": F.col("start_time"),
+            "processed_bucket": F.lit("processed"),
+        },
+    ]
+    _EXPR_CACHE[key] = stages
+    return stages
+
+
+def enrich(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Adds every derived per-meeting column (records fields + notebook fields).
+
+    Staged so each rule chain is evaluated once per row; intermediate columns
+    start with an underscore and are dropped at the end."""
+    df = meetings
+    for stage in _stages(rules, meetings.sparkSession):
+        df = df.withColumns(stage)
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
