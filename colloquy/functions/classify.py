@@ -78,8 +78,7 @@ def l3_category(topics: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
 def topic_categories(topics: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """Struct(primary, all): every matching category in taxonomy order, or ['Other']."""
     text = all_topics(topics)
-    hits = F.filter(F.array(*[F.when(any_keyword(text, kws), F.lit(cat)) for cat, kws in rules.taxonomy]),
-                    lambda x: x.isNotNull())
+    hits = F.array_compact(F.array(*[F.when(any_keyword(text, kws), F.lit(cat)) for cat, kws in rules.taxonomy]))
     all_cats = F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(OTHER_CATEGORY)))
     return F.struct(F.get(all_cats, 0).alias("primary"), all_cats.alias("all"))
 

@@ -12,14 +12,13 @@ from colloquy.rules import (DEFAULT_RULES, RISK_COMPETITOR_POINTS, RISK_DROP_BAN
 
 def feature_gap_rule(category: Column, title: Column, issues: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """Category is the product-feedback one, or a gap keyword in title + issue titles."""
-    titles = F.transform(F.coalesce(issues, F.array().cast("array<struct<title:string,severity:string,type:string>>")),
-                         lambda i: F.coalesce(i["title"], F.lit("")))
-    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.array_join(titles, " ")))
+    titles = F.coalesce(issues, F.array().cast("array<struct<title:string,severity:string,type:string>>"))["title"]
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.array_join(titles, " ", "")))
     return F.coalesce(category == F.lit(rules.feature_gap_category), F.lit(False)) | any_keyword(text, rules.feature_gap_keywords)
 
 
 def has_moment(key_moments: Column, moment_type: str) -> Column:
-    return F.coalesce(F.exists(key_moments, lambda m: m["type"] == F.lit(moment_type)), F.lit(False))
+    return F.coalesce(F.array_contains(key_moments["type"], F.lit(moment_type)), F.lit(False))
 
 
 def outage_related(title: Column, topics: Column, rules: RuleSet = DEFAULT_RULES) -> Column:

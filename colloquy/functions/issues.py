@@ -17,13 +17,17 @@ ISSUE_TYPE = "struct<title:string,severity:string,type:string>"
 
 
 def combined_text(summary: Column, key_moments: Column) -> Column:
+    # key_moments.text extracts the field array without a lambda; NULL texts join as ''
     moments = F.coalesce(key_moments, F.array().cast("array<struct<text:string,type:string>>"))
-    texts = F.transform(moments, lambda m: F.coalesce(m["text"], F.lit("")))
-    return F.lower(F.concat(F.coalesce(summary, F.lit("")), F.lit(" "), F.array_join(texts, " ")))
+    return F.lower(F.concat(F.coalesce(summary, F.lit("")), F.lit(" "), F.array_join(moments["text"], " ", "")))
 
 
 def _first_word(text: Column, words) -> Column:
-    return F.get(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w)), 0)
+    """First word of the list (in list order) that occurs in ``text``: a CASE chain."""
+    out = None
+    for w in words:
+        out = F.when(text.contains(F.lit(w)), F.lit(w)) if out is None else out.when(text.contains(F.lit(w)), F.lit(w))
+    return out
 
 
 def _issue(sev: str, word: Column, key_moments: Column) -> Column:
@@ -52,7 +56,7 @@ def issues_from_words(words: dict, key_moments: Column, rules: RuleSet = DEFAULT
             out = F.when(cond, arr) if out is None else out.when(cond, arr)
         else:
             rest.append(issues[sev])
-    tail = F.filter(F.array(*rest), lambda x: x.isNotNull()) if rest else F.array().cast(f"array<{ISSUE_TYPE}>")
+    tail = F.array_compact(F.array(*rest)) if rest else F.array().cast(f"array<{ISSUE_TYPE}>")
     return out.otherwise(tail) if out is not None else tail
 
 
