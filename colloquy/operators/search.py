@@ -61,6 +61,11 @@ def bm25(df: DataFrame, id_col: str, text: Column, query: str, k1: float = SEARC
         d = dfs[t]
         w = F.lit(q[t]) * F.log(F.lit((n_docs - d + 0.5) / (d + 0.5)) + F.lit(1.0))
         weight = F.when(F.col("term") == t, w) if weight is None else weight.when(F.col("term") == t, w)
+    # A token equal to a term implies the lower-cased text contains it: documents with none
+    # of the terms as a substring cannot score, so pass 2 skips tokenising them (exact).
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    maybe = df.filter(F.coalesce(lowered.rlike("|".join("\\Q" + t + "\\E" for t in terms)), F.lit(False)))
+    docs = maybe.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens"))
     hits = (docs.select("doc_id", F.size("tokens").alias("dl"),
                         F.explode(F.filter("tokens", lambda t: t.isin(*terms))).alias("term"))
             .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
