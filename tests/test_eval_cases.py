@@ -1,4 +1,5 @@
 """The 36 golden cases (56 expected keys) through the eval operator."""
+import json
 import os
 
 import pytest
@@ -6,12 +7,20 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import evals
 
-CASES = os.path.join(os.path.dirname(__file__), "data", "eval_cases.jsonl")
+CASES = os.path.join(os.path.dirname(__file__), "data", "eval_cases.json")
+
+
+def case_rows(path=CASES):
+    """Golden cases {tool: [{id, input, expected}]} -> one row per expected key."""
+    with open(path) as f:
+        data = json.load(f)
+    return [(tool, c["id"], json.dumps(c["input"]), key, str(val).lower() if isinstance(val, bool) else str(val))
+            for tool, cases in data.items() for c in cases for key, val in c["expected"].items()]
 
 
 @pytest.fixture(scope="module")
 def cases(spark):
-    return spark.read.schema("tool string, case_id string, input string, path string, expected string").json(CASES)
+    return spark.createDataFrame(case_rows(), "tool string, case_id string, input string, path string, expected string")
 
 
 def test_all_golden_cases_pass(cases):
