@@ -72,3 +72,14 @@ def test_feedback_validation_accept_apply(spark):
     orig = recs.filter(F.col("meeting_id") == mid).collect()[0]
     # the latest valid submission wins as a whole: label corrected, category back to the original
     assert out["sentiment_label"] == "negative" and out["category"] == orig["category"] and out["corrected"]
+
+
+def test_export_date_filter_prunes_partitions(spark, scratch):
+    recs = enriched(spark, SF_SMALL)
+    path = f"{scratch}/export"
+    SK.write_export(recs, path, "2026-11-30")
+    SK.write_export(recs, path, "2026-12-01")
+    latest = SK.latest_snapshot(SK.read_export(spark, path))
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "2026-12-01" in plan.split("PartitionFilters")[1][:200]
+    assert latest.count() == recs.count()
