@@ -50,6 +50,11 @@ def main() -> None:
     t0 = time.perf_counter()
     enriched(spark, sf_dir)
     times["p00b_gold_records_ready"] = round(time.perf_counter() - t0, 3)
+    # Corpus statistics for search (built once per input/code fingerprint, else reused).
+    from colloquy.plans.q_text import document_index
+    t0 = time.perf_counter()
+    document_index(spark, sf_dir)
+    times["p00c_search_index_ready"] = round(time.perf_counter() - t0, 3)
     for name in names:
         t0 = time.perf_counter()
         reg[name][0](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -40,19 +40,41 @@ def corpus_stats(docs: DataFrame, terms: list) -> tuple:
     return int(row["n"]), float(row["avgdl"] or 0.0), {t: int(row[f"df{i}"]) for i, t in enumerate(terms)}
 
 
-def bm25(df: DataFrame, id_col: str, text: Column, query: str, k1: float = SEARCH_K1, b: float = SEARCH_B) -> DataFrame:
+def corpus_index(docs: DataFrame) -> tuple:
+    """Query-independent corpus statistics: (stats: one row n_docs, sum_dl;
+    term_df: one row per vocabulary term).  Each document contributes its distinct
+    terms once; the per-term count is combined map-side, so a term present in
+    every document is not a hot key."""
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("tokens")).cast("bigint").alias("sum_dl"))
+    term_df = (docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
+               .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return stats, term_df
+
+
+def indexed_stats(stats: DataFrame, term_df: DataFrame, terms: list) -> tuple:
+    """(N, avgdl, {term: df}) from a stored index: one stats row plus the query's terms."""
+    row = stats.first()
+    n = int(row["n_docs"] or 0)
+    avgdl = (row["sum_dl"] or 0) / n if n else 0.0
+    got = {r["term"]: int(r["df"]) for r in term_df.filter(F.col("term").isin(*terms)).collect()}
+    return n, float(avgdl), {t: got.get(t, 0) for t in terms}
+
+
+def bm25(df: DataFrame, id_col: str, text: Column, query: str, k1: float = SEARCH_K1, b: float = SEARCH_B,
+         index: tuple | None = None) -> DataFrame:
     """Score every document with at least one query term: (id, score).
 
     Two passes over the text: the corpus statistics (one aggregate row) and the
     scoring pass, where only tokens equal to a query term are exploded and the
-    per-term constants are literals in the plan (no join, no broadcast)."""
+    per-term constants are literals in the plan (no join, no broadcast).  With a
+    stored ``index`` (see ``corpus_index``) only the scoring pass reads the text."""
     q = query_terms(query)
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens"))
     terms = list(q)
     if not terms:
         return spark.createDataFrame([], "doc_id string, score double").select(F.col("doc_id").alias(id_col), "score")
-    n_docs, avgdl, dfs = corpus_stats(docs, terms)
+    n_docs, avgdl, dfs = indexed_stats(*index, terms) if index is not None else corpus_stats(docs, terms)
     if n_docs == 0:
         return spark.createDataFrame([], "doc_id string, score double").select(F.col("doc_id").alias(id_col), "score")
     # weight(term) = query count * idf(term), a literal per term

@@ -39,3 +39,12 @@ def test_bm25_matches_brute_force(spark):
     top = S.top_k(S.bm25(d, "doc_id", F.col("text"), query), "doc_id", 50).collect()
     want = sorted([(round(v, 6), k) for k, v in ref.items() if v > 0], key=lambda x: (-x[0], x[1]))[:20]
     assert [(r["score"], r["doc_id"]) for r in top] == want     # k clamped to 20
+
+
+def test_bm25_with_stored_index_equals_direct(spark):
+    d = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    idx = S.corpus_index(d.select(S.tokens(F.col("text")).alias("tokens")))
+    q = "the data the worthless"
+    direct = {r["doc_id"]: r["score"] for r in S.bm25(d, "doc_id", F.col("text"), q).collect()}
+    via_index = {r["doc_id"]: r["score"] for r in S.bm25(d, "doc_id", F.col("text"), q, index=idx).collect()}
+    assert direct == via_index and len(direct) > 0
