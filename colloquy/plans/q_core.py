@@ -8,8 +8,6 @@ from colloquy.functions import flags as flags_mod
 from colloquy.operators.records import enriched
 from colloquy.plans import register
 from colloquy.plans.sqlgen import with_enriched
-from colloquy.rules import DEFAULT_RULES
-from colloquy.sources.meetings import competitor_accounts
 
 
 def avg_h(sum_h, n):
