@@ -67,11 +67,17 @@ def delete_keys(df: DataFrame, keys: DataFrame, key: str = "meeting_id") -> Data
     return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def _export_col(f: T.StructField):
+    if f.name == "processed_at":
+        return F.date_format("processed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("processed_at")
+    if isinstance(f.dataType, T.DoubleType):  # numbers are stored rounded to 6 places (F-21)
+        return F.round(F.col(f.name).cast("double"), 6).alias(f.name)
+    return F.col(f.name).cast(f.dataType).alias(f.name)
+
+
 def export_rows(records: DataFrame, snapshot_date: str) -> DataFrame:
     """S-12: flat export columns + the snapshot ``date`` partition column."""
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name != "processed_at"
-            else F.date_format("processed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("processed_at")
-            for f in EXPORT_SCHEMA.fields]
+    cols = [_export_col(f) for f in EXPORT_SCHEMA.fields]
     return records.select(*cols, F.to_date(F.lit(snapshot_date)).alias("date"))
 
 

@@ -165,8 +165,15 @@ def export_rows(spark, sf):
     return SK.export_rows(enriched(spark, sf), "2026-12-01").withColumn("date", F.col("date").cast("string"))
 
 
-_EXPORT_SQL = ", ".join(c if c != "processed_at" else "strftime(processed_at, '%Y-%m-%dT%H:%M:%S') AS processed_at"
-                        for c in _EXPORT_COLS)
+def _export_sql_col(f) -> str:
+    if f.name == "processed_at":
+        return "strftime(processed_at, '%Y-%m-%dT%H:%M:%S') AS processed_at"
+    if f.dataType.simpleString() == "double":
+        return f"round({f.name}, 6) AS {f.name}"
+    return f.name
+
+
+_EXPORT_SQL = ", ".join(_export_sql_col(f) for f in SK.EXPORT_SCHEMA.fields)
 register("s12_export_rows", with_enriched(f"SELECT {_EXPORT_SQL}, '2026-12-01' AS date FROM enriched"))(export_rows)
 
 
