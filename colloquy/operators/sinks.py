@@ -148,3 +148,19 @@ def append_feedback(accepted: DataFrame, path: str) -> None:
 def error_counters(quarantine: DataFrame, stage: str = "ingestion") -> DataFrame:
     """S-16: rejected rows per stage."""
     return quarantine.select(F.lit(stage).alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("errors"))
+
+
+def with_counters(records: DataFrame, name: str = "ingest"):
+    """S-16 without an extra job: attach an ``Observation`` that collects pipeline
+    counters while the records are written.  Returns (observed DataFrame, observation);
+    ``observation.get`` is available once an action on the DataFrame has finished."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    observed = records.observe(
+        obs, F.count(F.lit(1)).alias("processed"),
+        F.count_if(F.col("call_type") == "support").alias("support"),
+        F.count_if(F.col("call_type") == "external").alias("external"),
+        F.count_if(F.col("call_type") == "internal").alias("internal"),
+        F.count_if(F.col("is_anomaly")).alias("anomalies"),
+        F.count_if(F.col("has_pagerduty")).alias("paged"))
+    return observed, obs

@@ -158,7 +158,6 @@ WHERE meeting_id NOT IN (SELECT meeting_id FROM enriched WHERE coalesce(title, '
 
 
 # --- S-12 / S-14 export and latest snapshot ------------------------------------------------------
-_EXPORT_COLS = [f.name for f in SK.EXPORT_SCHEMA.fields]
 
 
 def export_rows(spark, sf):

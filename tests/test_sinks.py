@@ -83,3 +83,11 @@ def test_export_date_filter_prunes_partitions(spark, scratch):
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "2026-12-01" in plan.split("PartitionFilters")[1][:200]
     assert latest.count() == recs.count()
+
+
+def test_observed_counters(spark, scratch):
+    recs = enriched(spark, SF_SMALL).select(*RECORD_COLUMNS)
+    observed, obs = SK.with_counters(recs)
+    observed.write.mode("overwrite").parquet(f"{scratch}/obs")
+    m = obs.get
+    assert m["processed"] == recs.count() == m["support"] + m["external"] + m["internal"]
