@@ -117,7 +117,7 @@ def escalation_notices(records: DataFrame) -> DataFrame:
     return records.filter(F.col("has_pagerduty")).select(
         "meeting_id", "title", "category", F.col("escalation_team").alias("team"),
         F.col("escalation_priority").alias("priority"),
-        F.concat(F.lit("[TI] Escalation: "), F.col("meeting_id")).alias("subject"))
+        F.concat(F.lit("Escalation: "), F.col("meeting_id")).alias("subject"))
 
 
 def pipeline_counters(records: DataFrame) -> DataFrame:

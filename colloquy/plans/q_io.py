@@ -190,7 +190,7 @@ WHERE date = (SELECT max(d) FROM (SELECT '2026-12-01' AS d UNION ALL SELECT '202
 
 register("s15_escalation_notices", with_enriched("""
 SELECT meeting_id, title, category, escalation_team AS team, escalation_priority AS priority,
-       concat('[TI] Escalation: ', meeting_id) AS subject FROM enriched WHERE has_pagerduty"""))(
+       concat('Escalation: ', meeting_id) AS subject FROM enriched WHERE has_pagerduty"""))(
     lambda spark, sf: SK.escalation_notices(enriched(spark, sf)))
 register("s16_pipeline_counters", with_enriched("SELECT call_type, count(*) AS processed FROM enriched GROUP BY call_type"))(
     lambda spark, sf: SK.pipeline_counters(enriched(spark, sf)))
