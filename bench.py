@@ -51,9 +51,10 @@ def main() -> None:
     enriched(spark, sf_dir)
     times["p00b_gold_records_ready"] = round(time.perf_counter() - t0, 3)
     # Corpus statistics for search (built once per input/code fingerprint, else reused).
-    from colloquy.plans.q_text import document_index
+    from colloquy.plans.q_text import document_index, records_index
     t0 = time.perf_counter()
     document_index(spark, sf_dir)
+    records_index(spark, sf_dir, "chat")
     times["p00c_search_index_ready"] = round(time.perf_counter() - t0, 3)
     for name in names:
         t0 = time.perf_counter()

@@ -136,10 +136,20 @@ register("d24_search_document", with_enriched(f"SELECT meeting_id, {_CHAT_DOC} A
                                                  S.record_doc("server").alias("server_doc")))
 
 
+def records_index(spark, sf, version):
+    """Gold corpus statistics of the record search documents (per document version)."""
+    from colloquy.operators.gold import gold_table
+    src = [f"{sf.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "lineitem")]
+    docs = lambda: enriched(spark, sf).select(S.tokens(S.record_doc(version)).alias("tokens"))
+    stats = gold_table(spark, f"rec-{version}-stats", src, "bm25", lambda: S.corpus_index(docs())[0])
+    term_df = gold_table(spark, f"rec-{version}-terms", src, "bm25", lambda: S.corpus_index(docs())[1], sort_by=["term"])
+    return stats, term_df
+
+
 def _records_top(spark, sf, version, k):
     e = enriched(spark, sf)
-    return S.top_k(S.bm25(e, "meeting_id", S.record_doc(version), RECORD_QUERY), "meeting_id", k) \
-        .withColumnRenamed("meeting_id", "doc_id")
+    scores = S.bm25(e, "meeting_id", S.record_doc(version), RECORD_QUERY, index=records_index(spark, sf, version))
+    return S.top_k(scores, "meeting_id", k).withColumnRenamed("meeting_id", "doc_id")
 
 
 def _records_bm25_sql(doc_sql: str, k: int) -> str:
