@@ -106,3 +106,17 @@ def reveal(redacted: DataFrame, id_col: str, column: str, vault: DataFrame) -> D
 
 
 __all__ = ["redact_column", "redact_record", "match_rows", "pii_vault", "leak_check", "reveal", "placeholder"]
+
+
+MEETING_TEXT_COLUMNS = ["title", "summary", "attendees", "topics", "key_moments", "action_items"]
+
+
+def sanitize_meetings(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> tuple:
+    """Ingestion firewall: (sanitized meetings, vault match rows).  Every string leaf of the
+    meeting is redacted before anything downstream reads it; the vault rows (placeholder ->
+    original) come from the title and summary, the free-text fields."""
+    cols = [c for c in MEETING_TEXT_COLUMNS if c in meetings.columns]
+    sanitized = redact_record(meetings, cols, rules)
+    text = F.concat_ws("\n", F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("summary"), F.lit("")))
+    vault_rows = match_rows(meetings.select("meeting_id", text.alias("_text")), "meeting_id", "_text", rules)
+    return sanitized, vault_rows

@@ -7,6 +7,7 @@
 * ST-02  at-least-once delivery + idempotent sink: within a batch keep one row per
          id, then append only ids not yet stored (anti join) — re-delivered ids stay single.
 * ST-03  rows with a corrupt meeting-info or no id go to a quarantine table.
+* D-02   every string leaf is redacted before classification; vault rows are appended.
 * ST-05  ``availableNow`` trigger: the nightly batch run over everything not yet seen.
 * ST-06  running KPI per (month, call type) as a stateful aggregation.
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.records import RECORD_COLUMNS, enrich
+from colloquy.operators.redaction import sanitize_meetings
 from colloquy.operators.sinks import insert_if_absent
 from colloquy.sources.raw_json import INFO_SCHEMA, SUMMARY_SCHEMA, meeting_id_from_path, to_meetings_raw
 
@@ -52,8 +54,11 @@ def _summaries_for(spark: SparkSession, root: str, ids: list) -> DataFrame:
             .withColumn("meeting_id", meeting_id_from_path(F.col("_metadata.file_path"))))
 
 
-def process_batch(batch: DataFrame, batch_id: int, root: str, records_path: str, quarantine_path: str) -> None:
-    """foreachBatch body: join parts, classify, idempotent append, quarantine bad rows."""
+def process_batch(batch: DataFrame, batch_id: int, root: str, records_path: str, quarantine_path: str,
+                  vault_path: str | None = None) -> None:
+    """foreachBatch body: join parts, redact, classify, idempotent append, quarantine bad rows.
+    Classification reads only the sanitized meeting; placeholder -> original rows go to the
+    vault (upsert semantics are applied when the vault is read, see ``pii_vault``)."""
     spark = batch.sparkSession
     batch = batch.dropDuplicates(["meeting_id"]).persist()
     # Ids of this micro-batch only (bounded by maxFilesPerTrigger).
@@ -61,7 +66,10 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, records_path: str,
     m = to_meetings_raw(batch, _summaries_for(spark, root, ids))
     bad = F.col("info_corrupt") | F.col("meeting_id").isNull()
     m.filter(bad).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine_path)
-    good = enrich(m.filter(~bad).drop("info_corrupt")).select(*RECORD_COLUMNS)
+    sanitized, vault_rows = sanitize_meetings(m.filter(~bad).drop("info_corrupt"))
+    if vault_path:
+        vault_rows.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(vault_path)
+    good = enrich(sanitized.drop("n_pii_redacted")).select(*RECORD_COLUMNS)
     try:
         target = spark.read.parquet(records_path)
     except Exception:
@@ -71,10 +79,10 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, records_path: str,
 
 
 def start_ingest(spark: SparkSession, root: str, records_path: str, quarantine_path: str, checkpoint: str,
-                 available_now: bool = True, max_files_per_trigger: int = 1000):
+                 available_now: bool = True, max_files_per_trigger: int = 1000, vault_path: str | None = None):
     """Start the ingest stream; ``available_now`` processes everything present, then stops."""
     w = (meeting_info_stream(spark, root, max_files_per_trigger).writeStream
-         .foreachBatch(lambda df, bid: process_batch(df, bid, root, records_path, quarantine_path))
+         .foreachBatch(lambda df, bid: process_batch(df, bid, root, records_path, quarantine_path, vault_path))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

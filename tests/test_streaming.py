@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from colloquy.operators.records import RECORD_COLUMNS, enrich
+from colloquy.operators.redaction import sanitize_meetings
 from colloquy.sources.raw_json import INFO_SCHEMA, meeting_id_from_path, read_meetings
 from colloquy.streaming.ingest import process_batch, running_kpi_stream, start_ingest
 from colloquy.sources.meetings import meetings_raw
@@ -55,7 +56,7 @@ def test_stream_is_idempotent_and_equals_batch(spark, scratch):
     assert stored.count() == n == stored.select("meeting_id").distinct().count()
     assert spark.read.parquet(quar).count() >= 1
     good, _ = read_meetings(spark, root)
-    batch = enrich(good).select(*RECORD_COLUMNS)
+    batch = enrich(sanitize_meetings(good)[0].drop("n_pii_redacted")).select(*RECORD_COLUMNS)
     cols = [c for c in RECORD_COLUMNS if c not in ("processed_at",)]
     assert sorted(map(tuple, stored.select(*cols).drop("issues").collect())) == \
         sorted(map(tuple, batch.select(*cols).drop("issues").collect()))
@@ -72,3 +73,21 @@ def test_running_kpi_stream(spark, scratch):
     q.awaitTermination()
     got = spark.sql("SELECT sum(n) AS n FROM kpi_test").collect()[0]["n"]
     assert got == spark.read.parquet(rec).count()
+
+
+def test_stream_redacts_before_classifying(spark, scratch):
+    root = os.path.join(scratch, "raw")
+    d = os.path.join(root, "pii1")
+    os.makedirs(d)
+    with open(os.path.join(d, "meeting-info.json"), "w") as f:
+        json.dump({"title": "Support Case #7 - call 415-555-0199 re outage", "startTime": "2026-03-10T09:00:00Z"}, f)
+    with open(os.path.join(d, "summary.json"), "w") as f:
+        json.dump({"sentimentScore": 2.0, "overallSentiment": "negative", "topics": ["outage"],
+                   "summary": "Customer jane@corp.example reports the dashboards are down."}, f)
+    rec, quar, ck, vault = (os.path.join(scratch, x) for x in ("records", "quarantine", "ckpt", "vault"))
+    start_ingest(spark, root, rec, quar, ck, available_now=True, vault_path=vault).awaitTermination()
+    row = spark.read.parquet(rec).collect()[0]
+    assert "415-555-0199" not in row["title"] and "[PHONE_" in row["title"]
+    assert row["call_type"] == "support" and row["severity" if "severity" in row else "escalation_priority"] == "p0"
+    originals = {r["original"] for r in spark.read.parquet(vault).collect()}
+    assert {"jane@corp.example"} <= originals and any("415-555-0199" in o for o in originals)
