@@ -32,17 +32,19 @@ def _vendor_filter(m: str) -> str:
     return f"list_filter({m}, lambda x: {cond})"
 
 
-def redaction_ctes(source: str, id_col: str, text_col: str) -> str:
-    ctes = [f"r0 AS (SELECT {id_col} AS source_id, {text_col} AS t0, 0 AS n0 FROM {source})"]
+def redaction_ctes(source: str, id_col: str, text_col: str, prefix: str = "r") -> str:
+    """CTEs {prefix}0..{prefix}10: the text after each pattern (t_i) and the running count (n_i)."""
+    r = prefix
+    ctes = [f"{r}0 AS (SELECT {id_col} AS source_id, {text_col} AS t0, 0 AS n0 FROM {source})"]
     for i, (etype, pattern) in enumerate(DEFAULT_RULES.pii_patterns, start=1):
         m = f"regexp_extract_all(t{i-1}, {q(_duck_pattern(etype, pattern))}, 0)"
         if etype == "EMAIL":
             m = _vendor_filter(m)
         ph = f"concat({q('[' + etype + '_')}, substr(md5(lower(x)), 1, 6), ']')"
-        ctes.append(f"""r{i}m AS (SELECT *, {m} AS m{i} FROM r{i-1}),
-r{i} AS (SELECT *, CASE WHEN m{i} IS NULL THEN t{i-1}
+        ctes.append(f"""{r}{i}m AS (SELECT *, {m} AS m{i} FROM {r}{i-1}),
+{r}{i} AS (SELECT *, CASE WHEN m{i} IS NULL THEN t{i-1}
                         ELSE list_reduce(list_prepend(t{i-1}, m{i}), lambda acc, x: replace(acc, x, {ph})) END AS t{i},
-                   n{i-1} + coalesce(len(m{i}), 0) AS n{i} FROM r{i}m)""")
+                   n{i-1} + coalesce(len(m{i}), 0) AS n{i} FROM {r}{i}m)""")
     return ",\n".join(ctes)
 
 
@@ -185,3 +187,17 @@ FROM conversations GROUP BY conv_id""")(lambda spark, sf: C.transcript_metrics(t
 from colloquy.operators.briefing import briefing_lines  # noqa: E402
 
 register("d26_briefing_lines")(lambda spark, sf: briefing_lines(enriched(spark, sf)))
+
+
+# --- D-02 on the meetings' flat text fields, with an oracle ---------------------------------------
+def _meeting_text_redaction(spark, sf):
+    e = enriched(spark, sf).select("meeting_id", "title", "summary")
+    return RD.redact_record(e, ["title", "summary"]).select("meeting_id", "title", "summary", "n_pii_redacted")
+
+
+register("d02b_redact_meeting_text",
+         "WITH " + enriched_ctes() + ",\n" + redaction_ctes("enriched", "meeting_id", "title", "rt") + ",\n"
+         + redaction_ctes("enriched", "meeting_id", "summary", "rs")
+         + f"\nSELECT a.source_id AS meeting_id, a.t{_NP} AS title, b.t{_NP} AS summary, "
+         + f"CAST(a.n{_NP} + b.n{_NP} AS INTEGER) AS n_pii_redacted FROM rt{_NP} a JOIN rs{_NP} b ON a.source_id = b.source_id")(
+    _meeting_text_redaction)
