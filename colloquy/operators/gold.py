@@ -74,3 +74,21 @@ def gold_table(spark: SparkSession, name: str, inputs: list, spec: str, build: C
             if not fs.rename(tp, p) and not fs.exists(_fs(spark, final + "/_SUCCESS")[0]):
                 raise RuntimeError(f"could not publish gold table {final}")
     return spark.read.parquet(final)
+
+
+def prune_gold(spark: SparkSession, name: str, keep: str | None = None, dry_run: bool = True) -> list:
+    """List (and with ``dry_run=False`` delete) gold folders of table ``name`` other than the
+    fingerprint ``keep``.  Opt-in and scoped to one table name: folders in a shared checkpoint
+    location may still be read by jobs running older code, so nothing is removed implicitly."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    p, fs = _fs(spark, f"{root}/gold")
+    if not fs.exists(p):
+        return []
+    victims = []
+    for st in fs.listStatus(p):
+        base = st.getPath().getName()
+        if st.isDirectory() and base.startswith(f"{name}-") and base != f"{name}-{keep}":
+            victims.append(st.getPath().toString())
+            if not dry_run:
+                fs.delete(st.getPath(), True)
+    return victims
