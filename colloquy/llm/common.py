@@ -106,11 +106,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def one_array(col: pa.Array | pa.ChunkedArray) -> pa.Array:
+    if not isinstance(col, pa.ChunkedArray):
+        return col
+    return pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
+
+
 def joined(arr: pa.Array, gap: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of a binary column in one buffer, ``gap`` zero bytes after each value; starts, ends."""
-    arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
-    if isinstance(arr, pa.ChunkedArray):
-        arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], pa.binary())
+    arr = one_array(arr)
     if not pa.types.is_large_binary(arr.type):
         arr = arr.cast(pa.large_binary())
     n = len(arr)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import (as_rows, count_of, from_rows, joined, lower_table, prefix_hash, range_hash, schema_with, shards,
+from colloquy.llm.common import (as_rows, count_of, from_rows, joined, one_array, lower_table, prefix_hash, range_hash, schema_with, shards,
                                  text_bytes, words_of)
 
 WINDOW = 10
@@ -237,7 +237,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
 
     def run(batches):
         for part in shards(batches, "_data", SHARD_BYTES):
-            data = pa.concat_arrays(part.column("_data").chunks)
+            data = one_array(part.column("_data"))
             n_words, spans, items = scan_shard(data, sent[0].value)
             for w in sent[1:]:
                 _, more, found = scan_shard(data, w.value)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import (MIX, as_rows, from_rows, joined, lower_table, prefix_hash, ragged, range_hash, shards, stage,
+from colloquy.llm.common import (MIX, as_rows, from_rows, joined, one_array, lower_table, prefix_hash, ragged, range_hash, shards, stage,
                                  text_bytes, words_of)
 
 SHINGLE = 5
@@ -108,13 +108,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in shards(batches, "_data", SLICE_BYTES):
-            flat, count = shingle_sets(pa.concat_arrays(part.column("_data").chunks))
+            flat, count = shingle_sets(one_array(part.column("_data")))
             sig = signatures(flat, count)
             end = np.cumsum(count)
             reps = [hashlib.blake2b(flat[e - c:e].tobytes(), digest_size=16).digest() if c else None for e, c in zip(end.tolist(), count.tolist())]
             keys = [hashlib.blake2b(x, digest_size=16).digest() for x in part.column("_data").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(part.column("doc_id").chunks), pa.array(keys, pa.binary()), pa.array(reps, pa.binary()),
+                [one_array(part.column("doc_id")), pa.array(keys, pa.binary()), pa.array(reps, pa.binary()),
                  pa.array(count, pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary())],
                 names=["doc_id", "text_key", "rep", "n_shingles", "signature"])
 
@@ -239,7 +239,7 @@ def _parts(t: pa.Table):
 
 
 def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
-    arr = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.list_(pa.int64()))
+    arr = one_array(col)
     off, values = arr.offsets.to_numpy(), arr.values.to_numpy()
     return [values[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
 
@@ -296,7 +296,7 @@ def _shingles(texts: DataFrame) -> DataFrame:
     """Shingles of the texts that have the representative's set (an id may stand before other texts too)."""
     def run(batches):
         for part in shards(batches, "_data", SLICE_BYTES):
-            flat, count = shingle_sets(pa.concat_arrays(part.column("_data").chunks))
+            flat, count = shingle_sets(one_array(part.column("_data")))
             sets = [flat[e - c:e].tobytes() for e, c in zip(np.cumsum(count).tolist(), count.tolist())]
             got = [(r, x) for r, x in zip(part.column("rep").to_pylist(), sets) if hashlib.blake2b(x, digest_size=16).digest() == r]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in got], pa.binary()), pa.array([x for _, x in got], pa.binary())],

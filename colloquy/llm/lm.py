@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import MIX, binary_array, count_of, joined, lower_table, prefix_hash, range_hash, shards, spread, stage, text_bytes
+from colloquy.llm.common import MIX, binary_array, count_of, joined, one_array, lower_table, prefix_hash, range_hash, shards, spread, stage, text_bytes
 
 BLOCK_BYTES = 4 << 20
 HEAD, BANDS, DIM = 1000, 64, 16
@@ -227,7 +227,7 @@ def count_tokens(blocks: DataFrame, n_buckets: int, head: int) -> DataFrame:
     for each bucket (block null) its most frequent tokens and the sums of its bands."""
     def send(t: pa.Table) -> pa.Table:
         t = _ordered(t)
-        tok = tokens(pa.concat_arrays(t.column("data").chunks))
+        tok = tokens(one_array(t.column("data")))
         first, _, _, to, count = _distinct(tok, n_buckets, ~np.asarray(t.column("held_out")))
         at = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
         off = np.append(at, len(to))
@@ -301,7 +301,7 @@ def train(docs: DataFrame, model: Model, partials: int = 64) -> Model:
         m = sent.value
         trainer = Trainer(LogBilinear(m.classes, noise), noise, TaskContext.get().partitionId())
         for part in shards(batches, "data", BLOCK_BYTES):
-            t = tokens(pa.concat_arrays(part.column("data").chunks))
+            t = tokens(one_array(part.column("data")))
             cls = m.class_of(t)
             one, two = contexts(cls, t, m.classes - 1)
             for a in range(0, len(cls), BATCH):
@@ -369,7 +369,7 @@ def score(docs: DataFrame, head: int = HEAD, block_bytes: int = BLOCK_BYTES) ->
         m = sent.value
         net = LogBilinear(m.classes, m.noise()).load(m.params)
         t = _ordered(t)
-        tok = tokens(pa.concat_arrays(t.column("data").chunks))
+        tok = tokens(one_array(t.column("data")))
         held = np.asarray(t.column("held_out"))
         _, word, which, _, _ = _distinct(tok, n_blocks, ~held)
         c = np.frombuffer(joined(r.sort_by("bucket").column("counts"))[0].tobytes(), dtype=np.int64)
@@ -379,7 +379,7 @@ def score(docs: DataFrame, head: int = HEAD, block_bytes: int = BLOCK_BYTES) ->
         by = lambda x: np.bincount(tok.text, weights=x, minlength=n)
         base = by(np.log10((count + 1) / (m.n + m.v + 1)))
         own = by(token_scores(m, net, tok, count)) / np.log(10)
-        return pa.table({"doc_id": pa.concat_arrays(t.column("doc_id").chunks), "held_out": pa.array(held), "n_tokens": pa.array(np.bincount(tok.text, minlength=n), pa.int64()),
+        return pa.table({"doc_id": one_array(t.column("doc_id")), "held_out": pa.array(held), "n_tokens": pa.array(np.bincount(tok.text, minlength=n), pa.int64()),
                          "n_known": pa.array(by(count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, m.n), pa.int64()),
                          "base_score": pa.array(base), "score": pa.array(own)})
 

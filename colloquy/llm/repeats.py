@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import MULT_INV, binary_array, count_of, joined, powers, prefix_hash, ragged, range_hash, spread, text_bytes
+from colloquy.llm.common import MULT_INV, binary_array, count_of, joined, one_array, powers, prefix_hash, ragged, range_hash, spread, text_bytes
 
 LENGTH, GRAM = 100, 24
 BLOCK_BYTES = 4 << 20
@@ -278,7 +278,7 @@ def merge_task(t: pa.Table) -> pa.Table:
 
 
 def _repeat_rows(block, doc, tie, at, size) -> pa.Table:
-    doc = pa.concat_arrays(doc.chunks) if isinstance(doc, pa.ChunkedArray) else doc
+    doc = one_array(doc)
     return pa.table({"block": pa.array(block, pa.int32()), "doc_id": doc, "tie": pa.array(tie, pa.int32()),
                      "at": pa.array(at, pa.int64()), "n": pa.array(size, pa.int64())})
 
@@ -364,7 +364,7 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) ->
         return pa.table({
             "bucket": pa.array(np.concatenate((np.full(len(a), block % n_blocks), to)), pa.int32()),
             "block": pa.array(np.full(len(a) + len(b), block), pa.int32()),
-            "doc_id": pa.concat_arrays(t.column("doc_id").chunks).take(pa.array(owner)), "tie": pa.array(tie[owner], pa.int32()),
+            "doc_id": one_array(t.column("doc_id")).take(pa.array(owner)), "tie": pa.array(tie[owner], pa.int32()),
             "at": pa.array(np.concatenate((a, b)) - starts[owner], pa.int64()),
             "n": pa.array(np.concatenate((np.zeros(len(a), np.int64), m)), pa.int64()),
             "size": pa.array(np.concatenate((n, m)), pa.int64()), "data": binary_array(data, np.append(0, np.cumsum(size)))})
@@ -409,7 +409,7 @@ def remove(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> D
         removed = np.bincount(doc[gone], minlength=len(starts))
         spans = np.bincount(doc[a], minlength=len(starts))
         kept = [buf[s:e][~gone[s:e]].tobytes() if k else buf[s:e].tobytes() for s, e, k in zip(starts.tolist(), ends.tolist(), removed.tolist())]
-        return pa.table({"doc_id": pa.concat_arrays(t.column("doc_id").chunks), "n_bytes": pa.array(ends - starts, pa.int64()),
+        return pa.table({"doc_id": one_array(t.column("doc_id")), "n_bytes": pa.array(ends - starts, pa.int64()),
                          "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
                          "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]), "kept": pa.array(kept, pa.binary())})
 

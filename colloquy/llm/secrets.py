@@ -5,7 +5,8 @@ The base rules' matches are the labelled credentials.  A bounded sample of their
 put in a prefix tree; states whose outgoing frequencies agree (Hoeffding bound) are merged, which
 gives a probabilistic automaton of the formats.  Every other run of 16 or more credential
 characters, in all texts, is scored: mean log-likelihood per character under the automaton
-against a first-order model of ordinary words.  Those above ``MARGIN`` add a span.
+against a first-order model of ordinary words.  Those above ``MARGIN`` add a span.  A run needs
+letters and digits: plain numbers are no credentials.
 
 Null and empty texts have no spans; with no labelled credential the automaton accepts nothing and
 no span is added; rows are independent, so repeated ids give a row each.
@@ -27,7 +28,7 @@ from colloquy.llm.common import as_rows, from_rows, joined, schema_with, shards,
 SLICE_BYTES = 4 << 20
 #: Bounded sample of labelled rows: credentials, and ordinary words for the opposing model.
 MAX_LABELLED, MAX_ORDINARY = 4000, 4000
-MIN_CHARS, MIN_DIGITS = 16, 3
+MIN_CHARS, MIN_DIGITS, MIN_LETTERS = 16, 3, 3
 #: Confidence of the merging test, and nats per character by which the automaton must win.
 ALPHA, MARGIN = 0.05, 0.5
 
@@ -173,9 +174,11 @@ def base_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[l
         if b"AKIA" in data:
             found[d] += [(s + m.start(), 1, s + m.end(), s + m.start()) for m in ACCESS.finditer(data) if m.end() - m.start() >= 16]
         found[d].sort()
-    digits = np.concatenate(([0], np.cumsum((buf >= 0x30) & (buf <= 0x39), dtype=np.int64)))
-    for a, b in zip(*_runs(_CRED[buf], MIN_CHARS)):
-        if digits[b] - digits[a] >= MIN_DIGITS:
+    runs = list(zip(*_runs(_CRED[buf], MIN_CHARS)))
+    digits = np.concatenate(([0], np.cumsum(_CLASS[buf] == 0, dtype=np.int64)))
+    letters = np.concatenate(([0], np.cumsum((_CLASS[buf] > 0) & (_CLASS[buf] < 4), dtype=np.int64)))
+    for a, b in runs:
+        if digits[b] - digits[a] >= MIN_DIGITS and letters[b] - letters[a] >= MIN_LETTERS:
             d = int(np.searchsorted(starts, a, side="right")) - 1
             if not any(x < b and a < y for x, _, y, _ in found[d]):
                 others[d].append((a, b))

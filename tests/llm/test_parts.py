@@ -1,0 +1,214 @@
+"""Inner parts of the operators against plain versions."""
+
+import heapq
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from colloquy.llm import bpe, contamination, jaccard, licenses, lm, repeats, secrets, sharding, warc
+from colloquy.llm.common import joined, prefix_hash, ragged, range_hash, shards
+from colloquy.llm.queries import tokenizer_path
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = random.Random(1)
+    for text in (bytes(rng.choices(b"ab", k=3000)), b"abc" * 700 + bytes(rng.choices(b"abc", k=500)) + b"abc" * 300, b"a" * 500, b"\0" * 50 + b"x"):
+        buf = np.frombuffer(text, dtype=np.uint8)
+        w8 = repeats.words8(buf)
+        sa, rank = repeats.suffix_array(buf, 100, w8)
+        assert sorted(sa.tolist()) == list(range(len(text)))
+        keys = [text[i:i + 128].ljust(128, b"\0") for i in sa]
+        assert keys == sorted(keys)
+        lcp = repeats.common_prefixes(w8, sa, rank, 100, lane=7)
+        for a, b in zip(sa.tolist(), sa.tolist()[1:]):
+            n = 0
+            while n < 100 and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+                n += 1
+            if max(a, b) + 100 <= len(text):  # elsewhere zeros stand after the end
+                assert lcp[b] == n
+
+
+def test_merge_by_binary_search():
+    rng = random.Random(2)
+    keys = [np.unique(np.array([rng.randrange(200) for _ in range(rng.randrange(1, 90))], dtype=np.uint64)) for _ in range(7)]
+    places = list(np.split(np.random.default_rng(1).permutation(sum(map(len, keys))), np.cumsum([len(k) for k in keys])[:-1]))
+    lost = set(repeats.merge_shards(keys, places, lambda a, b: None).tolist())
+    flat = sorted((k, p) for ks, ps in zip(keys, places) for k, p in zip(ks.tolist(), ps.tolist()))
+    assert lost == {b[1] for a, b in zip(flat, flat[1:]) if a[0] == b[0]}
+
+
+def test_colliding_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(repeats, "range_hash", lambda prefix, a, b: np.zeros(len(a), np.uint64) + (a % 3 == 0).astype(np.uint64))
+    rng = random.Random(3)
+    one = bytes(rng.choices(b"abcdef", k=160))
+    data = [one[:150], b"x" + one[10:150]]
+    t = pa.table({"bucket": pa.array([0, 0], pa.int32()), "block": pa.array([0, 1], pa.int32()), "doc_id": pa.array([1, 2], pa.int64()),
+                  "tie": pa.array([0, 0], pa.int32()), "at": pa.array([0, 0], pa.int64()), "n": pa.array([51, 42], pa.int64()),
+                  "size": pa.array([51, 42], pa.int64()), "data": pa.array(data, pa.binary())})
+    out = repeats.merge_task(t).to_pylist()
+    assert [(r["doc_id"], r["at"], r["n"]) for r in out] == [(2, 1, 41)]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=30), min_size=1, max_size=8), st.lists(st.integers(1, 4), min_size=1, max_size=4))
+def test_fm_index(runs, pattern):
+    text = np.array([x for r in runs for x in (*r, 0)], dtype=np.int64)
+    run_of = np.repeat(np.arange(len(runs)), [len(r) + 1 for r in runs])
+    index = contamination.FMIndex(text, run_of, 5)
+    who, lo, hi = index.search(np.array([pattern + [0] * (4 - len(pattern))]), np.array([len(pattern)]))
+    got = sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) if len(who) else []
+    t = text.tolist()
+    assert got == [i for i in range(len(t)) if t[i:i + len(pattern)] == pattern]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 50)), max_size=9))
+def test_loser_tree(runs):
+    runs = [sorted(r) for r in runs]
+    assert list(warc.loser_tree(runs, key=lambda x: x)) == list(heapq.merge(*runs))
+
+
+def test_loser_tree_is_stable():
+    runs = [[(1, "a"), (2, "a")], [(1, "b")], [(1, "c"), (1, "d")]]
+    assert [x[1] for x in warc.loser_tree(runs, key=lambda x: x[0])] == ["a", "b", "c", "d", "a"]
+
+
+def test_url_keys():
+    assert warc.url_key("HTTP://www.B.Example.com:80/x?q=1#f") == "com,example,b)/x?q=1"
+    assert warc.url_key("https://a.example.com") == "com,example,a)/" and warc.url_key(None) == ""
+
+
+@pytest.fixture(scope="module")
+def vocab():
+    return bpe.vocabulary(tokenizer_path())
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(tokenizer_path())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text("abcdefgh '\n\t. 　é1²٣sStreml<|endoftext|>", max_size=60)), max_size=5))
+def test_bpe_like_the_library(vocab, library, texts):
+    got = bpe.encode_texts(vocab, [t.encode() for t in texts])
+    for t, ids in zip(texts, got):
+        exp = library.encode(t, add_special_tokens=False).ids
+        assert ids.tolist() == exp
+        assert bpe.decode_text(vocab, ids) == library.decode(exp, skip_special_tokens=False) == t
+
+
+def test_bpe_of_every_code_point(vocab, library):
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{c}1{c} {c}" for c in points[i:i + 4000]) for i in range(0, len(points), 4000)]
+    got = bpe.encode_texts(vocab, [t.encode() for t in texts])
+    bad = [i for i, (t, ids) in enumerate(zip(texts, got)) if ids.tolist() != library.encode(t, add_special_tokens=False).ids]
+    assert not bad
+
+
+def test_bpe_long_fragments_and_certain_cuts(vocab, library):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=5000)), "ab" * 3000, "===" * 500, "é" * 700]
+    for t, ids in zip(texts, bpe.encode_texts(vocab, [t.encode() for t in texts])):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+    assert vocab.cut[ord("e"), ord(" ")] and not vocab.cut[ord("t"), ord("h")]
+    assert all(not vocab.cut[a, b] for t in vocab.token[:50000] for a, b in zip(t, t[1:]))
+
+
+def test_bpe_survives_colliding_hashes(vocab, library, monkeypatch):
+    monkeypatch.setattr(bpe, "range_hash", lambda p, a, b: (b - a).astype(np.uint64))
+    text = "the cat sat on the mat, and all ran"
+    assert bpe.encode_texts(vocab, [text.encode()])[0].tolist() == library.encode(text).ids
+
+
+def test_automaton_learns_a_format():
+    rng = random.Random(6)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=20)).encode() for _ in range(500)]
+    plain = [bytes(rng.choices(b"ghijklmnopqrstuvwxyz", k=18)) for _ in range(500)]
+    automaton, ordinary = secrets.learn([(1, x) for x in hexes] + [(0, x) for x in plain])
+    assert len(automaton.states) < 60
+    new = "".join(rng.choices("0123456789abcdef", k=20)).encode()
+    assert automaton.score(new) - ordinary.score(new) > secrets.MARGIN
+    assert not automaton.score(plain[0]) - ordinary.score(plain[0]) > 0
+    assert secrets.learn([])[0].score(new) == -float("inf")
+    total = sum(automaton.count[0].values()) + automaton.end[0]
+    assert total == 500 or total > 500  # merged states gather the counts of those folded into them
+
+
+def test_model_is_normalised_and_learns():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(x) for x in (rng.choice(["aa", "bb", "cc"], 20) for _ in range(400))]
+    texts += ["dd ee " * 10 for _ in range(400)]
+    tok = lm.tokens(pa.array([t.encode() for t in texts], pa.binary()))
+    first, word, which, _, count = lm._distinct(tok, 4, np.ones(len(texts), bool))
+    keys = sorted((int(tok.key[f]), int(tok.more[f]), int(c)) for f, c in zip(first, count))[:3]  # two words are left to the bands
+    col = lambda i, kind: np.array([k[i] for k in keys], dtype=kind)
+    tail = [f for f in first if int(tok.key[f]) not in {k[0] for k in keys}]
+    c = dict(zip(first.tolist(), count.tolist()))
+    band_n = np.bincount([tok.band[f] for f in tail], weights=[c[f] for f in tail], minlength=lm.BANDS).astype(np.int64)
+    band_v = np.bincount([tok.band[f] for f in tail], minlength=lm.BANDS)
+    model = lm.Model(int(count.sum()) + len(texts), 6, len(texts), col(0, np.uint64), col(1, np.uint64), col(2, np.int64), band_n, band_v)
+    net = lm.LogBilinear(model.classes, model.noise())
+    trainer = lm.Trainer(net, model.noise(), 0)
+    cls = model.class_of(tok)
+    one, two = lm.contexts(cls, tok, model.classes - 1)
+    tc = np.full(len(tok.key), len(texts))
+    tc[word] = count[which]
+    before = lm.token_scores(model, net, tok, tc).sum()
+    for _ in range(30):
+        for a in range(0, len(cls), 2048):
+            trainer.batch(one[a:a + 2048], two[a:a + 2048], cls[a:a + 2048])
+    assert lm.token_scores(model, net, tok, tc).sum() > before + 1000
+    hat = net.context(one[:50], two[:50])
+    z = lm.log_normaliser(net, hat)
+    assert np.allclose(np.exp(hat @ net.q.T + net.b - z[:, None]).sum(axis=1), 1, atol=1e-4)
+
+
+def test_weighted_tree_confines_movement(spark):
+    from pyspark.sql import functions as F
+    key = F.col("id").cast("string")
+    old, new = sharding.topology(8), sharding.topology(8, weights={7: 3.0})
+    rows = spark.range(20000).select(sharding.place(key, old).alias("a"), sharding.place(key, new).alias("b")).collect()
+    moved = [(r.a, r.b) for r in rows if r.a != r.b]
+    assert moved and all(b >= 4 for _, b in moved)  # into the region of shard 7 only
+    share = sum(r.b == 7 for r in rows) / len(rows)
+    assert abs(share - 0.3) < 0.02
+    counts = [sum(r.a == s for r in rows) for s in range(8)]
+    assert max(counts) < 1.1 * min(counts)
+
+
+def test_licences_and_inheritance(spark):
+    mit, gpl = licenses.TEMPLATES[0][1], licenses.TEMPLATES[2][1]
+    files = [(1, "a/LICENSE", mit), (2, "a/b/c/x.py", "code here"), (3, "a/b/LICENSE", gpl + "\nmore words that follow in the file\n"), (4, "a/y.py", "words\n" + gpl),
+             (5, "z/q.py", "code"), (6, None, None), (7, "LICENSE.txt", "All rights reserved."), (8, "a/b/c/d/w.py", ""), (8, "a/b/c/d/w.py", "")]
+    rows = spark.createDataFrame([(*f, "k", 1) for f in files], "file_id long, path string, text string, dir string, depth int")
+    got = sorted((r.file_id, r.license, r.origin, r.from_dir, r.depth) for r in licenses.scan(rows).collect())
+    assert got == [(1, "MIT", "header", None, None), (2, "GPL-3.0", "directory", "a/b", 2), (3, "GPL-3.0", "header", None, None),
+                   (4, "GPL-3.0", "header", None, None), (5, "Proprietary", "directory", "", 0), (6, None, None, None, None),
+                   (7, "Proprietary", "header", None, None), (8, "GPL-3.0", "directory", "a/b", 2), (8, "GPL-3.0", "directory", "a/b", 2)]
+    assert licenses.scan(rows.limit(0)).count() == 0
+
+
+def test_slices_hold_all_rows_in_order():
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in (5, 0, 9, 40, 3, 3)], pa.binary())], names=["d"])
+    parts = list(shards([batch.slice(0, 2), batch.slice(2)], "d", 10))
+    assert [len(x) for p in parts for x in p.column("d").to_pylist()] == [5, 0, 9, 40, 3, 3]
+    assert [p.num_rows for p in parts] == [2, 1, 1, 2]
+
+
+def test_hashes_do_not_depend_on_place():
+    buf, starts, ends = joined(pa.array([b"abc", None and b"", b"xxabc", b""], pa.binary()).fill_null(b""), gap=1)
+    p = prefix_hash(buf)
+    assert range_hash(p, starts[:1], ends[:1])[0] == range_hash(p, ends[2:3] - 3, ends[2:3])[0]
+    assert ragged(np.array([3, 9]), np.array([2, 3])).tolist() == [3, 4, 9, 10, 11]
+
+
+def test_sets_of_short_and_long_texts():
+    flat, count = jaccard.shingle_sets(pa.array([b"", b" ", b"A b", b"a B", b"a b c d e f", b"a b c d e f a b c d e f"], pa.binary()))
+    assert count.tolist() == [0, 0, 1, 1, 2, 6]
+    assert flat[0] == flat[1]
