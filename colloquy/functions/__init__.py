@@ -18,7 +18,8 @@ def _tool_registry():
     from colloquy.functions import redact as _redact
     return {
         "classify_call_type": call_type,
-        "classify_category": category,
+        "classify_category": topic_categories,
+        "classify_meeting_category": category,
         "topic_categories": topic_categories,
         "analyze_sentiment": sentiment_columns,
         "extract_issues": extract_issues,

@@ -44,5 +44,5 @@ def notebook_team(category: Column, severity: Column, score: Column, is_anomaly:
 
 
 def as_bool(x: Column) -> Column:
-    """Boolean coercion: strings 'true', '1', 'yes' (any case) are true."""
-    return F.lower(F.trim(x.cast("string"))).isin("true", "1", "yes")
+    """Boolean coercion: strings 'true', '1', 'yes' (any case, not trimmed) are true, NULL is false."""
+    return F.coalesce(F.lower(x.cast("string")).isin("true", "1", "yes"), F.lit(False))

@@ -40,11 +40,12 @@ def accept(feedback: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def latest_corrections(accepted: DataFrame) -> DataFrame:
-    """W-05: newest accepted submission per meeting (max_by, map-side combined)."""
+    """W-05: per meeting and field the newest accepted non-empty correction (on equal times the
+    greatest value), combined map-side; a later correction of one field leaves the others."""
     ok = accepted.filter(F.col("error").isNull())
-    order = F.struct("submitted_at")
-    return ok.groupBy("meeting_id").agg(*[F.max_by(c, order).alias(c) for c in CORRECTIONS],
-                                        F.max("submitted_at").alias("submitted_at"))
+    newest = {c: F.max(F.when(_given(c), F.struct("submitted_at", c))) for c in CORRECTIONS}
+    return (ok.groupBy("meeting_id").agg(*[x.alias(c) for c, x in newest.items()], F.max("submitted_at").alias("submitted_at"))
+            .select("meeting_id", *[F.col(f"{c}.{c}").alias(c) for c in CORRECTIONS], "submitted_at"))
 
 
 def apply_corrections(records: DataFrame, latest: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def _stages(rules: RuleSet, spark: SparkSession) -> list:
     Expressions are unresolved Columns, independent of any DataFrame, so they are built
     once per (rule set, SparkContext) and reused: assembling the rule chains costs
     thousands of driver-to-JVM calls."""
-    key = (repr(rules), id(spark.sparkContext._jsc))
+    key = (repr(rules), spark.sparkContext.applicationId)
     if key in _EXPR_CACHE:
         return _EXPR_CACHE[key]
     sev = [s for s, _ in rules.severity_words]
@@ -75,7 +75,6 @@ def _stages(rules: RuleSet, spark: SparkSession) -> list:
             "has_praise": flags.has_moment(F.col("key_moments"), "praise"),
             "outage_related": flags.outage_related(F.col("title"), F.col("topics"), rules),
             "n_attendees": F.size(F.coalesce("attendees", F.array().cast("array<string>"))),
-            "n_key_moments": F.size("key_moments"),
             "n_actions": F.size(F.coalesce("action_items", F.array().cast("array<string>"))),
             "summary_short": F.substring(F.coalesce("summary", F.lit("")), 1, SUMMARY_MAX_CHARS),
             "processed_at": F.col("start_time"),
@@ -92,6 +91,8 @@ def enrich(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     Staged so each rule chain is evaluated once per row; intermediate columns
     start with an underscore and are dropped at the end."""
     df = meetings
+    if "n_key_moments" not in df.columns:  # a source that lists every moment
+        df = df.withColumn("n_key_moments", F.size("key_moments"))
     for stage in _stages(rules, meetings.sparkSession):
         df = df.withColumns(stage)
     return df.drop(*[c for c in df.columns if c.startswith("_")])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.redact import placeholder, redact
+from colloquy.functions.redact import MATCH_TYPE, java_pattern, pii_possible, placeholder, redact
 from colloquy.rules import DEFAULT_RULES, RuleSet
 
 
@@ -19,51 +19,70 @@ def redact_column(df: DataFrame, column: str, rules: RuleSet = DEFAULT_RULES, ou
             .withColumn(count_col, F.col("_r.n")).drop("_r"))
 
 
-def _redact_value(c: Column, dtype: T.DataType, rules: RuleSet) -> tuple:
-    """Schema-driven rebuild: (redacted column, replacement count column)."""
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _no_matches() -> Column:
+    return F.array().cast(MATCH_TYPE)
+
+
+def _has_text(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_text(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.StringType) or isinstance(dtype, T.ArrayType) and _has_text(dtype.elementType)
+
+
+def _redact_value(c: Column, dtype: T.DataType, rules: RuleSet) -> Column | None:
+    """struct<v, n, m>: redacted value, number of replacements, matches.  Every string leaf's
+    pattern chain stands in it once, at any depth; None if there is no string leaf."""
     if isinstance(dtype, T.StringType):
-        r = redact(c, rules)
-        return r["text"], r["n"]
+        return _let(redact(c, rules, keep_matches=True),
+                    lambda r: F.struct(r["text"].alias("v"), r["n"].alias("n"), r["matches"].alias("m")))
     if isinstance(dtype, T.StructType):
-        parts, counts = [], []
-        for f in dtype.fields:
-            v, n = _redact_value(c[f.name], f.dataType, rules)
-            parts.append(v.alias(f.name))
-            counts.append(n)
-        total = counts[0] if counts else F.lit(0)
-        for n in counts[1:]:
-            total = total + n
-        return F.when(c.isNotNull(), F.struct(*parts)), F.coalesce(total, F.lit(0))
+        parts = {f.name: x for f in dtype.fields if (x := _redact_value(c[f.name], f.dataType, rules)) is not None}
+        if not parts:
+            return None
+
+        def rebuilt(s):
+            value = F.struct(*[(s[f.name]["v"] if f.name in parts else c[f.name]).alias(f.name) for f in dtype.fields])
+            n, m = F.lit(0), _no_matches()
+            for name in parts:
+                n, m = n + s[name]["n"], F.concat(m, s[name]["m"])
+            return F.struct(F.when(c.isNotNull(), value).alias("v"), n.alias("n"), m.alias("m"))
+
+        return _let(F.struct(*[x.alias(name) for name, x in parts.items()]), rebuilt)
     if isinstance(dtype, T.ArrayType):
-        el = dtype.elementType
-        if not isinstance(el, (T.StringType, T.StructType, T.ArrayType)):
-            return c, F.lit(0)
-        mapped = F.transform(c, lambda x: F.struct(*[v.alias(k) for k, v in
-                                                     zip(("v", "n"), _redact_value(x, el, rules))]))
-        return (F.transform(mapped, lambda s: s["v"]),
-                F.coalesce(F.aggregate(mapped, F.lit(0), lambda acc, s: acc + s["n"]), F.lit(0)))
-    return c, F.lit(0)
+        if not _has_text(dtype.elementType):
+            return None
+        return _let(F.transform(c, lambda x: _redact_value(x, dtype.elementType, rules)), lambda s: F.struct(
+            F.transform(s, lambda x: x["v"]).alias("v"),
+            F.coalesce(F.aggregate(s, F.lit(0), lambda acc, x: acc + x["n"]), F.lit(0)).alias("n"),
+            F.coalesce(F.flatten(F.transform(s, lambda x: x["m"])), _no_matches()).alias("m")))
+    return None
 
 
 def redact_record(df: DataFrame, columns: list | None = None, rules: RuleSet = DEFAULT_RULES,
-                  count_col: str = "n_pii_redacted") -> DataFrame:
-    """Redact every string leaf of the given (nested) columns; add the total count."""
+                  count_col: str = "n_pii_redacted", match_col: str | None = None) -> DataFrame:
+    """Redact every string leaf of the given (nested) columns; add the total count and, if
+    ``match_col`` is given, the matches of all leaves."""
     schema = {f.name: f.dataType for f in df.schema.fields}
-    cols = columns or [c for c in df.columns]
-    total = F.lit(0)
-    out = {}
-    for c in cols:
-        v, n = _redact_value(F.col(c), schema[c], rules)
-        out[c] = v
-        total = total + n
-    # One projection: the count must be taken from the original values.
-    return df.withColumns({**out, count_col: total})
+    done = {c: x for c in columns or df.columns if (x := _redact_value(F.col(c), schema[c], rules)) is not None}
+    total, matches = F.lit(0), _no_matches()
+    for c in done:
+        total, matches = total + F.col(f"_r_{c}.n"), F.concat(matches, F.col(f"_r_{c}.m"))
+    out = df.withColumns({f"_r_{c}": x for c, x in done.items()})
+    more = {match_col: matches} if match_col else {}
+    return out.withColumns({**{c: F.col(f"_r_{c}.v") for c in done}, count_col: total, **more}).drop(*[f"_r_{c}" for c in done])
 
 
 def match_rows(df: DataFrame, id_col: str, column: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """One row per match: (id, pidx, pos, entity_type, original, placeholder)."""
     r = redact(F.col(column), rules, keep_matches=True)
-    m = df.select(F.col(id_col).alias("source_id"), F.explode(r["matches"]).alias("m"))
+    return _match_columns(df.select(F.col(id_col).alias("source_id"), F.explode(r["matches"]).alias("m")))
+
+
+def _match_columns(m: DataFrame) -> DataFrame:
     return m.select("source_id", "m.pidx", "m.pos", "m.entity_type", "m.original",
                     F.concat(F.lit("["), F.col("m.entity_type"), F.lit("_"),
                              F.substring(F.md5(F.lower("m.original")), 1, 6), F.lit("]")).alias("placeholder"))
@@ -73,7 +92,7 @@ def pii_vault(matches: DataFrame) -> DataFrame:
     """Upsert semantics: one row per placeholder; the last write (highest source id,
     pattern, position) wins.  ``max_by`` aggregates partially, so a placeholder that
     occurs in a third of all documents is combined map-side, not in one task."""
-    order = F.struct("source_id", "pidx", "pos")
+    order = F.struct("source_id", "pidx", "pos", "original")
     return matches.groupBy("placeholder").agg(
         F.max_by("original", order).alias("original"),
         F.max_by("entity_type", order).alias("entity_type"),
@@ -90,6 +109,17 @@ def leak_check(df: DataFrame, id_col: str, column: str, rules: RuleSet = DEFAULT
             .select("source_id", F.col("m.original").alias("original")))
 
 
+def leak_report(df: DataFrame, column: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """E-03: texts, redacted texts, replacements, and matches that any pattern still has in the output."""
+    r = df.select(redact(F.col(column), rules).alias("r")).select("r.text", "r.n")
+    left = F.lit(0)
+    for _, p in rules.pii_patterns:
+        left = left + F.coalesce(F.size(F.regexp_extract_all("text", F.lit(java_pattern(p)), 0)), F.lit(0))
+    left = F.when(pii_possible(F.col("text"), rules), left).otherwise(F.lit(0))
+    return r.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("n") > 0).alias("n_redacted"),
+                 F.sum(F.col("n").cast("long")).alias("n_matches"), F.sum(left.cast("long")).alias("n_left"))
+
+
 def reveal(redacted: DataFrame, id_col: str, column: str, vault: DataFrame) -> DataFrame:
     """J-12: vault reverse lookup — replace placeholders by originals (per row, via
     explode + join on placeholder + fold).  The vault side is joined, not broadcast:
@@ -105,7 +135,7 @@ def reveal(redacted: DataFrame, id_col: str, column: str, vault: DataFrame) -> D
             .drop("_id", "pairs"))
 
 
-__all__ = ["redact_column", "redact_record", "match_rows", "pii_vault", "leak_check", "reveal", "placeholder"]
+__all__ = ["redact_column", "redact_record", "match_rows", "pii_vault", "leak_check", "leak_report", "reveal", "placeholder"]
 
 
 MEETING_TEXT_COLUMNS = ["title", "summary", "attendees", "topics", "key_moments", "action_items"]
@@ -114,9 +144,8 @@ MEETING_TEXT_COLUMNS = ["title", "summary", "attendees", "topics", "key_moments"
 def sanitize_meetings(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> tuple:
     """Ingestion firewall: (sanitized meetings, vault match rows).  Every string leaf of the
     meeting is redacted before anything downstream reads it; the vault rows (placeholder ->
-    original) come from the title and summary, the free-text fields."""
+    original) come from the same pass over the same leaves."""
     cols = [c for c in MEETING_TEXT_COLUMNS if c in meetings.columns]
-    sanitized = redact_record(meetings, cols, rules)
-    text = F.concat_ws("\n", F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("summary"), F.lit("")))
-    vault_rows = match_rows(meetings.select("meeting_id", text.alias("_text")), "meeting_id", "_text", rules)
-    return sanitized, vault_rows
+    redacted = redact_record(meetings, cols, rules, match_col="_matches")
+    m = redacted.select(F.col("meeting_id").alias("source_id"), F.explode("_matches").alias("m"))
+    return redacted.drop("_matches"), _match_columns(m)

@@ -254,7 +254,8 @@ def churn_radar(e: DataFrame, base_month: str, competitors: DataFrame) -> DataFr
             .groupBy(F.col("company_simple").alias("company"))
             .agg((F.sum("score_h") / F.count(F.lit(1))).alias("base_h")))
     comp = competitors.select(F.col("account").alias("company"), F.lit(True).alias("competitive_threat"))
-    j = at_risk.join(base, "company", "left").join(comp, "company", "left")
+    # the two small sides first, so that a company with many meetings is joined (and split) once
+    j = at_risk.join(base.join(comp, "company", "full"), "company", "left")
     ct = F.coalesce("competitive_threat", F.lit(False))
     return j.select("meeting_id", "company", "sentiment_score", "z_score", ct.alias("competitive_threat"),
                     "has_churn_signal", risk_score(F.col("score_h"), F.col("base_h"), ct).alias("risk_score"))

@@ -8,7 +8,7 @@ machine-local folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,13 +39,19 @@ def insert_if_absent(batch: DataFrame, target: DataFrame, key: str = "meeting_id
     return batch.dropDuplicates([key]).join(target.select(key), key, "left_anti")
 
 
+def stored(spark, path: str, schema) -> DataFrame:
+    """The table at ``path``, or no rows before its first write.  Read errors are raised: an
+    unreadable table is not an empty one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(path)
+
+
 def append_new(batch: DataFrame, path: str, key: str = "meeting_id") -> int:
     """Idempotent append into a parquet table at ``path``; returns rows written."""
     spark = batch.sparkSession
-    try:
-        target = spark.read.parquet(path)
-    except Exception:  # first write: no table yet
-        target = spark.createDataFrame([], batch.select(key).schema)
+    target = stored(spark, path, batch.select(key).schema)
     new = insert_if_absent(batch, target, key).cache()
     n = new.count()
     if n:
@@ -84,17 +90,10 @@ def export_rows(records: DataFrame, snapshot_date: str) -> DataFrame:
 def write_export(records: DataFrame, path: str, snapshot_date: str) -> int:
     """Daily NDJSON snapshot under ``path/date=YYYY-MM-DD``; re-running a day overwrites
     only that day's partition (dynamic partition overwrite).  Returns the row count."""
-    spark = records.sparkSession
-    rows = export_rows(records, snapshot_date).cache()
-    n = rows.count()
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        rows.write.mode("overwrite").partitionBy("date").json(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-        rows.unpersist()
-    return n
+    seen = Observation("export")
+    rows = export_rows(records, snapshot_date).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").json(path)
+    return seen.get["n"]
 
 
 def read_export(spark, path: str) -> DataFrame:
@@ -106,8 +105,8 @@ def read_export(spark, path: str) -> DataFrame:
 
 def latest_snapshot(export: DataFrame) -> DataFrame:
     """S-14: only the newest snapshot, so each meeting counts once.  The newest date is one
-    scalar (a one-row aggregate; on the partitioned export it is answered from the
-    partition column), then a literal filter prunes every other date partition."""
+    scalar (an aggregate of the date column alone), then a literal filter prunes every other
+    date partition."""
     newest = export.agg(F.max("date").alias("d")).first()["d"]
     return export.filter(F.col("date") == F.lit(newest)) if newest is not None else export.limit(0)
 

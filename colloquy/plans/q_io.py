@@ -241,9 +241,9 @@ accepted AS (
          coalesce(v.error, CASE WHEN e.meeting_id IS NULL THEN 'meeting ' || v.meeting_id || ' not found' END) AS error
   FROM validated v LEFT JOIN enriched e ON e.meeting_id = v.meeting_id),
 latest AS (
-  SELECT meeting_id, arg_max_null(corrected_category, submitted_at) AS corrected_category,
-         arg_max_null(corrected_call_type, submitted_at) AS corrected_call_type,
-         arg_max_null(corrected_sentiment_label, submitted_at) AS corrected_sentiment_label, max(submitted_at) AS submitted_at
+  SELECT meeting_id, max({'t': submitted_at, 'v': corrected_category}) FILTER (WHERE coalesce(corrected_category, '') <> '').v AS corrected_category,
+         max({'t': submitted_at, 'v': corrected_call_type}) FILTER (WHERE coalesce(corrected_call_type, '') <> '').v AS corrected_call_type,
+         max({'t': submitted_at, 'v': corrected_sentiment_label}) FILTER (WHERE coalesce(corrected_sentiment_label, '') <> '').v AS corrected_sentiment_label, max(submitted_at) AS submitted_at
   FROM accepted WHERE error IS NULL GROUP BY meeting_id)"""
 
 

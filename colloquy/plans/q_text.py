@@ -73,6 +73,12 @@ register("e03_redaction_leak_check", f"WITH {redaction_ctes('documents', 'doc_id
          f"SELECT m.source_id, m.original FROM matches m JOIN r{_NP} r ON r.source_id = m.source_id "
          f"WHERE contains(r.t{_NP}, m.original)")(
     lambda spark, sf: RD.leak_check(table(spark, sf, "documents"), "doc_id", "text"))
+_RESIDUE = " + ".join(f"coalesce(len({_vendor_filter(m) if e == 'EMAIL' else m}), 0)" for e, p in DEFAULT_RULES.pii_patterns
+                      for m in [f"regexp_extract_all(t{_NP}, {q(_duck_pattern(e, p))}, 0)"])
+register("e03b_leak_report", f"WITH {redaction_ctes('documents', 'doc_id', 'text')} "
+         f"SELECT count(*) AS n_texts, count_if(n{_NP} > 0) AS n_redacted, CAST(sum(n{_NP}) AS BIGINT) AS n_matches, "
+         f"CAST(sum({_RESIDUE}) AS BIGINT) AS n_left FROM r{_NP}")(
+    lambda spark, sf: RD.leak_report(table(spark, sf, "documents"), "text"))
 register("d02_redact_meeting_record")(  # nested struct/array leaves: rows-only check
     lambda spark, sf: RD.redact_record(enriched(spark, sf).select("meeting_id", "title", "summary", "attendees",
                                                                   "topics", "key_moments", "action_items"),

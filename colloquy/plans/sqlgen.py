@@ -57,9 +57,10 @@ km_ranked AS (
   FROM lineitem
 ),
 km AS (
-  SELECT l_orderkey AS km_orderkey,
-         list({{'text': {km_text}, 'type': {km_type}}} ORDER BY rn) AS key_moments
-  FROM km_ranked WHERE rn <= 5 GROUP BY l_orderkey
+  SELECT l_orderkey AS km_orderkey, list({{'text': text, 'type': type}} ORDER BY rn) AS key_moments, CAST(sum(n) AS INTEGER) AS n_moments
+  FROM (SELECT l_orderkey, {km_text} AS text, {km_type} AS type, min(rn) AS rn, count(*) AS n
+        FROM km_ranked GROUP BY l_orderkey, {km_text}, {km_type})
+  GROUP BY l_orderkey
 ),
 meetings AS (
   SELECT CAST({k} AS VARCHAR) AS meeting_id,
@@ -73,6 +74,7 @@ meetings AS (
          {topics} AS topics,
          {pick(f"{k} % {len(M.SUMMARY_TEMPLATES)}", [render(t, vals) for t in M.SUMMARY_TEMPLATES])} AS summary,
          coalesce(km.key_moments, []::STRUCT(text VARCHAR, type VARCHAR)[]) AS key_moments,
+         coalesce(km.n_moments, 0) AS n_key_moments,
          {list_lit(M.ACTION_ITEMS)}[1:{k} % 4] AS action_items,
          c.c_name AS account,
          c.c_mktsegment AS segment
@@ -180,7 +182,6 @@ enriched AS (
     len(list_filter(key_moments, lambda m: m.type = 'praise')) > 0 AS has_praise,
     {any_kw(f"lower({t})", rules.outage_keywords)} OR {any_kw(allt, rules.outage_keywords)} AS outage_related,
     CAST(len(attendees) AS INTEGER) AS n_attendees,
-    CAST(len(key_moments) AS INTEGER) AS n_key_moments,
     CAST(len(action_items) AS INTEGER) AS n_actions,
     substr(coalesce(summary, ''), 1, {SUMMARY_MAX_CHARS}) AS summary_short,
     start_time AS processed_at,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.sources.tables import table
@@ -104,20 +104,20 @@ def score_hundredths(k: Column) -> Column:
 
 
 def key_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First KEY_MOMENTS_MAX line items per order -> array<struct<text,type>>.
+    """All line items per order -> the distinct moments in order of first appearance, and how
+    many line items there are.
 
-    ``row_number() <= 5`` is planned with a partial WindowGroupLimit before the
-    shuffle, so even an order holding a large share of all lines ships at most
-    five rows per map partition."""
+    Every line item counts.  Repeats of a (text, type) are combined map-side to their first
+    place and their number, so an order holding a large share of all lines ships one row per
+    distinct moment and map partition, and its list is bounded by the moments' domain."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *MOMENT_ORDER)
-    w = Window.partitionBy("l_orderkey").orderBy(*MOMENT_ORDER)
-    ranked = li.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 5)
-    moment = F.struct(F.col("rn"),
-                      _pick(F.col("l_partkey") % len(MOMENT_TEXTS), [F.lit(t) for t in MOMENT_TEXTS]).alias("text"),
-                      _pick(F.col("l_linenumber") % len(MOMENT_TYPES), [F.lit(t) for t in MOMENT_TYPES]).alias("type"))
-    return (ranked.groupBy("l_orderkey")
-            .agg(F.sort_array(F.collect_list(moment)).alias("m"))
-            .select(F.col("l_orderkey").alias("km_orderkey"),
+    distinct = (li.groupBy("l_orderkey", (F.col("l_partkey") % len(MOMENT_TEXTS)).alias("t"), (F.col("l_linenumber") % len(MOMENT_TYPES)).alias("y"))
+                .agg(F.min(F.struct(*MOMENT_ORDER)).alias("first"), F.count(F.lit(1)).alias("n")))
+    moment = F.struct("first", _pick(F.col("t"), [F.lit(t) for t in MOMENT_TEXTS]).alias("text"),
+                      _pick(F.col("y"), [F.lit(t) for t in MOMENT_TYPES]).alias("type"))
+    return (distinct.groupBy("l_orderkey")
+            .agg(F.sort_array(F.collect_list(moment)).alias("m"), F.sum("n").alias("n"))
+            .select(F.col("l_orderkey").alias("km_orderkey"), F.col("n").cast("int").alias("n_moments"),
                     F.transform("m", lambda x: F.struct(x["text"].alias("text"), x["type"].alias("type"))).alias("key_moments")))
 
 
@@ -127,7 +127,7 @@ _EXPR_CACHE: dict = {}
 def _meeting_columns(spark: SparkSession) -> list:
     """The adapter's output projection (built once per SparkContext: the template CASE
     chains take many driver-to-JVM calls to assemble)."""
-    key = id(spark.sparkContext._jsc)
+    key = spark.sparkContext.applicationId
     if key in _EXPR_CACHE:
         return _EXPR_CACHE[key]
     k = F.col("o_orderkey")
@@ -154,6 +154,7 @@ def _meeting_columns(spark: SparkSession) -> list:
         topics.alias("topics"),
         _pick(k % len(SUMMARY_TEMPLATES), [_render(t, vals) for t in SUMMARY_TEMPLATES]).alias("summary"),
         F.coalesce(F.col("key_moments"), F.array().cast("array<struct<text:string,type:string>>")).alias("key_moments"),
+        F.coalesce("n_moments", F.lit(0)).alias("n_key_moments"),
         F.slice(F.array(*[F.lit(a) for a in ACTION_ITEMS]), 1, (k % 4).cast("int")).alias("action_items"),
         F.col("c_name").alias("account"),
         F.col("c_mktsegment").alias("segment"),

@@ -9,18 +9,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
-
-    A scan with fewer splits than the cluster's parallelism (one small file, one
-    row group) would run every per-row expression in one task.  Such scans are
-    spread round-robin (not by key: a key holding a third of the rows would land
-    in one partition before any partial aggregate or WindowGroupLimit could cut
-    it down).  Large inputs already have enough splits and are left alone."""
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.  The plan is the
+    same at every size; the number of scan tasks follows spark.sql.files.maxPartitionBytes."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(max(n, want))
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

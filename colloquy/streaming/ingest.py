@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.records import RECORD_COLUMNS, enrich
 from colloquy.operators.redaction import sanitize_meetings
-from colloquy.operators.sinks import insert_if_absent
+from colloquy.operators.sinks import insert_if_absent, stored
 from colloquy.sources.raw_json import INFO_SCHEMA, SUMMARY_SCHEMA, meeting_id_from_path, to_meetings_raw
 
 
@@ -54,6 +54,12 @@ def _summaries_for(spark: SparkSession, root: str, ids: list) -> DataFrame:
             .withColumn("meeting_id", meeting_id_from_path(F.col("_metadata.file_path"))))
 
 
+def _put_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """Rows of one batch; a replayed batch overwrites its own partition and no other."""
+    (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+
 def process_batch(batch: DataFrame, batch_id: int, root: str, records_path: str, quarantine_path: str,
                   vault_path: str | None = None) -> None:
     """foreachBatch body: join parts, redact, classify, idempotent append, quarantine bad rows.
@@ -65,15 +71,12 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, records_path: str,
     ids = [r["meeting_id"] for r in batch.select("meeting_id").where(F.col("meeting_id").isNotNull()).collect()]
     m = to_meetings_raw(batch, _summaries_for(spark, root, ids))
     bad = F.col("info_corrupt") | F.col("meeting_id").isNull()
-    m.filter(bad).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine_path)
+    _put_batch(m.filter(bad), batch_id, quarantine_path)
     sanitized, vault_rows = sanitize_meetings(m.filter(~bad).drop("info_corrupt"))
     if vault_path:
-        vault_rows.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(vault_path)
+        _put_batch(vault_rows, batch_id, vault_path)
     good = enrich(sanitized.drop("n_pii_redacted")).select(*RECORD_COLUMNS)
-    try:
-        target = spark.read.parquet(records_path)
-    except Exception:
-        target = spark.createDataFrame([], good.select("meeting_id").schema)
+    target = stored(spark, records_path, good.select("meeting_id").schema)
     insert_if_absent(good, target).write.mode("append").parquet(records_path)
     batch.unpersist()
 
