@@ -62,12 +62,24 @@ def _redact_value(c: Column, dtype: T.DataType, rules: RuleSet) -> Column | None
     return None
 
 
+_EXPR_CACHE: dict = {}
+
+
+def _redacted(df: DataFrame, column: str, dtype: T.DataType, rules: RuleSet) -> Column:
+    """The expression of one column, built once per application: the pattern chains take
+    thousands of driver-to-JVM calls to assemble."""
+    key = (df.sparkSession.sparkContext.applicationId, column, dtype.json(), repr(rules))
+    if key not in _EXPR_CACHE:
+        _EXPR_CACHE[key] = _redact_value(F.col(column), dtype, rules)
+    return _EXPR_CACHE[key]
+
+
 def redact_record(df: DataFrame, columns: list | None = None, rules: RuleSet = DEFAULT_RULES,
                   count_col: str = "n_pii_redacted", match_col: str | None = None) -> DataFrame:
     """Redact every string leaf of the given (nested) columns; add the total count and, if
     ``match_col`` is given, the matches of all leaves."""
     schema = {f.name: f.dataType for f in df.schema.fields}
-    done = {c: x for c in columns or df.columns if (x := _redact_value(F.col(c), schema[c], rules)) is not None}
+    done = {c: _redacted(df, c, schema[c], rules) for c in columns or df.columns if _has_text(schema[c])}
     total, matches = F.lit(0), _no_matches()
     for c in done:
         total, matches = total + F.col(f"_r_{c}.n"), F.concat(matches, F.col(f"_r_{c}.m"))

@@ -70,8 +70,8 @@ def test_feedback_validation_accept_apply(spark):
     latest = FB.latest_corrections(FB.accept(fb, recs))
     out = FB.apply_corrections(recs, latest).filter(F.col("meeting_id") == mid).collect()[0]
     orig = recs.filter(F.col("meeting_id") == mid).collect()[0]
-    # the latest valid submission wins as a whole: label corrected, category back to the original
-    assert out["sentiment_label"] == "negative" and out["category"] == orig["category"] and out["corrected"]
+    # per field the latest non-empty correction: the later label leaves the earlier category in place
+    assert out["sentiment_label"] == "negative" and out["category"] == "Other" != orig["category"] and out["corrected"]
 
 
 def test_export_date_filter_prunes_partitions(spark, scratch):
