@@ -142,7 +142,8 @@ def leaves(reps: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEP
     rows = reps.select("rep", children, F.lit(None).cast("long").alias("was"))
     out, level = None, 0
     while True:
-        sizes = rows.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
+        # written first, so that the join's sides are plain shuffles and a large bucket can be split
+        sizes = stage(rows.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1"), f"sizes-{level}")
         sized = stage(rows.join(sizes, "leaf"), f"paths-{level}")
         alike = F.coalesce(F.col("size") > F.col("was") * F.lit(ALIKE), F.lit(False))
         ends = (F.col("size") <= leaf) | alike | F.lit(level >= depth)
