@@ -72,8 +72,9 @@ class Matcher:
         norm2 += sum(k * k for t, k in c.items() if t not in known) * self.unseen ** 2
         top = None
         for name, v, norm in self.rows:
-            cos = sum(x * v[t] for t, x in mine.items() if t in v) / (norm * math.sqrt(norm2))
-            if cos >= least and (top is None or cos > top[1] + 1e-12):
+            # rounded, so that equal cosines tie whatever the order of summation
+            cos = round(sum(x * v[t] for t, x in mine.items() if t in v) / (norm * math.sqrt(norm2)), 9)
+            if cos >= least and (top is None or cos > top[1]):
                 top = name, cos
         return top
 
@@ -104,7 +105,7 @@ def direct(files: DataFrame, templates=TEMPLATES) -> DataFrame:
                 best = None
                 for line in text.split("\n"):
                     got = m.best(terms(line), HEADER)
-                    if got and (best is None or got[1] > best[1] + 1e-12):
+                    if got and (best is None or got[1] > best[1]):
                         best = got
                 words = terms(text) if best else []
                 file = m.best(words, WHOLE) if best else None
