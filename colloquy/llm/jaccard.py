@@ -45,6 +45,8 @@ RUNS, LEAF, DEPTH, ALIKE = 12, 1024, 8, 0.6
 AGREE = 30
 SLICE_BYTES = 4 << 20
 LEAVES_PER_TASK = 20_000
+#: Parts that the rows of one group are dealt to when its total is joined back to them (at most 31).
+SALTS = 16
 
 _LOWER = lower_table()
 _IS_WORD = np.ones(256, dtype=bool)
@@ -135,6 +137,15 @@ def _children(path: Column) -> Column:
     return F.when(two & (a != b), F.array(_token(path, a), _token(path, b))).otherwise(F.array(_token(path, a)))
 
 
+def with_total(rows: DataFrame, key: str, by: str, total: Column, name: str) -> DataFrame:
+    """Every row with the total of its ``key`` group.  The rows of a group are dealt to SALTS parts by
+    a hash of ``by``; the total, combined map-side, goes to the parts that the group has."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    totals = salted.groupBy(key).agg(total.alias(name), F.expr("bit_or(shiftleft(1, _salt))").alias("_salts"))
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("_salts", k) == 1)
+    return salted.join(totals.select(key, name, F.explode(parts).alias("_salt")), [key, "_salt"]).drop("_salt")
+
+
 def leaves(reps: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """(leaf, rep, size) rows of all runs; buckets of one are dropped."""
     roots = F.array(*[F.xxhash64(F.lit("run"), F.lit(r)) for r in range(runs)])
@@ -142,8 +153,7 @@ def leaves(reps: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEP
     rows = reps.select("rep", children, F.lit(None).cast("long").alias("was"))
     out, level = None, 0
     while True:
-        sizes = rows.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
-        sized = stage(rows.join(sizes, "leaf"), f"paths-{level}")
+        sized = stage(with_total(rows, "leaf", "rep", F.count("*"), "size").where("size > 1"), f"paths-{level}")
         alike = F.coalesce(F.col("size") > F.col("was") * F.lit(ALIKE), F.lit(False))
         ends = (F.col("size") <= leaf) | alike | F.lit(level >= depth)
         done = sized.where(ends).select("leaf", "rep", "size")
@@ -312,12 +322,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of a node goes to the smallest one of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = (with_total(both, "u", "v", F.least(F.min("v"), F.col("u")), "m").where("v > u")
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         # small star: a node and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        small = (with_total(large, "u", "v", F.min("v"), "m")
+                 .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         edges = stage(small, "edges")
         was, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == was:
@@ -352,8 +361,8 @@ def join(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH
     roots = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     labelled = (reps.select("rep", "low", "weight").join(links, "rep", "left")
                 .join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
-    low = labelled.groupBy("root").agg(F.min("low").alias("class_id"))
-    final = labelled.join(low, "root").select("rep", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    final = with_total(labelled, "root", "rep", F.min("low"), "class_id").select(
+        "rep", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     identified = F.when(F.col("doc_id").isNotNull(), F.col("rep"))
     return (prints.select("doc_id", "text_key", identified.alias("rep")).join(final, "rep", "left")
             .select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"),
