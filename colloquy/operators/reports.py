@@ -123,8 +123,8 @@ def escalation_report(e: DataFrame) -> DataFrame:
 
 
 # --- A-05 / A-06 trends -------------------------------------------------------------------------
-def sentiment_trends(e: DataFrame, call_type: str = "", days: int = 0, now: str | None = None) -> DataFrame:
-    """Trend summary; ``now`` is a parameter (never the wall clock) for the last-N-days filter."""
+def _trend_rows(e: DataFrame, call_type: str, days: int, now: str | None) -> DataFrame:
+    """``now`` is a parameter (never the wall clock) of the last-N-days filter."""
     df = e
     if call_type:
         df = df.filter(F.col("call_type") == call_type)
@@ -132,11 +132,22 @@ def sentiment_trends(e: DataFrame, call_type: str = "", days: int = 0, now: str
         if now is None:
             raise ValueError("days > 0 needs an explicit now")
         df = df.filter(F.col("processed_at") >= F.to_timestamp(F.lit(now)) - F.make_interval(days=F.lit(days)))
-    sh = F.coalesce(F.col("score_h"), F.lit(0))
+    return df
+
+
+def trend_labels(e: DataFrame, call_type: str = "", days: int = 0, now: str | None = None) -> DataFrame:
+    """Label counts of the rows that a trend summary covers."""
+    return label_distribution(_trend_rows(e, call_type, days, now))
+
+
+def sentiment_trends(e: DataFrame, call_type: str = "", days: int = 0, now: str | None = None, missing_as_zero: bool = True) -> DataFrame:
+    """Trend summary.  A missing score counts as 0 in the averages and the minimum, or is skipped."""
+    df = _trend_rows(e, call_type, days, now)
+    sh = F.coalesce(F.col("score_h"), F.lit(0)) if missing_as_zero else F.col("score_h")
     return df.agg(
         F.lit(call_type or "all").alias("call_type"),
         F.count(F.lit(1)).alias("n_meetings"),
-        mean_h(F.sum(sh), F.count(F.lit(1)), 3).alias("avg_sentiment"),
+        mean_h(F.sum(sh), F.count(sh), 3).alias("avg_sentiment"),
         (F.min(sh) / 100).alias("min_sentiment"),
         (F.max(sh) / 100).alias("max_sentiment"),
         F.count_if(F.col("is_anomaly")).alias("anomaly_count"),
@@ -241,8 +252,8 @@ def account_impact(e: DataFrame, month: str, base_month: str, competitors: DataF
 
 def month_breakdown(e: DataFrame, month: str, by: str) -> DataFrame:
     m = e.filter((F.col("month") == month) & valid_score() & F.col("company").isNotNull())
-    return m.groupBy(by).agg(mean_h(F.sum("score_h"), F.count(F.lit(1))).alias("mean"),
-                             F.count(F.lit(1)).alias("n"), F.count_if(F.col("score_h") < 300).alias("n_below_3"))
+    return m.groupBy(by).agg(mean_h(F.sum("score_h"), F.count(F.lit(1))).alias("mean"), F.count(F.lit(1)).alias("n"),
+                             F.count_if(F.col("score_h") < 300).alias("n_below_3")).orderBy("mean", by)
 
 
 # --- A-17 churn radar ---------------------------------------------------------------------------
@@ -258,7 +269,8 @@ def churn_radar(e: DataFrame, base_month: str, competitors: DataFrame) -> DataFr
     j = at_risk.join(base.join(comp, "company", "full"), "company", "left")
     ct = F.coalesce("competitive_threat", F.lit(False))
     return j.select("meeting_id", "company", "sentiment_score", "z_score", ct.alias("competitive_threat"),
-                    "has_churn_signal", risk_score(F.col("score_h"), F.col("base_h"), ct).alias("risk_score"))
+                    "has_churn_signal", risk_score(F.col("score_h"), F.col("base_h"), ct).alias("risk_score")).orderBy(
+                        F.desc("risk_score"), "meeting_id")
 
 
 def churn_counts(radar: DataFrame) -> DataFrame:

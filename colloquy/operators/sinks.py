@@ -111,6 +111,16 @@ def latest_snapshot(export: DataFrame) -> DataFrame:
     return export.filter(F.col("date") == F.lit(newest)) if newest is not None else export.limit(0)
 
 
+def read_latest_snapshot(spark, path: str) -> DataFrame:
+    """S-14 on a stored export: the newest ``date=`` folder by listing the folders (one per day), so
+    that no other day's file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date=*")
+    days = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []
+    newest = max((d.getPath().getName().removeprefix("date=") for d in days), default=None)
+    export = read_export(spark, path)
+    return export.filter(F.col("date") == F.lit(newest).cast("date")) if newest else export.limit(0)
+
+
 def escalation_notices(records: DataFrame) -> DataFrame:
     """S-15: one notice per paged meeting."""
     return records.filter(F.col("has_pagerduty")).select(

@@ -62,6 +62,7 @@ class Visual:
     dims: tuple
     measures: tuple
     filter: str | None = None
+    sort: tuple = ()  # (field, "asc" or "desc"); the dimensions break ties, nulls come last
 
 
 VISUALS = [
@@ -70,24 +71,24 @@ VISUALS = [
     Visual("v03", "category_bar", ("category",), ("n",)),
     Visual("v04", "escalation_routing", ("call_type", "escalation_team"), ("n",)),
     Visual("v06", "anomaly_kpi", (), ("anomalies",)),
-    Visual("v07", "monthly_sentiment", ("month", "call_type"), ("avg_sentiment",)),
-    Visual("v09", "churn_risk_table", ("account_name", "churn_flag_v1"), ("avg_sentiment", "avg_z", "anomalies"), "external"),
-    Visual("v10", "feature_gap_bar", ("category",), ("n",), "feature_gap"),
-    Visual("v11", "blast_radius_bar", ("month", "call_type"), ("n",), "incident"),
+    Visual("v07", "monthly_sentiment", ("month", "call_type"), ("avg_sentiment",), sort=("month", "asc")),
+    Visual("v09", "churn_risk_table", ("account_name", "churn_flag_v1"), ("avg_sentiment", "avg_z", "anomalies"), "external", sort=("avg_sentiment", "asc")),
+    Visual("v10", "feature_gap_bar", ("category",), ("n",), "feature_gap", sort=("n", "desc")),
+    Visual("v11", "blast_radius_bar", ("month", "call_type"), ("n",), "incident", sort=("month", "asc")),
     Visual("v12", "kpi_cards", (), ("n", "anomalies", "avg_sentiment", "pagerduty")),
     Visual("v13", "call_type_donut", ("call_type",), ("n",)),
     Visual("v14", "call_type_by_month", ("month", "call_type"), ("n",)),
-    Visual("v15", "sentiment_label_bar", ("sentiment_label",), ("n",)),
-    Visual("v16", "category_bar_v2", ("category",), ("n",)),
+    Visual("v15", "sentiment_label_bar", ("sentiment_label",), ("n",), sort=("n", "desc")),
+    Visual("v16", "category_bar_v2", ("category",), ("n",), sort=("n", "desc")),
     Visual("v17", "category_by_call_type", ("call_type", "category"), ("n",)),
-    Visual("v18", "sentiment_by_category", ("category",), ("avg_sentiment",)),
-    Visual("v19", "monthly_sentiment_line", ("month", "call_type"), ("avg_sentiment",)),
-    Visual("v21", "zscore_by_call_type", ("call_type",), ("avg_z",)),
+    Visual("v18", "sentiment_by_category", ("category",), ("avg_sentiment",), sort=("avg_sentiment", "asc")),
+    Visual("v19", "monthly_sentiment_line", ("month", "call_type"), ("avg_sentiment",), sort=("month", "asc")),
+    Visual("v21", "zscore_by_call_type", ("call_type",), ("avg_z",), sort=("avg_z", "asc")),
     Visual("v22", "anomaly_by_month", ("month", "call_type"), ("anomalies",)),
     Visual("v23", "sentiment_pivot", ("category", "month"), ("avg_sentiment",)),
-    Visual("v24", "churn_risk_bar", ("account_name",), ("avg_sentiment",), "external"),
-    Visual("v25", "month_accounts_bar", ("account_name",), ("avg_sentiment",), "external_month"),
-    Visual("v26", "account_volume_bar", ("account_name",), ("n",), "external"),
+    Visual("v24", "churn_risk_bar", ("account_name",), ("avg_sentiment",), "external", sort=("avg_sentiment", "asc")),
+    Visual("v25", "month_accounts_bar", ("account_name",), ("avg_sentiment",), "external_month", sort=("avg_sentiment", "asc")),
+    Visual("v26", "account_volume_bar", ("account_name",), ("n",), "external", sort=("n", "desc")),
     Visual("v27", "churn_risk_pie", ("churn_flag_v2",), ("n",)),
     Visual("v28", "external_category_bar", ("category", "month"), ("n",)),
     Visual("v28b", "external_category_bar_filtered", ("category", "month"), ("n",), "external"),
@@ -95,7 +96,7 @@ VISUALS = [
     Visual("v30", "severity_bar", ("escalation_priority",), ("n",)),
     Visual("v31", "escalation_call_type_bar", ("escalation_team", "call_type"), ("n",)),
     Visual("v32", "blast_radius_bar_v2", ("month", "call_type"), ("n",), "incident"),
-    Visual("v33", "feature_gap_bar_v2", ("category",), ("n",), "feature_gap"),
+    Visual("v33", "feature_gap_bar_v2", ("category",), ("n",), "feature_gap", sort=("n", "desc")),
     Visual("v34", "issues_by_call_type", ("call_type", "escalation_priority"), ("issues",)),
 ]
 
@@ -104,26 +105,43 @@ def _dim(d: str) -> Column:
     return DIMENSIONS[d][0]().alias(d) if d in DIMENSIONS else F.col(d)
 
 
-def grouped_metric(df: DataFrame, dims, measures, filter_name: str | None = None) -> DataFrame:
-    """filter -> groupBy(dims) -> agg(measures); an empty ``dims`` is a global aggregate."""
+def grouped_metric(df: DataFrame, dims, measures, filter_name: str | None = None, sort: tuple = ()) -> DataFrame:
+    """filter -> groupBy(dims) -> agg(measures) -> orderBy(sort, dims); an empty ``dims`` is a global aggregate."""
     if filter_name:
         df = df.filter(FILTERS[filter_name][0]())
     aggs = [MEASURES[m][0]().alias(m) for m in measures]
     if not dims:
         return df.agg(*aggs)
-    return df.groupBy(*[_dim(d) for d in dims]).agg(*aggs)
+    out = df.groupBy(*[_dim(d) for d in dims]).agg(*aggs)
+    if not sort:
+        return out
+    first = F.col(sort[0])
+    return out.orderBy(first.desc_nulls_last() if sort[1] == "desc" else first.asc_nulls_last(),
+                       *[F.col(d).asc_nulls_last() for d in dims])
 
 
-def grouped_metric_sql(dims, measures, filter_name: str | None = None, source: str = "enriched") -> str:
+def grouped_metric_sql(dims, measures, filter_name: str | None = None, source: str = "enriched", sort: tuple = ()) -> str:
     sel_dims = [f"{DIMENSIONS[d][1]} AS {d}" if d in DIMENSIONS else d for d in dims]
     sel = ", ".join(sel_dims + [f"{MEASURES[m][1]} AS {m}" for m in measures])
     where = f" WHERE {FILTERS[filter_name][1]}" if filter_name else ""
     group = (" GROUP BY " + ", ".join(str(i + 1) for i in range(len(dims)))) if dims else ""
-    return f"SELECT {sel} FROM {source}{where}{group}"
+    order = (f" ORDER BY {sort[0]} {sort[1]} NULLS LAST, " + ", ".join(f"{d} NULLS LAST" for d in dims)) if sort else ""
+    return f"SELECT {sel} FROM {source}{where}{group}{order}"
 
 
 def render(df: DataFrame, v: Visual) -> DataFrame:
-    return grouped_metric(df, v.dims, v.measures, v.filter)
+    return grouped_metric(df, v.dims, v.measures, v.filter, v.sort)
+
+
+def months(first: str, last: str) -> list[str]:
+    """The months ``YYYY-MM`` from ``first`` to ``last``."""
+    (y0, m0), (y1, m1) = ([int(x) for x in m.split("-")] for m in (first, last))
+    return [f"{k // 12:04d}-{k % 12 + 1:02d}" for k in range(y0 * 12 + m0 - 1, y1 * 12 + m1)]
+
+
+def sentiment_pivot(df: DataFrame, columns: list[str]) -> DataFrame:
+    """V-23: category x month matrix of the average score; the month list is explicit, so no job looks for it."""
+    return df.groupBy("category").pivot("month", columns).agg(MEASURES["avg_sentiment"][0]())
 
 
 def severity_heatmap(df: DataFrame) -> DataFrame:

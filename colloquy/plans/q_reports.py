@@ -94,24 +94,36 @@ ORDER BY CASE WHEN escalation_priority = 'p0' THEN 0 ELSE 1 END, z_score DESC, m
 
 
 # A-05 trends (+ P-07 call type and last-N-days filter)
-def _trend_sql(call_type: str, days: int) -> str:
+def _trend_where(call_type: str, days: int) -> str:
     where = []
     if call_type:
         where.append(f"call_type = {q(call_type)}")
     if days:
         where.append(f"processed_at >= TIMESTAMP '{NOW}' - INTERVAL {days} DAY")
-    w = ("WHERE " + " AND ".join(where)) if where else ""
+    return ("WHERE " + " AND ".join(where)) if where else ""
+
+
+def _trend_sql(call_type: str, days: int, score: str = "coalesce(score_h, 0)") -> str:
     return with_enriched(f"""
 SELECT {q(call_type or 'all')} AS call_type, count(*) AS n_meetings,
-       {mh("sum(coalesce(score_h, 0))", "count(*)", 3)} AS avg_sentiment,
-       min(coalesce(score_h, 0)) / 100 AS min_sentiment, max(coalesce(score_h, 0)) / 100 AS max_sentiment,
+       {mh(f"sum({score})", f"count({score})", 3)} AS avg_sentiment,
+       min({score}) / 100 AS min_sentiment, max({score}) / 100 AS max_sentiment,
        count_if(is_anomaly) AS anomaly_count, {rt("count_if(is_anomaly)", "count(*)", 3)} AS anomaly_rate
-FROM enriched {w}""")
+FROM enriched {_trend_where(call_type, days)}""")
+
+
+def _trend_labels_sql(call_type: str, days: int) -> str:
+    return with_enriched(f"""
+SELECT coalesce(sentiment_label, 'unknown') AS sentiment_label, count(*) AS n FROM enriched {_trend_where(call_type, days)} GROUP BY 1""")
 
 
 _reg("a05_sentiment_trends", _trend_sql("", 0), lambda spark, sf: R.sentiment_trends(enriched(spark, sf)))
 _reg("p07_trends_type_last_days", _trend_sql("external", 365),
      lambda spark, sf: R.sentiment_trends(enriched(spark, sf), "external", 365, NOW))
+_reg("a05b_trend_labels", _trend_labels_sql("external", 365),
+     lambda spark, sf: R.trend_labels(enriched(spark, sf), "external", 365, NOW))
+_reg("a05c_trends_scored_only", _trend_sql("", 0, "score_h"),
+     lambda spark, sf: R.sentiment_trends(enriched(spark, sf), missing_as_zero=False))
 _reg("a06_label_distribution", with_enriched(
     "SELECT coalesce(sentiment_label, 'unknown') AS sentiment_label, count(*) AS n FROM enriched GROUP BY 1"),
      lambda spark, sf: R.label_distribution(enriched(spark, sf)))
@@ -181,7 +193,7 @@ _reg("t07_worst_accounts", with_enriched(f"SELECT * FROM ({_ACCT}) ORDER BY mean
 def _breakdown_sql(by: str) -> str:
     return with_enriched(f"""
 SELECT {by}, {mh("sum(score_h)", "count(*)")} AS mean, count(*) AS n, count_if(score_h < 300) AS n_below_3
-FROM enriched WHERE month = '{MONTH}' AND score_h > 0 AND company IS NOT NULL GROUP BY {by}""")
+FROM enriched WHERE month = '{MONTH}' AND score_h > 0 AND company IS NOT NULL GROUP BY {by} ORDER BY mean, {by}""")
 
 
 _reg("a16_month_by_call_type", _breakdown_sql("call_type"),
@@ -203,7 +215,7 @@ FROM (SELECT r.*, b.base_h, coalesce(c.account IS NOT NULL, false) AS competitiv
                  WHERE month = '{BASE_MONTH}' AND score_h > 0 GROUP BY company_simple) b ON b.company = r.company_x
       LEFT JOIN competitors c ON c.account = r.company_x)"""
 _RADAR = _RADAR.replace("SELECT meeting_id, company,", "SELECT meeting_id, company_x AS company,")
-_reg("a17_churn_radar", with_enriched(_RADAR, COMPETITORS_SQL),
+_reg("a17_churn_radar", with_enriched(f"SELECT * FROM ({_RADAR}) ORDER BY risk_score DESC, meeting_id", COMPETITORS_SQL),
      lambda spark, sf: R.churn_radar(enriched(spark, sf), BASE_MONTH, competitor_accounts(spark, sf)))
 _reg("a17b_churn_counts", with_enriched(
     f"SELECT count(*) AS below_threshold, count_if(competitive_threat) AS competitive, count_if(has_churn_signal) AS churn_signal FROM ({_RADAR})",

@@ -46,6 +46,9 @@ def test_export_partitions_and_latest_snapshot(spark, scratch):
     assert ext.count() == n1 + n2 and n2 == n2b == recs.count()
     latest = SK.latest_snapshot(ext)
     assert latest.count() == n2 and latest.select("meeting_id").distinct().count() == n2
+    listed = SK.read_latest_snapshot(spark, path)
+    assert sorted(listed.collect()) == sorted(latest.collect())
+    assert "PartitionFilters: [isnotnull(date" in listed._jdf.queryExecution().executedPlan().toString()
 
 
 def test_feedback_validation_accept_apply(spark):
