@@ -50,8 +50,8 @@ def main() -> None:
     t0 = time.perf_counter()
     enriched(spark, sf_dir)
     times["p00b_gold_records_ready"] = round(time.perf_counter() - t0, 3)
-    # Corpus statistics for search (built once per input/code fingerprint, else reused).
-    from colloquy.plans.q_text import document_index, records_index
+    # Postings and corpus statistics for search (built once per input/code fingerprint, else reused).
+    from colloquy.operators.search import document_index, records_index
     t0 = time.perf_counter()
     document_index(spark, sf_dir)
     records_index(spark, sf_dir, "chat")

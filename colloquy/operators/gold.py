@@ -24,7 +24,7 @@ from colloquy.session import ensure_checkpoint_dir
 GOLD_VERSION = "3"
 _PKG = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
 # Source files whose logic shapes gold tables: a change to any of them yields a new fingerprint.
-CODE_FILES = ["rules.py", "sources/meetings.py", "sources/tables.py", "operators/records.py", "operators/search.py",
+CODE_FILES = ["rules.py", "sources/meetings.py", "sources/tables.py", "operators/gold.py", "operators/records.py", "operators/search.py",
               "functions/__init__.py",
               "functions/classify.py", "functions/sentiment.py", "functions/issues.py", "functions/routing.py",
               "functions/accounts.py", "functions/flags.py"]
@@ -56,7 +56,9 @@ def fingerprint(spark: SparkSession, inputs: list, spec: str) -> str:
 
 
 def gold_table(spark: SparkSession, name: str, inputs: list, spec: str, build: Callable[[], DataFrame],
-               sort_by: list | None = None) -> DataFrame:
+               sort_by: list | None = None, bloom: list | None = None) -> DataFrame:
+    """``sort_by`` clusters rows inside files; ``bloom`` columns get a Parquet Bloom filter per row
+    group, so a point lookup on them skips the row groups that lack the value."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     final = f"{root}/gold/{name}-{fingerprint(spark, inputs, spec)}"
     p, fs = _fs(spark, final)
@@ -67,7 +69,10 @@ def gold_table(spark: SparkSession, name: str, inputs: list, spec: str, build: C
             # Cluster rows inside each file so min/max statistics let filters on these
             # columns skip row groups (no directory partitioning: no skew, no tiny files).
             df = df.sortWithinPartitions(*sort_by)
-        df.write.mode("overwrite").parquet(tmp)
+        writer = df.write.mode("overwrite")
+        for c in bloom or []:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(tmp)
         tp, _ = _fs(spark, tmp)
         if not fs.exists(_fs(spark, final + "/_SUCCESS")[0]):
             fs.mkdirs(p.getParent())

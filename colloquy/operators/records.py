@@ -108,7 +108,7 @@ def enriched(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -
     rule set, then every report scans parquet (column pruning + row-group skipping)."""
     from colloquy.operators.gold import gold_table
     return gold_table(spark, "enriched", [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "lineitem")],
-                      repr(rules), lambda: build_enriched(spark, sf_dir, rules), sort_by=["call_type", "month"])
+                      repr(rules), lambda: build_enriched(spark, sf_dir, rules), sort_by=["call_type", "month"], bloom=["meeting_id"])
 
 
 def records(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES, extra: list | None = None) -> DataFrame:

@@ -1,22 +1,25 @@
 """BM25 keyword search over a text column.
 
-Plan: tokens per document stay inside their row (``regexp_extract_all``).
-Pass 1 is one global aggregate giving N, the average length and the document
-frequency of every query term (one row, width bounded by the query).  Pass 2
-explodes only tokens equal to a query term, so the shuffle carries
-(doc, term) pairs for the query terms, never the whole corpus; the per-term idf
-weights are literals in that plan.
+A stored index holds postings (term, document, its length, term frequency), clustered by term, and
+the corpus statistics; a query reads the postings of its own terms (pushed-down filter, row groups
+skipped by their term range) and no text.  Without an index the same scores come from two passes
+over the text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.operators.gold import gold_table
+from colloquy.operators.records import enriched
 from colloquy.rules import SEARCH_B, SEARCH_K1, SEARCH_MAX_K, SEARCH_TOP_K
+from colloquy.sources.tables import table
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 
@@ -40,41 +43,86 @@ def corpus_stats(docs: DataFrame, terms: list) -> tuple:
     return int(row["n"]), float(row["avgdl"] or 0.0), {t: int(row[f"df{i}"]) for i, t in enumerate(terms)}
 
 
-def corpus_index(docs: DataFrame) -> tuple:
-    """Query-independent corpus statistics: (stats: one row n_docs, sum_dl;
-    term_df: one row per vocabulary term).  Each document contributes its distinct
-    terms once; the per-term count is combined map-side, so a term present in
-    every document is not a hot key."""
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("tokens")).cast("bigint").alias("sum_dl"))
-    term_df = (docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
-               .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    return stats, term_df
+class Index(NamedTuple):
+    """Stored search index: stats (n_docs, sum_dl; one row per appended part), term_df (term, df;
+    one row per term and part) and postings (term, doc_id, dl, tf)."""
+
+    stats: DataFrame
+    term_df: DataFrame
+    postings: DataFrame
+
+    def plus(self, other: Index) -> Index:
+        """The index with new documents appended: three unions, nothing is rebuilt."""
+        return Index(*(a.unionByName(b) for a, b in zip(self, other)))
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, dl, tf) of (doc_id, tokens) rows, in ranges of (term, hash of the id): a
+    query's terms are few row groups, and a term of most documents spans many partitions."""
+    hits = (docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+            .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))  # combined map-side, document by document
+    rows = hits.select("term", "doc_id", "dl", "tf", F.xxhash64("doc_id").alias("_h"))
+    return rows.repartitionByRange("term", "_h").sortWithinPartitions("term", "_h").drop("_h")
+
+
+def corpus_index(docs: DataFrame, n_docs: DataFrame | None = None, stored: DataFrame | None = None) -> Index:
+    """Index of (doc_id, tokens) rows.  The statistics are counted on the postings (``stored``, if
+    they are materialised) and on ``n_docs`` (any table with one row per document), so the text is
+    read once.  Per-term counts are combined map-side: a frequent term is no hot key."""
+    post = postings(docs) if stored is None else stored
+    total = post.agg(F.sum("tf").cast("bigint").alias("sum_dl"))
+    n = (docs if n_docs is None else n_docs).agg(F.count(F.lit(1)).alias("n_docs"))
+    stats = (n.select("n_docs", F.lit(None).cast("bigint").alias("sum_dl"))
+             .unionByName(total.select(F.lit(None).cast("bigint").alias("n_docs"), "sum_dl"))
+             .agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl")))
+    return Index(stats, post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), post)
 
 
 def indexed_stats(stats: DataFrame, term_df: DataFrame, terms: list) -> tuple:
-    """(N, avgdl, {term: df}) from a stored index: one stats row plus the query's terms."""
-    row = stats.first()
+    """(N, avgdl, {term: df}) from a stored index: one row per query term."""
+    row = stats.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl")).first()
     n = int(row["n_docs"] or 0)
     avgdl = (row["sum_dl"] or 0) / n if n else 0.0
-    got = {r["term"]: int(r["df"]) for r in term_df.filter(F.col("term").isin(*terms)).collect()}
+    found = term_df.filter(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("df")).collect()
+    got = {r["term"]: int(r["df"]) for r in found}
     return n, float(avgdl), {t: got.get(t, 0) for t in terms}
 
 
+def stored_index(spark: SparkSession, name: str, inputs: list, docs: Callable[[], DataFrame]) -> Index:
+    """The gold index of ``docs()`` (doc_id, tokens), built once per input and code fingerprint."""
+    post = gold_table(spark, f"{name}-postings", inputs, "bm25", lambda: postings(docs()))
+    lazy = lambda: corpus_index(docs(), n_docs=docs().select("doc_id"), stored=post)
+    return Index(gold_table(spark, f"{name}-stats", inputs, "bm25", lambda: lazy().stats),
+                 gold_table(spark, f"{name}-terms", inputs, "bm25", lambda: lazy().term_df, sort_by=["term"]), post)
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> Index:
+    """Gold index of ``documents``."""
+    return stored_index(spark, "doc", [f"{sf_dir.rstrip('/')}/documents.parquet"],
+                        lambda: table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens")))
+
+
+def records_index(spark: SparkSession, sf_dir: str, version: str) -> Index:
+    """Gold index of the record search documents (per document version)."""
+    src = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "lineitem")]
+    return stored_index(spark, f"rec-{version}", src, lambda: enriched(spark, sf_dir).select(
+        F.col("meeting_id").alias("doc_id"), tokens(record_doc(version)).alias("tokens")))
+
+
 def bm25(df: DataFrame, id_col: str, text: Column, query: str, k1: float = SEARCH_K1, b: float = SEARCH_B,
-         index: tuple | None = None) -> DataFrame:
+         index: Index | None = None) -> DataFrame:
     """Score every document with at least one query term: (id, score).
 
-    Two passes over the text: the corpus statistics (one aggregate row) and the
-    scoring pass, where only tokens equal to a query term are exploded and the
-    per-term constants are literals in the plan (no join, no broadcast).  With a
-    stored ``index`` (see ``corpus_index``) only the scoring pass reads the text."""
+    With a stored ``index`` the query reads the postings of its terms and never the text.
+    Without one it makes two passes over the text: the corpus statistics (one aggregate row)
+    and the hits.  The per-term constants are literals in the plan (no join, no broadcast)."""
     q = query_terms(query)
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens"))
     terms = list(q)
     if not terms:
         return spark.createDataFrame([], "doc_id string, score double").select(F.col("doc_id").alias(id_col), "score")
-    n_docs, avgdl, dfs = indexed_stats(*index, terms) if index is not None else corpus_stats(docs, terms)
+    docs = df.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens"))
+    n_docs, avgdl, dfs = indexed_stats(index.stats, index.term_df, terms) if index is not None else corpus_stats(docs, terms)
     if n_docs == 0:
         return spark.createDataFrame([], "doc_id string, score double").select(F.col("doc_id").alias(id_col), "score")
     # weight(term) = query count * idf(term), a literal per term
@@ -83,17 +131,25 @@ def bm25(df: DataFrame, id_col: str, text: Column, query: str, k1: float = SEARC
         d = dfs[t]
         w = F.lit(q[t]) * F.log(F.lit((n_docs - d + 0.5) / (d + 0.5)) + F.lit(1.0))
         weight = F.when(F.col("term") == t, w) if weight is None else weight.when(F.col("term") == t, w)
-    # A token equal to a term implies the lower-cased text contains it: documents with none
-    # of the terms as a substring cannot score, so pass 2 skips tokenising them (exact).
+    if index is not None:
+        hits = index.postings.filter(F.col("term").isin(*terms))
+    else:
+        hits = _scan_hits(df, id_col, text, terms)
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
+    contrib = weight * (F.col("tf") * F.lit(k1 + 1)) / norm
+    return hits.groupBy("doc_id").agg(F.sum(contrib).alias("score")).select(F.col("doc_id").alias(id_col), "score")
+
+
+def _scan_hits(df: DataFrame, id_col: str, text: Column, terms: list) -> DataFrame:
+    """(doc_id, dl, term, tf) of the query terms from the text itself.  A token equal to a term
+    implies that the lower-cased text contains it, so texts with none of the terms as a substring
+    are not tokenised (exact), and only tokens equal to a term are exploded."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
     maybe = df.filter(F.coalesce(lowered.rlike("|".join("\\Q" + t + "\\E" for t in terms)), F.lit(False)))
     docs = maybe.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens"))
-    hits = (docs.select("doc_id", F.size("tokens").alias("dl"),
+    return (docs.select("doc_id", F.size("tokens").alias("dl"),
                         F.explode(F.filter("tokens", lambda t: t.isin(*terms))).alias("term"))
             .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
-    contrib = weight * (F.col("tf") * F.lit(k1 + 1)) / norm
-    return hits.groupBy("doc_id").agg(F.sum(contrib).alias("score")).select(F.col("doc_id").alias(id_col), "score")
 
 
 def top_k(scores: DataFrame, id_col: str, k: int = SEARCH_TOP_K) -> DataFrame:

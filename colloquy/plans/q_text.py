@@ -109,19 +109,9 @@ scores AS (
                    f"ORDER BY score DESC, doc_id LIMIT {min(max(1, k), 20)}")
 
 
-def document_index(spark, sf):
-    """Gold corpus statistics of ``documents`` (built once per input/code fingerprint)."""
-    from colloquy.operators.gold import gold_table
-    src = [f"{sf.rstrip('/')}/documents.parquet"]
-    docs = lambda: table(spark, sf, "documents").select(S.tokens(F.col("text")).alias("tokens"))
-    stats = gold_table(spark, "doc-stats", src, "bm25", lambda: S.corpus_index(docs())[0])
-    term_df = gold_table(spark, "doc-terms", src, "bm25", lambda: S.corpus_index(docs())[1], sort_by=["term"])
-    return stats, term_df
-
-
 def _docs_top(spark, sf, k):
     d = table(spark, sf, "documents")
-    return S.top_k(S.bm25(d, "doc_id", F.col("text"), DOC_QUERY, index=document_index(spark, sf)), "doc_id", k)
+    return S.top_k(S.bm25(d, "doc_id", F.col("text"), DOC_QUERY, index=S.document_index(spark, sf)), "doc_id", k)
 
 
 register("d29_bm25_documents_top5", _bm25_sql("SELECT doc_id, text AS txt FROM documents", DOC_QUERY, 5))(
@@ -131,7 +121,7 @@ register("t04_bm25_documents_top20", _bm25_sql("SELECT doc_id, text AS txt FROM
 register("d29b_bm25_documents_scores",
          "SELECT doc_id, floor(score * 1000000 + 0.5) / 1000000 AS score FROM ("
          + _bm25_sql("SELECT doc_id, text AS txt FROM documents", DOC_QUERY, None) + ")")(
-    lambda spark, sf: S.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), DOC_QUERY, index=document_index(spark, sf))
+    lambda spark, sf: S.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), DOC_QUERY, index=S.document_index(spark, sf))
     .select("doc_id", (F.floor(F.col("score") * 1_000_000 + 0.5) / 1_000_000).alias("score")))
 
 _ISSUES3 = "array_to_string(list_transform(issues[1:3], lambda i: coalesce(i.title, '')), ' ')"
@@ -144,19 +134,9 @@ register("d24_search_document", with_enriched(f"SELECT meeting_id, {_CHAT_DOC} A
                                                  S.record_doc("server").alias("server_doc")))
 
 
-def records_index(spark, sf, version):
-    """Gold corpus statistics of the record search documents (per document version)."""
-    from colloquy.operators.gold import gold_table
-    src = [f"{sf.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "lineitem")]
-    docs = lambda: enriched(spark, sf).select(S.tokens(S.record_doc(version)).alias("tokens"))
-    stats = gold_table(spark, f"rec-{version}-stats", src, "bm25", lambda: S.corpus_index(docs())[0])
-    term_df = gold_table(spark, f"rec-{version}-terms", src, "bm25", lambda: S.corpus_index(docs())[1], sort_by=["term"])
-    return stats, term_df
-
-
 def _records_top(spark, sf, version, k):
     e = enriched(spark, sf)
-    scores = S.bm25(e, "meeting_id", S.record_doc(version), RECORD_QUERY, index=records_index(spark, sf, version))
+    scores = S.bm25(e, "meeting_id", S.record_doc(version), RECORD_QUERY, index=S.records_index(spark, sf, version))
     return S.top_k(scores, "meeting_id", k).withColumnRenamed("meeting_id", "doc_id")
 
 
