@@ -24,10 +24,10 @@ from colloquy.session import ensure_checkpoint_dir
 GOLD_VERSION = "3"
 _PKG = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
 # Source files whose logic shapes gold tables: a change to any of them yields a new fingerprint.
-CODE_FILES = ["rules.py", "sources/meetings.py", "sources/tables.py", "operators/gold.py", "operators/records.py", "operators/search.py",
+CODE_FILES = ["rules.py", "sources/meetings.py", "sources/tables.py", "operators/gold.py", "operators/records.py", "operators/search.py", "operators/redaction.py",
               "functions/__init__.py",
               "functions/classify.py", "functions/sentiment.py", "functions/issues.py", "functions/routing.py",
-              "functions/accounts.py", "functions/flags.py"]
+              "functions/accounts.py", "functions/flags.py", "functions/redact.py"]
 
 
 def code_fingerprint() -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import accounts, classify, flags, issues, routing, sentiment
+from colloquy.operators.redaction import MEETING_TEXT_COLUMNS, redact_record
 from colloquy.rules import DEFAULT_RULES, OTHER_CATEGORY, SUMMARY_MAX_CHARS, RuleSet
 from colloquy.sources.meetings import meetings_raw
 
@@ -99,8 +100,10 @@ def enrich(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
 
 
 def build_enriched(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """The full write path from the driver tables (no materialisation)."""
-    return enrich(meetings_raw(spark, sf_dir), rules)
+    """The full write path from the driver tables (no materialisation): every string leaf is
+    redacted first, and classification reads the sanitized meeting only."""
+    sanitized = redact_record(meetings_raw(spark, sf_dir), MEETING_TEXT_COLUMNS, rules)
+    return enrich(sanitized.drop("n_pii_redacted"), rules)
 
 
 def enriched(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:

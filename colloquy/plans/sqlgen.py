@@ -40,6 +40,44 @@ def list_lit(items) -> str:
     return "([" + ", ".join(q(i) for i in items) + "]::VARCHAR[])"
 
 
+def duck_pattern(etype: str, pattern: str) -> str:
+    # RE2 has no lookahead: the e-mail pattern drops its vendor lookaheads and the
+    # vendor domains are filtered from the extracted matches instead.
+    if etype == "EMAIL":
+        pattern = pattern.replace(r"(?!aegiscloud\.com)(?!aegis\.com)", "")
+    return "(?i)" + pattern
+
+
+def vendor_filter(m: str, rules: RuleSet = DEFAULT_RULES) -> str:
+    cond = " AND ".join(f"NOT starts_with(lower(split_part(v, '@', 2)), {q(d)})" for d in rules.vendor_email_domains)
+    return f"list_filter({m}, lambda v: {cond})"
+
+
+def pii_matches(text: str, etype: str, pattern: str) -> str:
+    m = f"regexp_extract_all({text}, {q(duck_pattern(etype, pattern))}, 0)"
+    return vendor_filter(m) if etype == "EMAIL" else m
+
+
+def pii_placeholder(etype: str, original: str) -> str:
+    return f"concat({q('[' + etype + '_')}, substr(md5(lower({original})), 1, 6), ']')"
+
+
+def sanitized_ctes(source: str, out: str, rules: RuleSet = DEFAULT_RULES) -> str:
+    """``out``: the meetings of ``source`` with redacted title, summary and attendees (the texts of
+    topics, moments and action items are literals that no pattern matches)."""
+    def fold(t, etype, pattern):
+        return (f"list_reduce(list_prepend({t}, {pii_matches(t, etype, pattern)}), "
+                f"lambda acc, x: replace(acc, x, {pii_placeholder(etype, 'x')}))")
+
+    ctes, last = [], len(rules.pii_patterns)
+    for i, (etype, pattern) in enumerate(rules.pii_patterns, 1):
+        name, before = (out if i == last else f"{out}_{i}"), (source if i == 1 else f"{out}_{i - 1}")
+        # materialized: a filter pushed through the ten steps would repeat the text's expression 2**10 times
+        ctes.append(f"{name} AS {'MATERIALIZED ' if i == last else ''}(SELECT * REPLACE ({fold('title', etype, pattern)} AS title, {fold('summary', etype, pattern)} AS summary, "
+                    f"list_transform(attendees, lambda a: {fold('a', etype, pattern)}) AS attendees) FROM {before})")
+    return ",\n".join(ctes)
+
+
 def meetings_ctes() -> str:
     km_text = pick("l_partkey % 8", [q(t) for t in M.MOMENT_TEXTS])
     km_type = pick("l_linenumber % 4", [q(t) for t in M.MOMENT_TYPES])
@@ -62,7 +100,7 @@ km AS (
         FROM km_ranked GROUP BY l_orderkey, {km_text}, {km_type})
   GROUP BY l_orderkey
 ),
-meetings AS (
+meetings_plain AS (
   SELECT CAST({k} AS VARCHAR) AS meeting_id,
          {k} AS k,
          {pick(f"{k} % {len(M.TITLE_TEMPLATES)}", [render(t, vals) for t in M.TITLE_TEMPLATES])} AS title,
@@ -80,7 +118,8 @@ meetings AS (
          c.c_mktsegment AS segment
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN km ON km.km_orderkey = o.o_orderkey
-)"""
+),
+{sanitized_ctes("meetings_plain", "meetings")}"""
 
 
 def _title_level(t: str, rules: RuleSet) -> str:
