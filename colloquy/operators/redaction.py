@@ -121,15 +121,19 @@ def leak_check(df: DataFrame, id_col: str, column: str, rules: RuleSet = DEFAULT
             .select("source_id", F.col("m.original").alias("original")))
 
 
+def residue(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """Matches that any pattern has in ``text``."""
+    left = F.lit(0)
+    for _, p in rules.pii_patterns:
+        left = left + F.coalesce(F.size(F.regexp_extract_all(text, F.lit(java_pattern(p)), 0)), F.lit(0))
+    return F.when(pii_possible(text, rules), left).otherwise(F.lit(0)).cast("long")
+
+
 def leak_report(df: DataFrame, column: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """E-03: texts, redacted texts, replacements, and matches that any pattern still has in the output."""
     r = df.select(redact(F.col(column), rules).alias("r")).select("r.text", "r.n")
-    left = F.lit(0)
-    for _, p in rules.pii_patterns:
-        left = left + F.coalesce(F.size(F.regexp_extract_all("text", F.lit(java_pattern(p)), 0)), F.lit(0))
-    left = F.when(pii_possible(F.col("text"), rules), left).otherwise(F.lit(0))
     return r.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("n") > 0).alias("n_redacted"),
-                 F.sum(F.col("n").cast("long")).alias("n_matches"), F.sum(left.cast("long")).alias("n_left"))
+                 F.sum(F.col("n").cast("long")).alias("n_matches"), F.sum(residue(F.col("text"), rules)).alias("n_left"))
 
 
 def reveal(redacted: DataFrame, id_col: str, column: str, vault: DataFrame) -> DataFrame:

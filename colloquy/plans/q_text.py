@@ -127,9 +127,8 @@ def gold_leak_report(spark, sf):
     """Texts of the stored records, those with a placeholder, and matches of any pattern left in them."""
     e = enriched(spark, sf)
     texts = e.select(F.explode(F.concat(F.array("title", "summary"), "attendees")).alias("text"))
-    left = RD.leak_report(texts, "text").select("n_texts", F.col("n_matches").alias("n_left"))
-    marked = texts.agg(F.count_if(F.col("text").rlike(r"\[[A-Z_]+_[0-9a-f]{6}\]")).alias("n_marked"))
-    return left.withColumn("_k", F.lit(1)).join(marked.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return texts.agg(F.count(F.lit(1)).alias("n_texts"), F.sum(RD.residue(F.col("text"))).alias("n_left"),
+                     F.count_if(F.col("text").rlike(r"\[[A-Z_]+_[0-9a-f]{6}\]")).alias("n_marked"))
 
 
 register("e03c_gold_leak_report", with_enriched(f"""
