@@ -1,10 +1,12 @@
 """License scans: TF-IDF cosine of text lines to licence templates, and inheritance by directory.
 
-Every line of a file is a candidate header.  Its sparse TF-IDF vector (document frequencies of the
-template terms are counted over all files; every other term has the weight of an unseen one) is
-compared with each template; the best line at ``HEADER`` or above licenses the file directly.  A
-file is a licence file if its whole text, as one vector, reaches ``WHOLE``, or if it is named like
-one and a line reaches ``HEADER``; it licenses its directory.  Other files inherit from the nearest
+Every line of a file and every block of up to ``BLOCK`` consecutive lines with words is a candidate
+header.  Its sparse TF-IDF vector (document frequencies of the template terms are counted over all
+files; every other term has the weight of an unseen one) is compared with each template; the best
+one at ``HEADER`` or above licenses the file directly.  A block is scored only where a bound from its
+lines' products and norms lets it win, so none is lost.  A file is a licence file if its whole text,
+as one vector, reaches ``WHOLE``, whatever its lines score, or if it is named like one and a header
+reaches ``HEADER``; it licenses its directory.  Other files inherit from the nearest
 ancestor directory with a licence file: the distinct directories are joined with their ancestors
 first, then the files with their directory.
 
@@ -19,6 +21,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import stage
 
 HEADER, WHOLE = 0.8, 0.85
+#: Lines of the longest header.
+BLOCK = 20
 #: Short notices (fixed values): identifier, text.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -48,6 +53,13 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+def _sum(counts: list[Counter]) -> Counter:
+    out = Counter()
+    for c in counts:
+        out.update(c)
+    return out
+
+
 class Matcher:
     """Template vectors under given document frequencies."""
 
@@ -61,23 +73,50 @@ class Matcher:
             v = {t: k * self.idf[t] for t, k in c.items()}
             self.rows.append((name, v, math.sqrt(sum(x * x for x in v.values()))))
         self.terms = frozenset(self.idf)
+        self.zeros, self.norms = [0.0] * len(tf), np.array([norm for _, _, norm in self.rows])
 
-    def best(self, words: list[str], least: float) -> tuple[str, float] | None:
-        known = self.terms.intersection(words)
-        if not known:
-            return None
-        c = Counter(words)
-        mine = {t: c[t] * self.idf[t] for t in known}
+    def weigh(self, c: Counter) -> tuple[list[float], float]:
+        """Products with the template vectors, and the squared norm."""
+        mine = {t: c[t] * self.idf[t] for t in self.terms.intersection(c)}
         norm2 = sum(x * x for x in mine.values())
-        norm2 += sum(k * k for t, k in c.items() if t not in known) * self.unseen ** 2
+        norm2 += sum(k * k for t, k in c.items() if t not in mine) * self.unseen ** 2
+        return [sum(x * v[t] for t, x in mine.items() if t in v) for _, v, _ in self.rows] if mine else self.zeros, norm2
+
+    def top(self, dots: list[float], norm2: float, least: float) -> tuple[str, float] | None:
         top = None
-        for name, v, norm in self.rows:
+        for (name, _, norm), dot in zip(self.rows, dots):
             # rounded, so that equal cosines tie whatever the order of summation
-            cos = round(sum(x * v[t] for t, x in mine.items() if t in v) / (norm * math.sqrt(norm2)), 9)
+            cos = round(dot / (norm * math.sqrt(norm2)), 9) if dot else 0.0
             if cos >= least and (top is None or cos > top[1]):
                 top = name, cos
         return top
 
+    def best(self, words: list[str], least: float) -> tuple[str, float] | None:
+        return self.top(*self.weigh(Counter(words)), least)
+
+    def header(self, lines: list[Counter], least: float) -> tuple[str, float] | None:
+        """Best line or block of lines; ties go to the shorter and then the earlier one."""
+        weighed = [self.weigh(c) for c in lines]
+        top = None
+        for dots, norm2 in weighed:
+            got = self.top(dots, norm2, least)
+            if got and (top is None or got[1] > top[1]):
+                top = got
+        most = min(BLOCK, len(lines))
+        # counts only add up: |a + b|^2 >= |a|^2 + |b|^2, so no block exceeds sqrt(lines) times its best line
+        if most < 2 or not any(self.top(*w, least / math.sqrt(most) - 1e-6) for w in weighed):
+            return top
+        each = np.array([d for d, _ in weighed]) / self.norms, np.array([n for _, n in weighed])
+        dots, norm2 = each
+        for size in range(2, most + 1):
+            dots, norm2 = dots[:-1] + each[0][size - 1:], norm2[:-1] + each[1][size - 1:]
+            bound = dots.max(axis=1) / np.sqrt(norm2)
+            for i in np.flatnonzero(bound >= (top[1] if top else least) - 1e-6).tolist():
+                got = self.top(*self.weigh(_sum(lines[i:i + size])), least)
+                if got and (top is None or got[1] > top[1]):
+                    top = got
+        return top
+
 
 def frequencies(files: DataFrame, templates=TEMPLATES) -> tuple[dict[str, int], int]:
     """Number of files that have each template term, and of all files."""
@@ -102,13 +141,11 @@ def direct(files: DataFrame, templates=TEMPLATES) -> DataFrame:
         for b in batches:
             own, whole = [], []
             for text, path in zip(b.column("text").to_pylist(), b.column("path").to_pylist()):
-                best = None
-                for line in text.split("\n"):
-                    got = m.best(terms(line), HEADER)
-                    if got and (best is None or got[1] > best[1]):
-                        best = got
-                words = terms(text) if best else []
-                file = m.best(words, WHOLE) if best else None
+                lines = [Counter(ws) for ws in map(terms, text.split("\n")) if ws]
+                best = m.header(lines, HEADER)
+                file = m.top(*m.weigh(_sum(lines)), WHOLE)
+                if file and (best is None or file[1] > best[1]):
+                    best = file
                 if best and not file and _NAMED.match((path or "").rpartition("/")[2]):
                     file = best
                 own.append(best and dict(zip(("license", "cosine"), best)))

@@ -194,6 +194,31 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(rows.limit(0)).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    files = [(1, "w/LICENSE.md", "This work is licensed under the GNU General\nPublic License, version 3."), (2, "w/a.py", "code here"),
+             (3, "v/x.py", "first words of a file\n# Released under the\n#\n# MIT License.\nand more words that follow\n" * 2), (4, "v/y.py", "code here")]
+    got = sorted((r.file_id, r.license, r.origin, r.cosine) for r in licenses.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect())
+    assert got == [(1, "GPL-3.0", "header", 1.0), (2, "GPL-3.0", "directory", 1.0), (3, "MIT", "header", 1.0), (4, None, None, None)]
+
+
+def test_blocks_of_lines_are_all_scored():
+    rng = random.Random(8)
+    pool = sorted({t for _, x in licenses.TEMPLATES for t in licenses.terms(x)}) + ["other", "words"]
+    m = licenses.Matcher(licenses.TEMPLATES, {t: rng.randrange(90) for t in pool}, 100)
+    found = 0
+    for _ in range(400):
+        ws = licenses.terms(rng.choice(licenses.TEMPLATES)[1])
+        ws = [x for w in ws for x in ([w] if rng.random() < 0.9 else [w, rng.choice(pool)])]
+        cuts = sorted(rng.sample(range(1, len(ws)), min(3, len(ws) - 1)))
+        lines = [["other", "words"], *(ws[a:b] for a, b in zip([0, *cuts], [*cuts, len(ws)])), ["words"]]
+        each = [m.best(sum(lines[a:b], []), licenses.HEADER) for b in range(len(lines) + 1) for a in range(b)]
+        want = max((x[1] for x in each if x), default=None)
+        got = m.header([licenses.Counter(x) for x in lines], licenses.HEADER)
+        assert (got and got[1]) == want
+        found += bool(got)
+    assert found > 100
+
+
 def test_slices_hold_all_rows_in_order():
     batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in (5, 0, 9, 40, 3, 3)], pa.binary())], names=["d"])
     parts = list(shards([batch.slice(0, 2), batch.slice(2)], "d", 10))
