@@ -10,6 +10,11 @@ reaches ``HEADER``; it licenses its directory.  Other files inherit from the nea
 ancestor directory with a licence file: the distinct directories are joined with their ancestors
 first, then the files with their directory.
 
+Lines and blocks are compared with the short notices and with the standard headers, whole files with
+these and with the licence texts; each of the three lists has term weights of its own.  A licence text
+goes before what stands inside it ("All rights reserved." in a BSD file), as does a standard header
+before a notice of fewer words.
+
 Ties between templates go to the first in the list, between licence files of a directory to the
 higher cosine, then the smaller id.  Null or empty texts have no licence of their own but inherit;
 a null path inherits nothing; rows are independent; an empty table gives no rows.
@@ -20,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,14 @@ TEMPLATES = (
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("Proprietary", "All rights reserved."),
 )
+def _texts(at) -> tuple[tuple[str, str], ...]:
+    return tuple((f.name.removesuffix(".txt"), f.read_text("utf-8"))
+                 for f in sorted(at.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt"))
+
+
+#: Licence texts, compared with whole files, and standard headers of several lines.
+TEXTS = _texts(resources.files("colloquy.llm") / "licence_texts")
+HEADERS = _texts(resources.files("colloquy.llm") / "licence_texts" / "headers")
 _NAMED = re.compile(r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$")
 _TERM = re.compile(r"[a-z0-9]+")
 _FOUND = "struct<license:string,cosine:double>"
@@ -94,14 +108,14 @@ class Matcher:
     def best(self, words: list[str], least: float) -> tuple[str, float] | None:
         return self.top(*self.weigh(Counter(words)), least)
 
-    def header(self, lines: list[Counter], least: float) -> tuple[str, float] | None:
-        """Best line or block of lines; ties go to the shorter and then the earlier one."""
+    def header(self, lines: list[Counter], least: float) -> tuple[str, float, int] | None:
+        """Best line or block, and its number of words; ties go to the shorter and then the earlier one."""
         weighed = [self.weigh(c) for c in lines]
         top = None
-        for dots, norm2 in weighed:
-            got = self.top(dots, norm2, least)
+        for c, w in zip(lines, weighed):
+            got = self.top(*w, least)
             if got and (top is None or got[1] > top[1]):
-                top = got
+                top = *got, c.total()
         most = min(BLOCK, len(lines))
         # counts only add up: |a + b|^2 >= |a|^2 + |b|^2, so no block exceeds sqrt(lines) times its best line
         if most < 2 or not any(self.top(*w, least / math.sqrt(most) - 1e-6) for w in weighed):
@@ -112,9 +126,10 @@ class Matcher:
             dots, norm2 = dots[:-1] + each[0][size - 1:], norm2[:-1] + each[1][size - 1:]
             bound = dots.max(axis=1) / np.sqrt(norm2)
             for i in np.flatnonzero(bound >= (top[1] if top else least) - 1e-6).tolist():
-                got = self.top(*self.weigh(_sum(lines[i:i + size])), least)
+                c = _sum(lines[i:i + size])
+                got = self.top(*self.weigh(c), least)
                 if got and (top is None or got[1] > top[1]):
-                    top = got
+                    top = *got, c.total()
         return top
 
 
@@ -122,32 +137,43 @@ def frequencies(files: DataFrame, templates=TEMPLATES) -> tuple[dict[str, int],
     """Number of files that have each template term, and of all files."""
     vocab = sorted({t for _, x in templates for t in terms(x)})
     present = F.array_intersect(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), 0),
-                                F.array(*[F.lit(t) for t in vocab]))
+                                F.split(F.lit(" ".join(vocab)), " "))
     rows = files.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()
     got = {r.t: r.n for r in rows}
     return got, got.pop("", 0)
 
 
-def direct(files: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """file_id, path, the file's own licence (best line) and, for licence files, the directory's."""
-    df, n = frequencies(files, templates)
-    sent = files.sparkSession.sparkContext.broadcast(Matcher(templates, df, n))
+def judge(text: str, path: str | None, notices: Matcher, headers: Matcher, texts: Matcher) -> tuple[tuple | None, tuple | None]:
+    """The licence of a file, and the one it gives to its directory: (identifier, cosine)."""
+    lines = [Counter(ws) for ws in map(terms, text.split("\n")) if ws]
+    whole = _sum(lines)
+    file = texts.top(*texts.weigh(whole), WHOLE)
+    if file:
+        return file, file
+    short, long = notices.header(lines, HEADER), headers.header(lines, HEADER)
+    best = max((x for x in (short, long) if x), key=lambda x: (x[2], x[1]), default=None)
+    best = best and best[:2]
+    file = max((x for m in (notices, headers) if (x := m.top(*m.weigh(whole), WHOLE))), key=lambda x: x[1], default=None)
+    if file and (best is None or file[1] > best[1]):
+        best = file
+    if best and not file and _NAMED.match((path or "").rpartition("/")[2]):
+        file = best
+    return best, file
+
+
+def direct(files: DataFrame, templates=TEMPLATES, headers=HEADERS, texts=TEXTS) -> DataFrame:
+    """file_id, path, the file's own licence and, for licence files, the directory's."""
+    df, n = frequencies(files, (*templates, *headers, *texts))
+    sent = files.sparkSession.sparkContext.broadcast([Matcher(x, df, n) for x in (templates, headers, texts)])
     src = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
     kind = src.schema["file_id"].dataType.simpleString()
     struct = pa.struct([("license", pa.string()), ("cosine", pa.float64())])
 
     def run(batches):
-        m = sent.value
         for b in batches:
             own, whole = [], []
             for text, path in zip(b.column("text").to_pylist(), b.column("path").to_pylist()):
-                lines = [Counter(ws) for ws in map(terms, text.split("\n")) if ws]
-                best = m.header(lines, HEADER)
-                file = m.top(*m.weigh(_sum(lines)), WHOLE)
-                if file and (best is None or file[1] > best[1]):
-                    best = file
-                if best and not file and _NAMED.match((path or "").rpartition("/")[2]):
-                    file = best
+                best, file = judge(text, path, *sent.value)
                 own.append(best and dict(zip(("license", "cosine"), best)))
                 whole.append(file and dict(zip(("license", "cosine"), file)))
             yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("path"), pa.array(own, struct), pa.array(whole, struct)],

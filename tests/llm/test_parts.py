@@ -201,6 +201,24 @@ def test_wrapped_notices_are_found(spark):
     assert got == [(1, "GPL-3.0", "header", 1.0), (2, "GPL-3.0", "directory", 1.0), (3, "MIT", "header", 1.0), (4, None, None, None)]
 
 
+def test_licence_texts_and_standard_headers_are_found(spark):
+    import textwrap
+    texts, heads = dict(licenses.TEXTS), dict(licenses.HEADERS)
+    note = lambda k, sign, width: "\n".join(f"{sign} {x}" for x in textwrap.wrap(heads[k], width))
+    code = "\n" + "\n".join(f"value{i} = compute{i}(other{i})" for i in range(40))
+    files = [(1, "m/LICENSE.md", "MIT License\n\nCopyright (c) 2020 Acme\n\n" + texts["MIT"]), (2, "m/src/a.py", "code"),
+             (3, "g/COPYING.GPL3", "\n".join(textwrap.wrap(texts["GPL-3.0"], 60))), (4, "g/a.py", "code"),
+             (5, "b/copyright", "Copyright (c) 2020 Acme.\nAll rights reserved.\n\n" + texts["BSD-3-Clause"]), (6, "b/a.py", "code"),
+             (7, "x/a.py", "# Copyright 2020 Acme\n" + note("Apache-2.0", "#", 70) + code), (8, "x/b.py", "code"),
+             (9, "x/c.c", " * Copyright 2020 Acme\n * All rights reserved.\n" + note("BSD-2-Clause", " *", 78) + code),
+             (10, "x/d.c", note("LGPL-3.0", "//", 76) + code), (11, "x/e.c", note("GPL-2.0", "//", 76) + code)]
+    rows = spark.createDataFrame(files, "file_id long, path string, text string")
+    got = sorted((r.file_id, r.license, r.origin) for r in licenses.scan(rows).collect())
+    assert got == [(1, "MIT", "header"), (2, "MIT", "directory"), (3, "GPL-3.0", "header"), (4, "GPL-3.0", "directory"), (5, "BSD-3-Clause", "header"),
+                   (6, "BSD-3-Clause", "directory"), (7, "Apache-2.0", "header"), (8, None, None), (9, "BSD-2-Clause", "header"),
+                   (10, "LGPL-3.0", "header"), (11, "GPL-2.0", "header")]
+
+
 def test_blocks_of_lines_are_all_scored():
     rng = random.Random(8)
     pool = sorted({t for _, x in licenses.TEMPLATES for t in licenses.terms(x)}) + ["other", "words"]
