@@ -7,9 +7,11 @@ the path so far draws one coordinate, and sometimes a second (1 / THRESHOLD on a
 members go to the child of their sampled token.  A bucket of at most ``LEAF`` members is a leaf;
 larger ones are split again, unless splitting has left more than ``ALIKE`` of the parent together
 (its members are alike) or ``DEPTH`` levels are reached: these are cut in tiles whose pairs are
-dealt out, so every bucket is compared whole.  ``RUNS`` repeats reach the target recall: a pair at
-0.8 stays together with probability 0.84 a level, so after two levels all runs miss it with
-probability 0.3**12 = 5e-7, after three 2e-5.
+dealt out, so every bucket is compared whole.  Runs are repeated until a pair at 0.8 is missed by
+all with probability ``MISS`` at most: it stays together with probability 0.84 a split, so ``RUNS``
+(12) are enough for three splits.  The members of buckets that are split once more get the runs that
+``DEPTH`` + 1 splits need (46), among themselves: a pair with a member that has no such bucket is
+parted by three splits at most.
 
 Leaves are compared twice inside tasks and no pair is ever a row: first by signatures alone
 (pairs with fewer than ``AGREE`` of 64 equal coordinates are far below 0.8), then the members that
@@ -27,6 +29,7 @@ their own (class_id = doc_id, no links).  Repeated rows are copies; an empty tab
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 COORDS = 64
 RUNS, LEAF, DEPTH, ALIKE = 12, 1024, 8, 0.6
+#: Bound of the probability that every run parts a pair at 0.8.
+MISS = 2.5e-5
 #: 51 of 64 coordinates are expected to agree at 0.8, with a deviation of 3.2.
 AGREE = 30
 SLICE_BYTES = 4 << 20
@@ -146,12 +151,20 @@ def with_total(rows: DataFrame, key: str, by: str, total: Column, name: str) ->
     return salted.join(totals.select(key, name, F.explode(parts).alias("_salt")), [key, "_salt"]).drop("_salt")
 
 
-def leaves(reps: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(leaf, rep, size) rows of all runs; buckets of one are dropped."""
-    roots = F.array(*[F.xxhash64(F.lit("run"), F.lit(r)) for r in range(runs)])
+def runs_for(splits: int) -> int:
+    """Runs after which a pair at 0.8 is missed with probability MISS at most, if each run has ``splits`` splits."""
+    one = NUM / DEN
+    together = one * (1 - 1 / NUM) + (1 - (1 - one) ** 2) / NUM  # one coordinate, or either of two
+    return math.ceil(math.log(MISS) / math.log1p(-together ** splits))
+
+
+def _paths(reps: DataFrame, runs: range, leaf: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """(leaf, rep, size) rows of the given runs, and the members of buckets split more often than the
+    number of runs allows (None: there are none)."""
+    roots = F.array(*[F.xxhash64(F.lit("run"), F.lit(r)) for r in runs])
     children = F.explode(F.flatten(F.transform(roots, _children))).alias("leaf")
     rows = reps.select("rep", children, F.lit(None).cast("long").alias("was"))
-    out, level = None, 0
+    out, deep, level = None, None, 0
     while True:
         sized = stage(with_total(rows, "leaf", "rep", F.count("*"), "size").where("size > 1"), f"paths-{level}")
         alike = F.coalesce(F.col("size") > F.col("was") * F.lit(ALIKE), F.lit(False))
@@ -160,12 +173,23 @@ def leaves(reps: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEP
         out = done if out is None else out.unionByName(done)
         large = sized.where(~ends)
         if large.isEmpty():
-            return out
+            return out, deep
         level += 1
+        if deep is None and runs_for(level + 1) > len(runs):
+            deep = large.select("rep").distinct()
         rows = (large.select("leaf", "rep", F.col("size").alias("was")).join(reps.select("rep", "signature"), "rep")
                 .select("rep", F.explode(_children(F.col("leaf"))).alias("leaf"), "was"))
 
 
+def leaves(reps: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """(leaf, rep, size) rows of all runs, those for deep buckets included; buckets of one are dropped."""
+    rows, deep = _paths(reps, range(runs), leaf, depth)
+    if deep is None:
+        return rows
+    members = stage(reps.join(deep, "rep", "left_semi"), "deep")
+    return rows.unionByName(_paths(members, range(runs, runs_for(depth + 1)), leaf, depth)[0])
+
+
 def _tiled(rows: DataFrame, leaf: int) -> DataFrame:
     """Deal the members of oversized leaves to tiles, and every pair of tiles to a part of its own."""
     tiles = F.ceil(F.col("size") / F.lit(leaf)).cast("int")
