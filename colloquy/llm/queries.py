@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, contamination, jaccard, licenses, lm, quality, repeats, secrets, sharding, sql, warc
+from colloquy.llm import bpe, centroids, contamination, jaccard, licenses, lm, quality, repeats, runs, secrets, sharding, sql, toxicity, warc
 from colloquy.llm.common import table
 
 #: Shards of op9.
@@ -65,8 +65,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(jaccard.join(table(spark, sf_dir, "documents")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every tenth text, by a hash of its id, are made periodic first, as the contract says."""
+    return runs.digest(runs.detect(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_suffix_array_dedup, op3_benchmark_decontamination, op4_warc, op5_lm_scoring,
-                            op6_bpe, op7_quality_rules, op8_secret_scan, op9_sharding, op10_ngram_jaccard_join)}
+                            op6_bpe, op7_quality_rules, op8_secret_scan, op9_sharding, op10_ngram_jaccard_join,
+                            op11_periodic_runs, op12_centroid_clustering, op13_toxicity)}
 
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

@@ -1,12 +1,12 @@
 """DuckDB SQL of the queries that SQL can express, written from the contracts.
 
-Without SQL: op5 (a trained model), op6 (byte pair merges), op8 (learnt automata) and op9 (its
-draws are a hash that DuckDB lacks).
+Without SQL: op5 and op13 (trained models), op6 (byte pair merges), op8 (learnt automata), op9
+(its draws are a hash that DuckDB lacks) and op11 (maximal runs of all periods).
 """
 
 from __future__ import annotations
 
-from colloquy.llm import jaccard, licenses, quality
+from colloquy.llm import centroids, jaccard, licenses, quality
 
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,7 +149,37 @@ SELECT doc_id, coalesce(class.class_id, doc_id) AS class_id, coalesce(linked.n,
 FROM d LEFT JOIN sets USING (rid) LEFT JOIN reps ON reps.key = sets.key LEFT JOIN class ON class.rid = reps.rid
 LEFT JOIN linked ON linked.rid = reps.rid"""
 
+
+
+def _rounds(k: int, rounds: int) -> str:
+    """Centroids c0, c1, ... as rows (c, i, v), each from the assignment to the ones before."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} AS MATERIALIZED (SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d
+    FROM (SELECT rid, c, CAST(sum((x.v - c{r}.v) * (x.v - c{r}.v)) AS BIGINT) AS d FROM x JOIN c{r} USING (i) GROUP BY rid, c) GROUP BY rid)""")
+        if r < rounds:
+            out.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, c{r}.i, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN
+    (SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS v FROM (SELECT a{r}.c, x.i, CAST(sum(x.v) AS BIGINT) AS s, count(*) AS n
+     FROM x JOIN a{r} USING (rid) GROUP BY a{r}.c, x.i)) m ON m.c = c{r}.c AND m.i = c{r}.i)""")
+    return ",".join(out)
+
+
+OP12 = f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+    WHERE len(embedding) = {centroids.DIMS} AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = {centroids.DIMS}),
+x AS MATERIALIZED (SELECT rid, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS v
+    FROM e, (SELECT unnest(range(1, {centroids.DIMS + 1})) AS i)),
+first AS (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), embedding) - 1 AS c FROM e),
+c0 AS MATERIALIZED (SELECT CAST(c AS INTEGER) AS c, i, v FROM first JOIN x USING (rid) WHERE c < {centroids.CLUSTERS}),{_rounds(centroids.CLUSTERS, centroids.ROUNDS)},
+digest AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS sha FROM c{centroids.ROUNDS} GROUP BY c),
+total AS (SELECT c, CAST(sum(d) AS BIGINT) AS own FROM a{centroids.ROUNDS} GROUP BY c)
+SELECT e.vec_id, a.c AS cluster, a.d AS distance, total.own AS cluster_inertia,
+       CAST((SELECT sum(own) FROM total) AS BIGINT) AS inertia, digest.sha AS centroid_sha256
+FROM a{centroids.ROUNDS} a JOIN e USING (rid) JOIN digest ON digest.c = a.c JOIN total ON total.c = a.c"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": OP1, "op2_suffix_array_dedup": OP2, "op3_benchmark_decontamination": OP3, "op4_warc": OP4,
-    "op7_quality_rules": OP7, "op10_ngram_jaccard_join": OP10,
+    "op7_quality_rules": OP7, "op10_ngram_jaccard_join": OP10, "op12_centroid_clustering": OP12,
 }
