@@ -67,7 +67,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every tenth text, by a hash of its id, are made periodic first, as the contract says."""
-    return runs.digest(runs.detect(runs.planted(table(spark, sf_dir, "documents"))))
+    return runs.digest(runs.detect(table(spark, sf_dir, "documents"), runs.planted))
 
 
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ The field has two states, a weight per hashed feature and transition weights, fi
 steps on the exact likelihood.  Forward and backward messages are products of 2 x 2 matrices, one
 per word; all words of a slice of texts are one chain that is reset at each text, cut in blocks
 that advance together.  The marginals of a document give its score (a logistic function of the
-highest marginal and of the expected number of toxic words, fitted on the sample) and its toxic
+highest marginal and of the expected number of toxic words, fitted on a third of the sample that
+the field has not seen) and its toxic
 stretches: code point offsets of neighbouring words with marginal 0.5 or more.
 
 Only the text is an input of a score.  Whole texts are scored, in slices.  Null and empty texts,
@@ -24,6 +25,7 @@ held out, an empty table gives no rows, other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
@@ -38,10 +40,10 @@ SLICE_BYTES = 4 << 20
 #: Bound of the sample that the model is fitted on: documents of each label, bytes of one.
 MAX_PER_LABEL, MAX_BYTES = 1200, 16_000
 #: Hashed features, and the lengths in bytes of the prefixes and suffixes among them.
-FEATURES, PREFIXES, SUFFIXES = 1 << 19, (3, 4, 5, 6), (3, 4)
+FEATURES, PREFIXES, SUFFIXES = 1 << 19, (3, 4, 5, 6, 7, 8), (3, 4)
 #: A marker stands in so many toxic documents, counted by what is left of them, and in at most this
 #: share as many clean ones.
-LEAST_DOCS, CLEAN_SHARE, MAX_MARKERS = 4.0, 0.02, 400
+LEAST_DOCS, CLEAN_SHARE, MAX_MARKERS = 4.0, 0.05, 400
 EPOCHS, RATE, DECAY = 30, 0.5, 1e-3
 THRESHOLD = 0.3
 TAGGED = 0.5
@@ -240,22 +242,34 @@ def markers(words: Words, toxic: np.ndarray) -> np.ndarray:
 
 def learn(sample: list[tuple[bytes, int]]) -> Field:
     """Field from (text, label) pairs; equal texts count once."""
-    texts = sorted(set(sample))
+    texts = sorted(set(sample), key=lambda x: hashlib.md5(x[0]).digest())
     model = Field()
     toxic = np.array([y for _, y in texts], dtype=np.int64)
-    if len(set(toxic.tolist())) < 2:
-        model.share = float(toxic.mean()) if len(toxic) else 0.0
-        return model
-    buf, starts, _ = joined(pa.array([t for t, _ in texts], pa.large_binary()), gap=1)
-    words = words_in(buf, starts)
+    model.share = float(toxic.mean()) if len(toxic) else 0.0
+    # every third text of each label fits the document scores, on marginals of words it has not taught
+    rank = np.where(toxic == 1, np.cumsum(toxic), np.cumsum(1 - toxic))
+    apart = rank % 3 == 0
+    teach, rest = np.flatnonzero(~apart), np.flatnonzero(apart)
+    if any(len(set(toxic[x].tolist())) < 2 for x in (teach, rest)):
+        teach = rest = np.arange(len(texts))
+        if len(set(toxic.tolist())) < 2:
+            return model
+
+    def taken(which: np.ndarray) -> Words:
+        buf, starts, _ = joined(pa.array([texts[i][0] for i in which], pa.large_binary()), gap=1)
+        return words_in(buf, starts)
+
+    words = taken(teach)
     if not len(words.doc):
-        model.share = float(toxic.mean())
         return model
-    flag = markers(words, toxic)
-    label = (flag[words.features].any(axis=1)[words.form] & (toxic[words.doc] == 1)).astype(np.int64)
+    model.share = None
+    flag = markers(words, toxic[teach])
+    label = (flag[words.features].any(axis=1)[words.form] & (toxic[teach][words.doc] == 1)).astype(np.int64)
     model.fit(words, label)
-    p, _ = model.marginals(words)
-    model.fit_scores(model.summary(p, words.doc, len(texts)), toxic)
+    if rest is not teach:
+        words = taken(rest)
+    p = model.marginals(words)[0] if len(words.doc) else np.zeros(0)
+    model.fit_scores(model.summary(p, words.doc, len(rest)), toxic[rest])
     return model
 
 
