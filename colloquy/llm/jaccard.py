@@ -4,21 +4,23 @@ Texts with equal shingle sets are one representative with a weight.  Every repre
 MinHash signature: coordinate k samples one token of its set, the same token for every set that
 shares it and has it as the smallest.  A run splits the representatives recursively: at each node
 the path so far draws one coordinate, and sometimes a second (1 / THRESHOLD on average), and the
-members go to the child of their sampled token.  A bucket of at most ``LEAF`` members is a leaf;
-larger ones are split again, unless splitting has left more than ``ALIKE`` of the parent together
-(its members are alike) or ``DEPTH`` levels are reached: these are cut in tiles whose pairs are
-dealt out, so every bucket is compared whole.  Runs are repeated until a pair at 0.8 is missed by
-all with probability ``MISS`` at most: it stays together with probability 0.84 a split, so ``RUNS``
-(12) are enough for three splits.  The members of buckets that are split once more get the runs that
-``DEPTH`` + 1 splits need (46), among themselves: a pair with a member that has no such bucket is
-parted by three splits at most.
-
-Leaves are compared twice inside tasks and no pair is ever a row: first by signatures alone
-(pairs with fewer than ``AGREE`` of 64 equal coordinates are far below 0.8), then the members that
-have a partner left get their texts' shingles and the pairs are verified exactly.  A pair counts
-in one place only: the smallest leaf that both share.  Each leaf gives, per member, its weighted
-number of partners and an edge to the smallest member of its component; the edges of all leaves
-are joined to classes by alternating large-star and small-star steps.
+members go to the child of their sampled token.  A bucket of at most ``LEAF`` members is a leaf.
+Of a larger one about ``SAMPLE`` members are compared: if their signatures agree in ``ALIKE`` of the
+coordinates on average (its members are alike, so splitting would hardly part them), or ``DEPTH``
+levels are reached, it is a mass; otherwise it is split again.  Runs are repeated until a pair at
+0.8 is missed by all with probability ``MISS`` at most: it stays together with probability 0.84 a
+split, so ``RUNS`` (12) are enough for three splits; the members of buckets that are split more
+often get further runs among themselves, as many as the deepest of those needs.
+
+Masses of all runs that share a member are one group.  Its members are dealt to blocks of about
+``BLOCK`` members or ``BLOCK_BYTES`` of shingles, and every pair of blocks is compared once, whatever
+the number of runs that found the group; a block travels as one row.  Leaves are compared inside
+tasks, first by signatures alone (pairs with fewer than ``AGREE`` of 64 equal coordinates are far
+below 0.8), then the members that have a partner left get their texts' shingles and the pairs are
+verified exactly.  A pair counts in one place only: in their group if both have the same one, else
+in the smallest leaf that both share.  No pair of documents is ever a row: each leaf or pair of
+blocks gives, per member, its weighted number of partners and an edge to the smallest member of its
+component; the edges are joined to classes by alternating large-star and small-star steps.
 
 Result per row: class_id (smallest doc_id of the connected component) and n_links (other documents
 with similarity 0.8 or more, copies counted).  Words are lower-case ``[^\\x20\\x09-\\x0D]+``; a
@@ -36,20 +38,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import (MIX, as_rows, from_rows, joined, one_array, lower_table, prefix_hash, ragged, range_hash, shards, stage,
+from colloquy.llm.common import (MIX, as_rows, count_of, from_rows, joined, one_array, lower_table, prefix_hash, ragged, range_hash, shards, stage,
                                  text_bytes, words_of)
 
 SHINGLE = 5
 #: Similarity as a fraction: a pair is linked if NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 4, 5
 COORDS = 64
-RUNS, LEAF, DEPTH, ALIKE = 12, 1024, 8, 0.6
+RUNS, LEAF, DEPTH, ALIKE, SAMPLE = 12, 1024, 8, 0.5, 128
+#: Members and bytes of shingles of a block of a group of masses.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Bound of the probability that every run parts a pair at 0.8.
 MISS = 2.5e-5
 #: 51 of 64 coordinates are expected to agree at 0.8, with a deviation of 3.2.
 AGREE = 30
 SLICE_BYTES = 4 << 20
 LEAVES_PER_TASK = 20_000
+#: Bytes of shingles that a verifying task reads, about.
+TASK_BYTES = 32 << 20
 #: Parts that the rows of one group are dealt to when its total is joined back to them (at most 31).
 SALTS = 16
 
@@ -158,51 +164,76 @@ def runs_for(splits: int) -> int:
     return math.ceil(math.log(MISS) / math.log1p(-together ** splits))
 
 
-def _paths(reps: DataFrame, runs: range, leaf: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """(leaf, rep, size) rows of the given runs, and the members of buckets split more often than the
-    number of runs allows (None: there are none)."""
-    roots = F.array(*[F.xxhash64(F.lit("run"), F.lit(r)) for r in runs])
-    children = F.explode(F.flatten(F.transform(roots, _children))).alias("leaf")
-    rows = reps.select("rep", children, F.lit(None).cast("long").alias("was"))
-    out, deep, level = None, None, 0
-    while True:
-        sized = stage(with_total(rows, "leaf", "rep", F.count("*"), "size").where("size > 1"), f"paths-{level}")
-        alike = F.coalesce(F.col("size") > F.col("was") * F.lit(ALIKE), F.lit(False))
-        ends = (F.col("size") <= leaf) | alike | F.lit(level >= depth)
-        done = sized.where(ends).select("leaf", "rep", "size")
-        out = done if out is None else out.unionByName(done)
-        large = sized.where(~ends)
-        if large.isEmpty():
-            return out, deep
-        level += 1
-        if deep is None and runs_for(level + 1) > len(runs):
-            deep = large.select("rep").distinct()
-        rows = (large.select("leaf", "rep", F.col("size").alias("was")).join(reps.select("rep", "signature"), "rep")
-                .select("rep", F.explode(_children(F.col("leaf"))).alias("leaf"), "was"))
+def _alike(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """(leaf, alike) of every large bucket, from about SAMPLE of its members, chosen by a hash."""
+    chosen = large.where(F.pmod(F.xxhash64("rep", F.lit("sample")), F.ceil(F.col("size") / SAMPLE)) == 0)
 
+    def judge(t: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint32).reshape(t.num_rows, COORDS)
+        n = len(sig)
+        share = (_agreement(sig).astype(np.int64).sum() - n * COORDS) / (max(1, n * (n - 1)) * COORDS)
+        return pa.table({"leaf": t.column("leaf").slice(0, 1), "alike": pa.array([bool(share >= ALIKE)])})
 
-def leaves(reps: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(leaf, rep, size) rows of all runs, those for deep buckets included; buckets of one are dropped."""
-    rows, deep = _paths(reps, range(runs), leaf, depth)
-    if deep is None:
-        return rows
-    members = stage(reps.join(deep, "rep", "left_semi"), "deep")
-    return rows.unionByName(_paths(members, range(runs, runs_for(depth + 1)), leaf, depth)[0])
+    return (chosen.join(reps.select("rep", "signature"), "rep").select("leaf", "signature")
+            .groupBy("leaf").applyInArrow(judge, "leaf long, alike boolean"))
 
 
-def _tiled(rows: DataFrame, leaf: int) -> DataFrame:
-    """Deal the members of oversized leaves to tiles, and every pair of tiles to a part of its own."""
-    tiles = F.ceil(F.col("size") / F.lit(leaf)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(
-        F.least(t, own).alias("i"), F.greatest(t, own).alias("j"), own.alias("own")))
-    return rows.select("*", F.explode(F.when(tiles <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"))))
-                                      .otherwise(parts)).alias("tile"))
+def _with_value(rows: DataFrame, key: str, by: str, values: DataFrame) -> DataFrame:
+    """Left join of ``values``, a row per key; the rows of a key are dealt to SALTS parts by a hash of ``by``."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return salted.join(parts, [key, "_salt"], "left").drop("_salt")
 
 
-def _same_or_cross(i, j, own: np.ndarray) -> np.ndarray | None:
-    """For a part of two tiles: which pairs are between them (None: all)."""
-    return None if i == j else own[:, None] != own[None, :]
+def _paths(reps: DataFrame, runs: range, leaf: int, depth: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, int]:
+    """Of the given runs: (leaf, rep) rows of leaves, and of masses (None: there are none); the
+    members of buckets split more often than all runs so far allow (or None); levels of splitting."""
+    roots = F.array(*[F.xxhash64(F.lit("run"), F.lit(r)) for r in runs])
+    rows = reps.select("rep", F.explode(F.flatten(F.transform(roots, _children))).alias("leaf"))
+    out, masses, deep, level = None, None, None, 0
+    while True:
+        sized = stage(with_total(rows, "leaf", "rep", F.count("*"), "size").where("size > 1"), f"paths-{level}")
+        done = sized.where(F.col("size") <= leaf).select("leaf", "rep")
+        out = done if out is None else out.unionByName(done)
+        large = sized.where(F.col("size") > leaf)
+        if large.isEmpty():
+            return out, masses, deep, level
+        large = _with_value(large, "leaf", "rep", stage(_alike(large, reps), f"alike-{level}"))
+        ends = F.coalesce(F.col("alike"), F.lit(False)) | F.lit(level >= depth)
+        mass = large.where(ends).select("leaf", "rep")
+        if not mass.isEmpty():
+            masses = mass if masses is None else masses.unionByName(mass)
+        if level >= depth:
+            return out, masses, deep, level
+        level += 1
+        split = stage(large.where(~ends).select("leaf", "rep").join(reps.select("rep", "signature"), "rep"), f"split-{level}")
+        if runs_for(level) > runs.stop:
+            members = split.select("rep")
+            deep = members if deep is None else deep.unionByName(members)
+        rows = split.select("rep", F.explode(_children(F.col("leaf"))).alias("leaf"))
+
+
+def leaves(reps: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+    """(leaf, rep) rows of the leaves of all runs, and of the masses (None: there are none)."""
+    out, masses, deep, level = _paths(reps, range(runs), leaf, depth)
+    done = runs
+    while deep is not None and runs_for(level) > done:
+        members = stage(reps.join(deep.distinct(), "rep", "left_semi"), "deep")
+        more, mass, deep, reached = _paths(members, range(done, runs_for(level)), leaf, depth)
+        done, level = runs_for(level), max(level, reached)
+        out = out.unionByName(more)
+        if mass is not None:
+            masses = mass if masses is None else masses.unionByName(mass)
+    return out, masses
+
+
+def groups(masses: DataFrame) -> DataFrame:
+    """(rep, grp) of all members of masses: masses that share a member are one group."""
+    low = stage(masses.groupBy("rep").agg(F.min("leaf").alias("low"), F.collect_set("leaf").alias("all")), "mass-members")
+    # the edges are between masses, of which there are at most runs * documents / LEAF
+    edges = low.select(F.col("low").alias("u"), F.explode("all").alias("v")).distinct()
+    roots = components(edges).select(F.col("node").alias("low"), "root")
+    return stage(_with_value(low.select("rep", "low"), "low", "rep", roots).select("rep", F.coalesce("root", "low").alias("grp")), "groups")
 
 
 def _first_leaf(lists: list[np.ndarray], leaf: int) -> np.ndarray:
@@ -229,24 +260,24 @@ def _agreement(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(leaf: int, i: int, j: int, own: np.ndarray, lists: list[np.ndarray], sig: np.ndarray) -> np.ndarray:
+def _candidates(leaf: int, lists: list[np.ndarray], sig: np.ndarray, grp: np.ndarray) -> np.ndarray:
+    """Pairs of a leaf that this leaf has to judge (``grp``: group of each member, -1 without)."""
     pairs = np.triu(_agreement(sig) >= AGREE, 1)
     if pairs.any():
-        cross = _same_or_cross(i, j, own)
-        if cross is not None:
-            pairs &= cross
+        pairs &= (grp[:, None] != grp[None, :]) | (grp < 0)[:, None]
         pairs &= _first_leaf(lists, leaf)
     return pairs
 
 
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the pairwise intersections of sorted sets."""
+def _intersections(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray:
+    """Sizes of the pairwise intersections of sorted sets: all, or those of the first ``cut`` with the others."""
     n, size = len(sets), np.array([len(x) for x in sets])
     value, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), size)
     common = times[which] > 1
     owner, which = owner[common], np.unique(which[common], return_inverse=True)[1]
-    out = np.zeros((n, n), dtype=np.float32)
+    rows, cols = (slice(0, n), slice(0, n)) if cut is None else (slice(0, cut), slice(cut, n))
+    out = np.zeros((rows.stop, n - cols.start), dtype=np.float32)
     width = int(which.max()) + 1 if len(which) else 0
     order = np.argsort(which, kind="stable")
     owner, which = owner[order], which[order]
@@ -254,22 +285,17 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(which, [at, at + 2048])
         block = np.zeros((n, min(2048, width - at)), dtype=np.float32)
         block[owner[a:b], which[a:b] - at] = 1
-        out += block @ block.T
+        out += block[rows] @ block[cols].T
     return out.astype(np.int64)
 
 
 def _parts(t: pa.Table):
-    """Parts of leaves in a task's table: leaf, i, j, and the rows of each."""
-    leaf, i, j = (t.column(c).to_numpy() for c in ("leaf", "i", "j"))
-    order = np.lexsort((j, i, leaf))
-    new = np.ones(len(order), dtype=bool)
-    for c in (leaf, i, j):
-        new[1:] &= True
-    l, x, y = leaf[order], i[order], j[order]
-    new[1:] = (l[1:] != l[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    head = np.flatnonzero(new)
+    """Leaves in a task's table, and the rows of each."""
+    leaf = t.column("leaf").to_numpy()
+    order = np.argsort(leaf, kind="stable")
+    head = np.flatnonzero(np.diff(leaf[order], prepend=leaf[order[0]] - 1)) if len(order) else order
     for a, b in zip(head.tolist(), np.append(head[1:], len(order)).tolist()):
-        yield int(l[a]), int(x[a]), int(y[a]), order[a:b]
+        yield int(leaf[order[a]]), order[a:b]
 
 
 def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
@@ -278,52 +304,129 @@ def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
 
 
+def _signatures(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint32).reshape(t.num_rows, COORDS)
+
+
 def _filter_part(t: pa.Table) -> pa.Table:
     """Members of leaves that have a partner left, judged by their signatures."""
-    lists = _lists(t.column("own_leaves"))
-    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint32).reshape(t.num_rows, COORDS)
-    own = t.column("own").to_numpy()
+    lists, sig, grp = _lists(t.column("own_leaves")), _signatures(t), t.column("grp").to_numpy()
     keep = np.zeros(t.num_rows, dtype=bool)
-    for leaf, i, j, rows in _parts(t):
+    for leaf, rows in _parts(t):
         if len(rows) > 1:
-            pairs = _candidates(leaf, i, j, own[rows], [lists[r] for r in rows], sig[rows])
+            pairs = _candidates(leaf, [lists[r] for r in rows], sig[rows], grp[rows])
             keep[rows[pairs.any(axis=0) | pairs.any(axis=1)]] = True
     at = t.schema.get_field_index("own_leaves")
     kind = pa.list_(pa.field("element", pa.int64()))
     return t.set_column(at, pa.field("own_leaves", kind), t.column(at).cast(kind)).filter(pa.array(keep))
 
 
+LINKS = "rep binary, root binary, links long"
+
+
+class _Links:
+    """Links found by one task: per member, the weight of its partners and the root of its component."""
+
+    def __init__(self):
+        self.rep, self.root, self.links = [], [], []
+
+    def add(self, links: np.ndarray, reps: list[bytes], weight: np.ndarray) -> None:
+        """``links``: symmetric matrix of the members ``reps``."""
+        some = np.flatnonzero(links.any(axis=1))
+        if not len(some):
+            return
+        order = sorted(some.tolist(), key=lambda m: reps[m])
+        part = links[np.ix_(order, order)]
+        # the smallest label spreads over the links; columns sorted by label, the first link is the smallest
+        label = np.arange(len(order))
+        while True:
+            by = np.argsort(label, kind="stable")
+            new = np.minimum(label, label[by[part[:, by].argmax(axis=1)]])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        total = part @ weight[order]
+        for m, r, n in zip(order, label.tolist(), total.tolist()):
+            self.rep.append(reps[m]), self.root.append(reps[order[r]]), self.links.append(int(n))
+
+    def table(self) -> pa.Table:
+        return pa.table({"rep": pa.array(self.rep, pa.binary()), "root": pa.array(self.root, pa.binary()), "links": pa.array(self.links, pa.int64())})
+
+
+def _similar(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (NUM + DEN) * inter >= NUM * (a[:, None] + b[None, :])
+
+
 def _verify_part(t: pa.Table) -> pa.Table:
-    """Weighted links of each member, and an edge to the smallest member of its component."""
-    lists = _lists(t.column("own_leaves"))
-    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint32).reshape(t.num_rows, COORDS)
-    own, weight = t.column("own").to_numpy(), t.column("weight").to_numpy()
+    """Links of the members of leaves."""
+    lists, sig, grp, weight = _lists(t.column("own_leaves")), _signatures(t), t.column("grp").to_numpy(), t.column("weight").to_numpy()
     sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").to_pylist()]
     reps = t.column("rep").to_pylist()
-    out_rep, out_root, out_links = [], [], []
-    for leaf, i, j, rows in _parts(t):
+    out = _Links()
+    for leaf, rows in _parts(t):
         if len(rows) < 2:
             continue
-        pairs = _candidates(leaf, i, j, own[rows], [lists[r] for r in rows], sig[rows])
-        if not pairs.any():
-            continue
-        size = np.array([len(sets[r]) for r in rows])
-        inter = _intersections([sets[r] for r in rows])
-        pairs &= (NUM + DEN) * inter >= NUM * (size[:, None] + size[None, :])
-        links = pairs | pairs.T
-        # components inside the part: smallest label spreads over the links
-        by_rank = np.argsort([reps[r] for r in rows])
-        label = np.argsort(by_rank)
-        while True:
-            new = np.minimum(label, np.where(links, label[None, :], len(rows)).min(axis=1))
-            new = np.minimum(new, new[by_rank][new])
-            if (new == label).all():
-                break
-            label = new
-        n = links @ weight[rows]
-        for m in np.flatnonzero(links.any(axis=1)).tolist():
-            out_rep.append(reps[rows[m]]), out_root.append(reps[rows[by_rank[label[m]]]]), out_links.append(int(n[m]))
-    return pa.table({"rep": pa.array(out_rep, pa.binary()), "root": pa.array(out_root, pa.binary()), "links": pa.array(out_links, pa.int64())})
+        pairs = _candidates(leaf, [lists[r] for r in rows], sig[rows], grp[rows])
+        if pairs.any():
+            size = np.array([len(sets[r]) for r in rows])
+            pairs &= _similar(_intersections([sets[r] for r in rows]), size, size)
+            out.add(pairs | pairs.T, [reps[r] for r in rows], weight[rows])
+    return out.table()
+
+
+BLOCK_ROW = "grp long, block int, tiles int, reps binary, weights binary, signatures binary, counts binary, shingles binary"
+
+
+def _pack(t: pa.Table) -> pa.Table:
+    """A block's members as one row."""
+    sets = t.column("shingles").to_pylist()
+    cells = {"reps": b"".join(t.column("rep").to_pylist()), "weights": t.column("weight").to_numpy().astype(np.int64).tobytes(),
+             "signatures": b"".join(t.column("signature").to_pylist()), "counts": np.array([len(x) // 8 for x in sets], dtype=np.int64).tobytes(),
+             "shingles": b"".join(sets)}
+    first = {c: t.column(c).slice(0, 1) for c in ("grp", "block", "tiles")}
+    return pa.table(first | {c: pa.array([x], pa.binary()) for c, x in cells.items()})
+
+
+def _compare_blocks(t: pa.Table) -> pa.Table:
+    """Links between the members of two blocks, or inside one."""
+    reps, weight, sig, sets, cut = [], [], [], [], []
+    for r in t.sort_by("block").to_pylist():
+        reps += [r["reps"][k:k + 16] for k in range(0, len(r["reps"]), 16)]
+        weight.append(np.frombuffer(r["weights"], dtype=np.int64))
+        sig.append(np.frombuffer(r["signatures"], dtype=np.uint32).reshape(-1, COORDS))
+        flat, ends = np.frombuffer(r["shingles"], dtype=np.uint64), np.cumsum(np.frombuffer(r["counts"], dtype=np.int64))
+        sets += np.split(flat, ends[:-1])
+        cut.append(len(sets))
+    size = np.array([len(x) for x in sets])
+    out, n = _Links(), len(sets)
+    links = np.zeros((n, n), dtype=bool)
+    if len(cut) == 2:
+        k = cut[0]
+        cross = np.zeros((k, n - k), dtype=np.uint8)
+        for c in range(COORDS):
+            cross += sig[0][:, c][:, None] == sig[1][:, c][None, :]
+        pairs = cross >= AGREE
+        if pairs.any():
+            pairs &= _similar(_intersections(sets, k), size[:k], size[k:])
+        links[:k, k:], links[k:, :k] = pairs, pairs.T
+    elif n > 1 and t.column("i")[0].as_py() == t.column("j")[0].as_py():
+        links = (_agreement(sig[0]) >= AGREE) & _similar(_intersections(sets), size, size)
+        np.fill_diagonal(links, False)
+    out.add(links, reps, np.concatenate(weight))
+    return out.table()
+
+
+def group_links(members: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links inside the groups, as (rep, root, links), from (grp, rep, weight, signature, shingles)."""
+    sized = with_total(members, "grp", "rep", F.struct(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes")), "_of")
+    tiles = F.greatest(F.ceil(F.col("_of.n") / block), F.ceil(F.col("_of.bytes") / block_bytes)).cast("int")
+    sized = sized.withColumn("tiles", tiles).withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("tiles")).cast("int"))
+    blocks = sized.select("grp", "block", "tiles", "rep", "weight", "signature", "shingles").groupBy("grp", "block").applyInArrow(_pack, BLOCK_ROW)
+    blocks = stage(blocks, "blocks")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
+        F.least(t, F.col("block")).alias("i"), F.greatest(t, F.col("block")).alias("j")))).alias("p")
+    return blocks.select("*", pairs).select("*", "p.i", "p.j").drop("p").groupBy("grp", "i", "j").applyInArrow(_compare_blocks, LINKS)
 
 
 def _shingles(texts: DataFrame) -> DataFrame:
@@ -358,28 +461,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _bucket(tasks: int) -> Column:
-    return F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(tasks)).cast("int").alias("bucket")
+    return F.pmod(F.xxhash64("leaf"), F.lit(tasks)).cast("int").alias("bucket")
 
 
-def join(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def join(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """doc_id, text_key, class_id, n_links per row of ``docs``."""
     prints = stage(fingerprints(docs), "fingerprints")
     known = prints.where(F.col("rep").isNotNull() & F.col("doc_id").isNotNull())
-    reps = stage(known.groupBy("rep").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"),
+    reps = stage(known.groupBy("rep").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"),
                                           F.first("signature").alias("signature")), "reps")
-    rows = leaves(reps, runs, leaf, depth)
+    rows, masses = leaves(reps, runs, leaf, depth)
+    grouped = groups(masses) if masses is not None else None
     own = rows.groupBy("rep").agg(F.collect_list("leaf").alias("own_leaves"))  # bounded by the runs and their branches
-    tiled = _tiled(rows, leaf).select("leaf", "rep", "tile.i", "tile.j", "tile.own")
     tasks = max(1, -(-rows.count() // LEAVES_PER_TASK))
-    names = ["leaf", "rep", "i", "j", "own", "own_leaves", "weight", "signature"]
-    schema = "leaf long, rep binary, i int, j int, own int, own_leaves array<long>, weight long, signature binary"
-    members = tiled.join(own, "rep").join(reps.select("rep", "weight", "signature"), "rep").select(*names, _bucket(tasks))
+    names = ["leaf", "rep", "grp", "own_leaves", "weight", "n_shingles", "signature"]
+    schema = "leaf long, rep binary, grp long, own_leaves array<long>, weight long, n_shingles int, signature binary"
+    kept = reps.select("rep", "weight", "n_shingles", "signature")
+    kept = kept.join(grouped, "rep", "left") if grouped is not None else kept.withColumn("grp", F.lit(None).cast("long"))
+    # groups are named by a hash: without its sign bit, -1 stands for none
+    kept = kept.withColumn("grp", F.coalesce(F.col("grp").bitwiseAND(F.lit((1 << 63) - 1)), F.lit(-1).cast("long")))
+    members = rows.join(own, "rep").join(kept, "rep").select(*names, _bucket(tasks))
     left = stage(members.groupBy("bucket").applyInArrow(lambda t: _filter_part(t.select(names)), schema), "partners")
-    chosen = left.select("rep").distinct().join(reps.select("rep", "low"), "rep")
+    chosen = left.select("rep")
+    if grouped is not None:
+        chosen = chosen.unionByName(grouped.select("rep"))
+    chosen = chosen.distinct().join(reps.select("rep", "low"), "rep")
     texts = docs.select(F.col("doc_id").alias("low"), text_bytes().alias("_data")).join(chosen, "low").select("rep", "_data")
     sets = _shingles(texts).dropDuplicates(["rep"])
-    verified = left.join(sets, "rep").select(*names, "shingles", _bucket(tasks)).groupBy("bucket").applyInArrow(
-        lambda t: _verify_part(t.select([*names, "shingles"])), "rep binary, root binary, links long")
+    total = left.agg(F.sum(F.col("n_shingles").cast("long") * 8)).first()[0]
+    verified = left.join(sets, "rep").select(*names, "shingles", _bucket(count_of(total, TASK_BYTES))).groupBy("bucket").applyInArrow(
+        lambda t: _verify_part(t.select([*names, "shingles"])), LINKS)
+    if grouped is not None:
+        inside = kept.where("grp >= 0").select("grp", "rep", "weight", "signature").join(sets, "rep")
+        verified = verified.unionByName(group_links(inside, block))
     verified = stage(verified, "links")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))

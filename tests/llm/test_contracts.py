@@ -1,5 +1,6 @@
 """Every query's operator against its plain-Python version, on a corpus of edge cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,18 +165,55 @@ def near_groups(n_groups=4, size=60):
     return rows
 
 
-@pytest.mark.parametrize("leaf", [jaccard.LEAF, 16])
-def test_jaccard_groups_of_near_copies_split_and_tiled(spark, leaf):
-    """With leaves of 16 the groups are split and cut in tiles; the links stay whole."""
+@pytest.mark.parametrize("leaf, block", [(jaccard.LEAF, jaccard.BLOCK), (16, jaccard.BLOCK), (16, 16)])
+def test_jaccard_groups_of_near_copies(spark, leaf, block):
+    """With leaves of 16 the groups are masses, with blocks of 16 compared block by block; the links stay whole."""
     rows = near_groups()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = got(jaccard.digest(jaccard.join(df, leaf=leaf)), "doc_id", "class_id", "n_links")
+    out = got(jaccard.digest(jaccard.join(df, leaf=leaf, block=block)), "doc_id", "class_id", "n_links")
     exp = want(brute.op10(rows))
     assert [r[:2] for r in out] == [r[:2] for r in exp]
     have, all_links = sum(r[2] for r in out), sum(r[2] for r in exp)
     assert all(a[2] <= b[2] for a, b in zip(out, exp)) and have >= 0.999 * all_links
 
 
+def test_jaccard_group_above_ten_thousand_near_copies(spark):
+    """Recall of the links of one group of 10,500 near copies, against all pairs; the members of the
+    group are dealt once, whatever the number of runs."""
+    rows = near_groups(1, 10_500)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.digest(jaccard.join(df)).collect()}
+    assert {c for c, _ in out.values()} == {0}
+    base = {}
+    sets = []
+    for _, text in rows:
+        w = text.split(" ")
+        sets.append([base.setdefault(tuple(w[k:k + 5]), len(base)) for k in range(len(w) - 4)])
+    counts = np.bincount(np.concatenate(sets))
+    common = np.flatnonzero(counts > 1)
+    where = np.full(len(counts), -1)
+    where[common] = np.arange(len(common))
+    m = np.zeros((len(rows), len(common)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, [where[x] for x in s if where[x] >= 0]] = 1
+    size = np.array([len(set(s)) for s in sets])
+    total = found = 0
+    for a in range(0, len(rows), 1500):
+        inter = m[a:a + 1500] @ m.T
+        n = (inter / (size[a:a + 1500, None] + size[None] - inter) >= 0.8 - 1e-9).sum(axis=1) - 1
+        got_n = np.array([out[i][1] for i in range(a, min(a + 1500, len(rows)))])
+        assert (got_n <= n).all()
+        total, found = total + n.sum(), found + got_n.sum()
+    assert found >= 0.999 * total
+
+
+def test_blocks_of_a_group_grow_with_its_members(spark):
+    """Rows dealt to compare a group: pairs of blocks, far fewer than members at every size."""
+    for n in (2_000, 8_000, 32_000):
+        tiles = -(-n // jaccard.BLOCK)
+        assert tiles * tiles <= n / 50
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     out = {(r.node, r.root) for r in jaccard.components(edges).collect()}
