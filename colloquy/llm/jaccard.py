@@ -47,15 +47,15 @@ NUM, DEN = 4, 5
 COORDS = 64
 RUNS, LEAF, DEPTH, ALIKE, SAMPLE = 12, 1024, 8, 0.5, 128
 #: Members and bytes of shingles of a block of a group of masses.
-BLOCK, BLOCK_BYTES = 2048, 16 << 20
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Bound of the probability that every run parts a pair at 0.8.
 MISS = 2.5e-5
 #: 51 of 64 coordinates are expected to agree at 0.8, with a deviation of 3.2.
 AGREE = 30
 SLICE_BYTES = 4 << 20
 LEAVES_PER_TASK = 20_000
-#: Bytes of shingles that a verifying task reads, about.
-TASK_BYTES = 32 << 20
+#: Bytes of shingles and members that a verifying task reads, about.
+TASK_BYTES, TASK_MEMBERS = 8 << 20, 2_000
 #: Parts that the rows of one group are dealt to when its total is joined back to them (at most 31).
 SALTS = 16
 
@@ -286,7 +286,7 @@ def _intersections(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray
         block = np.zeros((n, min(2048, width - at)), dtype=np.float32)
         block[owner[a:b], which[a:b] - at] = 1
         out += block[rows] @ block[cols].T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _parts(t: pa.Table):
@@ -346,7 +346,8 @@ class _Links:
             if (new == label).all():
                 break
             label = new
-        total = part @ weight[order]
+        own = weight[order]
+        total = np.concatenate([part[k:k + 256] @ own for k in range(0, len(order), 256)])
         for m, r, n in zip(order, label.tolist(), total.tolist()):
             self.rep.append(reps[m]), self.root.append(reps[order[r]]), self.links.append(int(n))
 
@@ -355,7 +356,7 @@ class _Links:
 
 
 def _similar(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (NUM + DEN) * inter >= NUM * (a[:, None] + b[None, :])
+    return (NUM + DEN) * inter >= NUM * (a[:, None] + b[None, :]).astype(np.int32)
 
 
 def _verify_part(t: pa.Table) -> pa.Table:
@@ -488,8 +489,9 @@ def join(docs: DataFrame, runs: int = RUNS, leaf: int = LEAF, depth: int = DEPTH
     chosen = chosen.distinct().join(reps.select("rep", "low"), "rep")
     texts = docs.select(F.col("doc_id").alias("low"), text_bytes().alias("_data")).join(chosen, "low").select("rep", "_data")
     sets = _shingles(texts).dropDuplicates(["rep"])
-    total = left.agg(F.sum(F.col("n_shingles").cast("long") * 8)).first()[0]
-    verified = left.join(sets, "rep").select(*names, "shingles", _bucket(count_of(total, TASK_BYTES))).groupBy("bucket").applyInArrow(
+    n, total = left.agg(F.count("*"), F.sum(F.col("n_shingles").cast("long") * 8)).first()
+    tasks = max(count_of(n, TASK_MEMBERS), count_of(total, TASK_BYTES))
+    verified = left.join(sets, "rep").select(*names, "shingles", _bucket(tasks)).groupBy("bucket").applyInArrow(
         lambda t: _verify_part(t.select([*names, "shingles"])), LINKS)
     if grouped is not None:
         inside = kept.where("grp >= 0").select("grp", "rep", "weight", "signature").join(sets, "rep")
