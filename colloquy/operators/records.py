@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import accounts, classify, flags, issues, routing, sentiment
-from colloquy.operators.redaction import MEETING_TEXT_COLUMNS, redact_record
+from colloquy.operators.redaction import MATCH_COLUMN, sanitize, vault_rows
 from colloquy.rules import DEFAULT_RULES, OTHER_CATEGORY, SUMMARY_MAX_CHARS, RuleSet
 from colloquy.sources.meetings import meetings_raw
 
@@ -99,19 +99,44 @@ def enrich(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
+MEETING_INPUTS = ("orders", "customer", "lineitem")
+
+
+def build_sanitized(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Meetings with every string leaf redacted, their replacement counts and matches.
+
+    The joins that make the meetings may end as broadcasts over one scan task, so the rows are
+    dealt out by id first: redaction always has as many tasks as there are shuffle partitions."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sanitize(meetings_raw(spark, sf_dir).repartition(n, "meeting_id"), rules)
+
+
 def build_enriched(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """The full write path from the driver tables (no materialisation): every string leaf is
     redacted first, and classification reads the sanitized meeting only."""
-    sanitized = redact_record(meetings_raw(spark, sf_dir), MEETING_TEXT_COLUMNS, rules)
-    return enrich(sanitized.drop("n_pii_redacted"), rules)
+    return enrich(build_sanitized(spark, sf_dir, rules).drop(MATCH_COLUMN), rules)
+
+
+def _gold(spark: SparkSession, sf_dir: str, name: str, rules: RuleSet, build, **layout) -> DataFrame:
+    from colloquy.operators.gold import gold_table
+    return gold_table(spark, name, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in MEETING_INPUTS], repr(rules), build, **layout)
+
+
+def sanitized(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """The stored result of the one redaction pass; records and vault are both read from it."""
+    return _gold(spark, sf_dir, "sanitized", rules, lambda: build_sanitized(spark, sf_dir, rules))
 
 
 def enriched(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Enriched meetings as the stored (gold) table: built once per input fingerprint and
     rule set, then every report scans parquet (column pruning + row-group skipping)."""
-    from colloquy.operators.gold import gold_table
-    return gold_table(spark, "enriched", [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "lineitem")],
-                      repr(rules), lambda: build_enriched(spark, sf_dir, rules), sort_by=["call_type", "month"], bloom=["meeting_id"])
+    return _gold(spark, sf_dir, "enriched", rules, lambda: enrich(sanitized(spark, sf_dir, rules).drop(MATCH_COLUMN), rules),
+                 sort_by=["call_type", "month"], bloom=["meeting_id"])
+
+
+def vault(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """The stored vault: the original behind every placeholder of every meeting, one row each."""
+    return _gold(spark, sf_dir, "vault", rules, lambda: vault_rows(sanitized(spark, sf_dir, rules)), sort_by=["source_id"], bloom=["source_id"])
 
 
 def records(spark: SparkSession, sf_dir: str, rules: RuleSet = DEFAULT_RULES, extra: list | None = None) -> DataFrame:

@@ -155,13 +155,64 @@ __all__ = ["redact_column", "redact_record", "match_rows", "pii_vault", "leak_ch
 
 
 MEETING_TEXT_COLUMNS = ["title", "summary", "attendees", "topics", "key_moments", "action_items"]
+MATCH_COLUMN = "pii_matches"
+
+
+def sanitize(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Ingestion firewall: every string leaf of the meetings redacted in one pass, with the
+    replacement count (``n_pii_redacted``) and the matches (``MATCH_COLUMN``) of all leaves."""
+    return redact_record(meetings, [c for c in MEETING_TEXT_COLUMNS if c in meetings.columns], rules, match_col=MATCH_COLUMN)
+
+
+def matches_of(sanitized: DataFrame) -> DataFrame:
+    """One row per match of the sanitized meetings, in the form of :func:`match_rows`."""
+    return _match_columns(sanitized.select(F.col("meeting_id").alias("source_id"), F.explode(MATCH_COLUMN).alias("m")))
+
+
+def vault_rows(sanitized: DataFrame) -> DataFrame:
+    """(source_id, placeholder, entity_type, original, n_matches): what :func:`reveal_record` needs.
+
+    A placeholder holds 24 bits of a hash, so among many meetings two originals share one; per
+    meeting that is as good as impossible, so the row's key has the meeting too.  Of originals
+    that differ in case only, the last in (pattern, position) order is kept."""
+    m = matches_of(sanitized)
+    last = F.max(F.struct("pidx", "pos", "original", "entity_type"))
+    return m.groupBy("source_id", "placeholder").agg(last.alias("_l"), F.count(F.lit(1)).alias("n_matches")).select(
+        "source_id", "placeholder", "_l.entity_type", "_l.original", "n_matches")
+
+
+PLACEHOLDER = r"\[[A-Z_]+_[0-9a-f]{6}\]"
+
+
+def _reveal_value(c: Column, dtype: T.DataType, known: Column) -> Column | None:
+    """``c`` with the placeholders of every string leaf replaced from the map ``known``."""
+    if isinstance(dtype, T.StringType):
+        marks = F.array_distinct(F.regexp_extract_all(c, F.lit(PLACEHOLDER), 0))
+        return F.when(c.isNotNull(), F.aggregate(marks, c, lambda acc, m: F.coalesce(F.replace(acc, m, known[m]), acc)))
+    if isinstance(dtype, T.StructType):
+        parts = {f.name: _reveal_value(c[f.name], f.dataType, known) for f in dtype.fields if _has_text(f.dataType)}
+        if not parts:
+            return None
+        return F.when(c.isNotNull(), F.struct(*[parts.get(f.name, c[f.name]).alias(f.name) for f in dtype.fields]))
+    if isinstance(dtype, T.ArrayType) and _has_text(dtype.elementType):
+        return F.transform(c, lambda x: _reveal_value(x, dtype.elementType, known))
+    return None
+
+
+def reveal_record(redacted: DataFrame, vault: DataFrame, columns: list | None = None, id_col: str = "meeting_id") -> DataFrame:
+    """J-12 for nested columns: every string leaf of ``columns`` with its originals, from the rows of
+    :func:`vault_rows`.  A meeting's rows of the vault are gathered once (as many as it has
+    placeholders) and joined on its id; placeholders without a row stay."""
+    schema = {f.name: f.dataType for f in redacted.schema.fields}
+    columns = [c for c in columns or redacted.columns if c != id_col and _has_text(schema[c])]
+    known = vault.groupBy(F.col("source_id").alias("_source")).agg(
+        F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_known"))
+    out = redacted.join(known, F.col(id_col) == F.col("_source"), "left")
+    new = {c: F.when(F.col("_known").isNull(), F.col(c)).otherwise(_reveal_value(F.col(c), schema[c], F.col("_known"))) for c in columns}
+    return out.withColumns(new).drop("_source", "_known")
 
 
 def sanitize_meetings(meetings: DataFrame, rules: RuleSet = DEFAULT_RULES) -> tuple:
-    """Ingestion firewall: (sanitized meetings, vault match rows).  Every string leaf of the
-    meeting is redacted before anything downstream reads it; the vault rows (placeholder ->
-    original) come from the same pass over the same leaves."""
-    cols = [c for c in MEETING_TEXT_COLUMNS if c in meetings.columns]
-    redacted = redact_record(meetings, cols, rules, match_col="_matches")
-    m = redacted.select(F.col("meeting_id").alias("source_id"), F.explode("_matches").alias("m"))
-    return redacted.drop("_matches"), _match_columns(m)
+    """(sanitized meetings, match rows) of one pass over the leaves."""
+    redacted = sanitize(meetings, rules)
+    return redacted.drop(MATCH_COLUMN), matches_of(redacted)

@@ -135,9 +135,10 @@ def pipeline_counters(records: DataFrame) -> DataFrame:
 
 
 def lineage_events(enriched: DataFrame, stage: str, ts, status: str = "complete") -> DataFrame:
-    """Lineage rows (meeting_id, stage, timestamp, status, n_pii_redacted)."""
+    """Lineage rows (meeting_id, stage, timestamp, status, n_pii_redacted: replacements of that meeting)."""
+    n = F.col("n_pii_redacted") if "n_pii_redacted" in enriched.columns else F.lit(0)
     return enriched.select("meeting_id", F.lit(stage).alias("stage"), ts.alias("timestamp"),
-                           F.lit(status).alias("status"))
+                           F.lit(status).alias("status"), n.cast("int").alias("n_pii_redacted"))
 
 
 def write_sanitized(parts: DataFrame, path: str) -> None:

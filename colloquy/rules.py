@@ -115,11 +115,28 @@ RISK_COMPETITOR_POINTS = 30
 # --------------------------------------------------------------------------- end of fixed values
 
 
+# A text that a PII pattern matches also matches its entry here, which is cheap to test (same flags).
+# A pattern without an entry is its own condition.
+PII_NEEDS = {
+    PII_PATTERNS[0][1]: r"@",
+    PII_PATTERNS[1][1]: r"\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
+    PII_PATTERNS[2][1]: r"\d-\d{2}-\d",
+    PII_PATTERNS[3][1]: r"[0-9]{13}",
+    PII_PATTERNS[4][1]: r"\d\.\d{1,3}\.\d",
+    PII_PATTERNS[5][1]: r"AKIA",
+    PII_PATTERNS[6][1]: r"sk-ant-",
+    PII_PATTERNS[7][1]: r"ghp_",
+    PII_PATTERNS[8][1]: r"Bearer\s",
+    PII_PATTERNS[9][1]: r"[A-Z][0-9]{7}",
+}
+
+
 @dataclass(frozen=True)
 class RuleSet:
     """Ordered rule tables; pass a modified copy to change behaviour."""
 
     pii_patterns: list = field(default_factory=lambda: list(PII_PATTERNS))
+    pii_needs: dict = field(default_factory=lambda: dict(PII_NEEDS))
     vendor_email_domains: list = field(default_factory=lambda: list(VENDOR_EMAIL_DOMAINS))
     support_prefix: str = CALL_TYPE_SUPPORT_PREFIX
     external_prefix: str = CALL_TYPE_EXTERNAL_PREFIX

@@ -77,3 +77,35 @@ def test_nested_record_and_reveal(spark):
     red = RD.redact_column(flat, "text")
     back = RD.reveal(red, "id", "text", vault).collect()[0]
     assert back["text"] == "Call a@b.co"
+
+
+def test_necessary_conditions_hold_for_every_match(spark):
+    """A text that a pattern matches meets the pattern's condition: samples, and strings built from its matches."""
+    import random
+
+    from colloquy.functions.redact import need
+    rng = random.Random(4)
+    found = [m.group() for s in SAMPLES if s for _, p in PII_PATTERNS for m in re.finditer(p, s, re.IGNORECASE)]
+    texts = [s or "" for s in SAMPLES] + [" ".join(rng.sample(found, 2)) for _ in range(200)]
+    texts += ["".join(rng.choice("0123456789.- ()+@aKA") for _ in range(40)) for _ in range(3000)]
+    for _, p in PII_PATTERNS:
+        hits = [t for t in texts if re.search(p, t, re.IGNORECASE)]
+        assert hits or p.startswith((r"\b(?:4", r"\bsk-", r"\bghp"))
+        assert all(re.search(need(p), t, re.IGNORECASE) for t in hits)
+
+
+def test_write_path_has_a_task_per_shuffle_partition(spark):
+    from colloquy.operators.records import build_sanitized
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert build_sanitized(spark, SF_SMALL).rdd.getNumPartitions() == n
+
+
+def test_all_columns_are_revealed_from_stored_rows(spark):
+    from colloquy.operators.records import sanitized, vault
+    from colloquy.sources.meetings import meetings_raw
+    cols = ["meeting_id", *RD.MEETING_TEXT_COLUMNS]
+    stored = sanitized(spark, SF_SMALL).select(*cols)
+    raw = {r["meeting_id"]: r for r in meetings_raw(spark, SF_SMALL).select(*cols).collect()}
+    assert any(raw[r["meeting_id"]] != r for r in stored.collect())
+    back = RD.reveal_record(stored, vault(spark, SF_SMALL), RD.MEETING_TEXT_COLUMNS).select(*cols).collect()
+    assert len(back) == len(raw) and all(raw[r["meeting_id"]] == r for r in back)
