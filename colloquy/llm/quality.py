@@ -4,7 +4,7 @@ Native: DataFrame functions only.  Each text is split once in lines and words; r
 windows are found inside the row (hashes first, the windows themselves where hashes repeat).
 Normalised lines (words joined by one space, lower case) are hashed and the distinct documents
 that have them are counted per host; exact copies of a text are one document there.  A line in
-more than ``max(MIN_DOCS, SHARE of the host's documents)`` documents is removed, and a document
+more than ``MAX_DOCS`` documents of a host is removed, however large the host is, and a document
 that keeps fewer than ``MIN_WORDS`` words or less than ``MIN_LEFT`` of its words is rejected.
 
 Counting is pre-aggregated per task, so a line of a third of all documents is no hot key.  Null
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import as_rows, from_rows, stage
 
-MIN_DOCS = 50
-SHARE = 0.2
+MAX_DOCS = 6
 MIN_WORDS = 10
 MIN_LEFT = 0.5
 
@@ -96,21 +95,19 @@ def _host() -> Column:
     return F.coalesce(F.concat(F.lit("h:"), F.col("source")), F.lit("null")).alias("_host")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(_host, h) of the lines above the limit, from the rows of ``measure``."""
     one = rows.select("_host", "_text", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     # one row per (host, document, line) first: exact copies count once
     seen = one.groupBy("_host", "h", "_text").agg(F.lit(1).alias("_one")).groupBy("_host", "h").agg(F.count("*").alias("n_docs"))
-    hosts = rows.groupBy("_host", "_text").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.count("*").alias("_docs"))
-    return (seen.where(F.col("n_docs") > min_docs).join(hosts, "_host")
-            .where(F.col("n_docs") > F.col("_docs") * F.lit(share)).select("_host", "h"))
+    return seen.where(F.col("n_docs") > max_docs).select("_host", "h")
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """``measure`` with the hashes of the removed lines (null: none), the words left, and the verdicts."""
     rows = stage(measure(docs), "line-counts")
     cut = (rows.select("_host", "_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-           .join(frequent_lines(rows, min_docs, share), ["_host", "h"], "left_semi")
+           .join(frequent_lines(rows, max_docs), ["_host", "h"], "left_semi")
            .groupBy("_host", "_key").agg(F.collect_set("h").alias("cut")))
     rows = rows.join(cut, ["_host", "_key"], "left")
     gone = F.aggregate(F.filter("lines", lambda x: F.array_contains("cut", x["h"])), F.lit(0).cast("long"),

@@ -117,9 +117,7 @@ dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM l GROUP BY rid),
 g AS (SELECT rid, pos, array_to_string(ws[pos:pos + 4], ' ') AS x FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS pos FROM d)),
 rep AS (SELECT rid, count(DISTINCT w) AS n
         FROM (SELECT rid, unnest(range(pos, pos + 5)) AS w FROM (SELECT rid, pos FROM g QUALIFY count(*) OVER (PARTITION BY rid, x) > 1)) GROUP BY rid),
-hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-often AS (SELECT l.source, k FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source GROUP BY l.source, k, docs
-          HAVING count(DISTINCT text) > {quality.MIN_DOCS} AND count(DISTINCT text) > {quality.SHARE} * docs),
+often AS (SELECT source, k FROM l GROUP BY source, k HAVING count(DISTINCT text) > {quality.MAX_DOCS}),
 gone AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n FROM l SEMI JOIN often ON l.k = often.k AND l.source IS NOT DISTINCT FROM often.source GROUP BY rid),
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,

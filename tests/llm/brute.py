@@ -94,12 +94,11 @@ def op6(rows, path):
     return out
 
 
-def op7(rows, min_docs=50, share=0.2):
+def op7(rows, max_docs=6):
     """rows: (doc_id, text, source) -> (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)"""
     line = lambda x: " ".join(re.findall(SPACE, x)).lower()
-    docs, hosts = defaultdict(set), defaultdict(set)
+    docs = defaultdict(set)
     for d, t, s in rows:
-        hosts[s].add(t or "")
         for x in (t or "").split("\n"):
             if line(x):
                 docs[s, line(x)].add(t)
@@ -115,8 +114,7 @@ def op7(rows, min_docs=50, share=0.2):
         grams = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
         rep = {j for i in range(len(w) - 4) if grams[tuple(w[i:i + 5])] > 1 for j in range(i, i + 5)}
         failed = len(w) < 10 or 100 * len(rep) > 20 * len(w)
-        left = sum(len(re.findall(SPACE, x)) for x in t.split("\n") if line(x) and not (
-            len(docs[s, line(x)]) > min_docs and len(docs[s, line(x)]) > share * len(hosts[s])))
+        left = sum(len(re.findall(SPACE, x)) for x in t.split("\n") if line(x) and len(docs[s, line(x)]) <= max_docs)
         out.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(rep), failed,
                     not failed and left >= 10 and left >= 0.5 * len(w)))
     return out
