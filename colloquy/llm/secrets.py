@@ -3,10 +3,12 @@
 The base rules' matches are the labelled credentials.  A bounded sample of their values
 (``MAX_LABELLED`` distinct values with the smallest hashes) is written in character classes and
 put in a prefix tree; states whose outgoing frequencies agree (Hoeffding bound) are merged, which
-gives a probabilistic automaton of the formats.  Every other run of 16 or more credential
-characters, in all texts, is scored: mean log-likelihood per character under the automaton
-against a first-order model of ordinary words.  Those above ``MARGIN`` add a span.  A run needs
-letters and digits: plain numbers are no credentials.
+gives a probabilistic automaton of the formats.  Every run of ``MIN_CHARS`` or more credential
+characters in all texts that is not inside a base span is scored: log-likelihood under the
+automaton against a first-order model of ordinary runs (words and numbers alike).  It adds a span
+if it wins by ``EVIDENCE`` in all and by ``MARGIN`` per character: a short run must look the more
+like a credential, and the ordinary model, not a rule, keeps words and plain numbers out.  A run
+that reaches beyond a base span is scored, and then added, whole.
 
 Null and empty texts have no spans; with no labelled credential the automaton accepts nothing and
 no span is added; rows are independent, so repeated ids give a row each.
@@ -28,9 +30,9 @@ from colloquy.llm.common import as_rows, from_rows, joined, schema_with, shards,
 SLICE_BYTES = 4 << 20
 #: Bounded sample of labelled rows: credentials, and ordinary words for the opposing model.
 MAX_LABELLED, MAX_ORDINARY = 4000, 4000
-MIN_CHARS, MIN_DIGITS, MIN_LETTERS = 16, 3, 3
-#: Confidence of the merging test, and nats per character by which the automaton must win.
-ALPHA, MARGIN = 0.05, 0.5
+MIN_CHARS = 8
+#: Confidence of the merging test; nats per character, and in all, by which the automaton must win.
+ALPHA, MARGIN, EVIDENCE = 0.05, 0.5, 12.0
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -174,14 +176,11 @@ def base_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[l
         if b"AKIA" in data:
             found[d] += [(s + m.start(), 1, s + m.end(), s + m.start()) for m in ACCESS.finditer(data) if m.end() - m.start() >= 16]
         found[d].sort()
-    runs = list(zip(*_runs(_CRED[buf], MIN_CHARS)))
-    digits = np.concatenate(([0], np.cumsum(_CLASS[buf] == 0, dtype=np.int64)))
-    letters = np.concatenate(([0], np.cumsum((_CLASS[buf] > 0) & (_CLASS[buf] < 4), dtype=np.int64)))
-    for a, b in runs:
-        if digits[b] - digits[a] >= MIN_DIGITS and letters[b] - letters[a] >= MIN_LETTERS:
-            d = int(np.searchsorted(starts, a, side="right")) - 1
-            if not any(x < b and a < y for x, _, y, _ in found[d]):
-                others[d].append((a, b))
+    at, to = _runs(_CRED[buf], MIN_CHARS)
+    owner = (np.searchsorted(starts, at, side="right") - 1).tolist() if at else []
+    for a, b, d in zip(at, to, owner):
+        if not any(x <= a and b <= y for x, _, y, _ in found[d]):
+            others[d].append((a, b))
     return found, others
 
 
@@ -192,8 +191,9 @@ def labelled(docs: DataFrame) -> list[tuple[int, bytes]]:
             buf, starts, ends = joined(part.column("_data"), gap=1)
             found, _ = base_spans(buf, starts, ends)
             rows = {(1, buf[v:b].tobytes()) for spans in found for a, _, b, v in spans}
-            letters = _CRED[buf] & ~((buf >= 0x30) & (buf <= 0x39))
-            plain = {buf[a:b].tobytes() for a, b in zip(*_runs(letters, MIN_CHARS))}
+            # ordinary runs: those without a change between letters and digits
+            kinds = _CRED[buf].astype(np.int8) + (_CRED[buf] & (buf >= 0x30) & (buf <= 0x39))
+            plain = {buf[a:b].tobytes() for k in (1, 2) for a, b in zip(*_runs(kinds == k, MIN_CHARS))}
             rows |= {(0, x) for x in sorted(plain, key=lambda x: hashlib.md5(x).digest())[:MAX_ORDINARY]}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())],
                                              names=["label", "value"])
@@ -210,6 +210,15 @@ def learn(sample: list[tuple[int, bytes]]) -> tuple[Automaton, Ordinary]:
     return Automaton([v for k, v in sample if k]), Ordinary([v for k, v in sample if not k])
 
 
+def likely(automaton: Automaton, ordinary: Ordinary, value: bytes, cache: dict[bytes, bool]) -> bool:
+    """Whether the automaton wins by enough; equal class strings are scored once per slice."""
+    key = _CLASS[np.frombuffer(value, dtype=np.uint8)].astype(np.uint8).tobytes()
+    if key not in cache:
+        gain = automaton.score(value) - ordinary.score(value)
+        cache[key] = gain > MARGIN and gain * (len(value) + 1) > EVIDENCE
+    return cache[key]
+
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -225,12 +234,12 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             buf, starts, ends = joined(part.column("_data"), gap=1)
             found, others = base_spans(buf, starts, ends)
             points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80, dtype=np.int64)))
-            rows = []
+            rows, cache = [], {}
             for d, (spans, more) in enumerate(zip(found, others)):
                 spans = [x[:3] for x in spans]
                 for a, b in more:
                     value = buf[a:b].tobytes()
-                    if automaton.score(value) - ordinary.score(value) > MARGIN:
+                    if likely(automaton, ordinary, value, cache):
                         spans.append((a, 3, b))
                 zero = points[starts[d]]
                 rows.append([{"kind": KINDS[k], "start": int(points[a] - zero), "end": int(points[b] - zero)} for a, k, b in sorted(spans)])
