@@ -161,7 +161,9 @@ def merge_index(archives: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     borders: list[tuple] = []
     if ranges > 1:
         entries = archives.select("archive", F.explode("run").alias("e"))
-        picked = entries.orderBy(F.xxhash64("archive", "e.offset")).limit(max(BORDER_SAMPLE, 0)).select("e").collect()
+        # about BORDER_SAMPLE entries, whatever their number
+        draw = F.pmod(F.xxhash64("archive", "e.offset"), F.lit(1 << 40))
+        picked = entries.where(draw < min(1 << 40, (BORDER_SAMPLE << 40) // n)).select("e").collect()
         sample = sorted(_order(r.e.asDict()) for r in picked)
         borders = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)})
 
@@ -227,13 +229,3 @@ def capture_history(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return read_archives(archives).drop("payload").join(history, ["archive", "offset"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position", "url_key", "captured_at",
         "archive", "offset", "length")
-
-
-def save_archives(archives: DataFrame, folder: str) -> list[str]:
-    """Write the archives as .warc.gz files to a folder of the driver, one at a time."""
-    names = []
-    for r in archives.select("archive", "data").toLocalIterator():
-        names.append(f"{folder}/{r.archive}")
-        with open(names[-1], "wb") as f:
-            f.write(r.data)
-    return names
