@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import xxhash
 from tokenizers import Tokenizer
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -135,6 +136,29 @@ def op8(rows):
     return out
 
 
+def _place(key, node):
+    """Descend by weighted draws: -ln(u) / weight, u from a chained 64-bit hash of key and child name."""
+    while node.children:
+        if len(node.children) == 1:
+            node = node.children[0]
+            continue
+        draws = []
+        for c in node.children:
+            h = xxhash.xxh64(c.name.encode(), xxhash.xxh64(key.encode(), 42).intdigest()).intdigest()
+            draws.append(-math.log(((h >> 11) + 0.5) / (1 << 53)) / c.weight)
+        node = node.children[draws.index(min(draws))]
+    return node.shard
+
+
+def op9(rows, tree, grown):
+    """(doc_id, size, text_crc32, law, shard, grown_shard)"""
+    out = []
+    for d, t in rows:
+        data, key = (t or "").encode(), "null" if d is None else str(d)
+        out.append((d, len(data) + 1, zlib.crc32(data), "key", _place(key, tree), _place(key, grown)))
+    return out
+
+
 def op10(rows):
     """(doc_id, class_id, n_links)"""
     sets = []

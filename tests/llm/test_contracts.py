@@ -139,6 +139,8 @@ def test_sharding(docs):
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
     assert len({r.shard for r in rows if r.doc_id == 20}) == 1
+    names = ("doc_id", "size", "text_crc32", "law", "shard", "grown_shard")
+    assert want(tuple(r[n] for n in names) for r in rows) == want(brute.op9(ROWS, tree, sharding.with_new_shard(tree, 8)))
     assert sum(r.size for r in rows) == sum(len((t or "").encode()) + 1 for _, t in ROWS)
 
 
