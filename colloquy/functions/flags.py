@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colloquy.functions.classify import any_keyword
+from colloquy.functions.sentiment import MICRO
 from colloquy.rules import (DEFAULT_RULES, RISK_COMPETITOR_POINTS, RISK_DROP_BANDS, RISK_SCORE_BANDS,
                             RuleSet)
 
@@ -36,18 +37,18 @@ def churn_risk_flag(call_type: Column, score: Column, is_anomaly: Column, max_sc
     return F.when(F.coalesce(cond, F.lit(False)), F.lit("At Risk")).otherwise(F.lit("Healthy"))
 
 
-def risk_score(score_h: Column, base_mean_h: Column, competitor: Column) -> Column:
-    """0-100 churn risk from hundredths: current score band + drop vs baseline mean + competitor.
+def risk_score(score: Column, base_mean: Column, competitor: Column) -> Column:
+    """0-100 churn risk from millionths: current score band + drop vs baseline mean + competitor.
 
-    ``base_mean_h`` is the baseline month's mean in hundredths (double, may be NULL)."""
+    ``base_mean`` is the baseline month's mean in millionths (double, may be NULL)."""
     def bands(x: Column, table, lower_is_worse: bool) -> Column:
         out = None
         for limit, pts in table:
-            lim = F.lit(int(round(limit * 100)))
+            lim = F.lit(round(limit * MICRO))
             cond = (x < lim) if lower_is_worse else (x >= lim)
             out = F.when(cond, F.lit(pts)) if out is None else out.when(cond, F.lit(pts))
         return out.otherwise(F.lit(0))
-    drop_h = base_mean_h - score_h
-    return (bands(score_h, RISK_SCORE_BANDS, True)
-            + F.coalesce(F.when(drop_h.isNotNull(), bands(drop_h, RISK_DROP_BANDS, False)), F.lit(0))
+    drop = base_mean - score
+    return (bands(score, RISK_SCORE_BANDS, True)
+            + F.coalesce(F.when(drop.isNotNull(), bands(drop, RISK_DROP_BANDS, False)), F.lit(0))
             + F.when(F.coalesce(competitor, F.lit(False)), F.lit(RISK_COMPETITOR_POINTS)).otherwise(F.lit(0)))

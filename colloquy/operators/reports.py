@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.sentiment import micros
 from colloquy.rules import CALL_TYPES, DEFAULT_RULES, RuleSet
 
 SEVERITIES = ["p0", "p1", "p2", "p3"]
@@ -250,26 +251,31 @@ def account_impact(e: DataFrame, month: str, base_month: str, competitors: DataF
                     F.coalesce("competitive", F.lit(False)).alias("competitive")))
 
 
+def below_3() -> Column:
+    """The raw score decides, not its hundredths: 2.996 is below 3."""
+    return F.col("sentiment_score") < 3.0
+
+
 def month_breakdown(e: DataFrame, month: str, by: str) -> DataFrame:
     m = e.filter((F.col("month") == month) & valid_score() & F.col("company").isNotNull())
     return m.groupBy(by).agg(mean_h(F.sum("score_h"), F.count(F.lit(1))).alias("mean"), F.count(F.lit(1)).alias("n"),
-                             F.count_if(F.col("score_h") < 300).alias("n_below_3")).orderBy("mean", by)
+                             F.count_if(below_3()).alias("n_below_3")).orderBy("mean", by)
 
 
 # --- A-17 churn radar ---------------------------------------------------------------------------
 def churn_radar(e: DataFrame, base_month: str, competitors: DataFrame) -> DataFrame:
     from colloquy.functions.flags import risk_score
-    at_risk = (e.filter((F.col("call_type") == "external") & valid_score() & (F.col("score_h") < 300))
+    at_risk = (e.filter((F.col("call_type") == "external") & valid_score() & below_3())
                .withColumn("company", F.col("company_simple")))
     base = (e.filter((F.col("month") == base_month) & valid_score())
             .groupBy(F.col("company_simple").alias("company"))
-            .agg((F.sum("score_h") / F.count(F.lit(1))).alias("base_h")))
+            .agg((F.sum(micros(F.col("sentiment_score"))) / F.count(F.lit(1))).alias("base_u")))
     comp = competitors.select(F.col("account").alias("company"), F.lit(True).alias("competitive_threat"))
     # the two small sides first, so that a company with many meetings is joined (and split) once
     j = at_risk.join(base.join(comp, "company", "full"), "company", "left")
     ct = F.coalesce("competitive_threat", F.lit(False))
     return j.select("meeting_id", "company", "sentiment_score", "z_score", ct.alias("competitive_threat"),
-                    "has_churn_signal", risk_score(F.col("score_h"), F.col("base_h"), ct).alias("risk_score")).orderBy(
+                    "has_churn_signal", risk_score(micros(F.col("sentiment_score")), F.col("base_u"), ct).alias("risk_score")).orderBy(
                         F.desc("risk_score"), "meeting_id")
 
 
@@ -352,7 +358,7 @@ def box_stats(e: DataFrame) -> DataFrame:
 
 def summary_cards(e: DataFrame) -> DataFrame:
     outage = F.col("outage_related") & valid_score()
-    at_risk = (F.col("call_type") == "external") & valid_score() & (F.col("score_h") < 300)
+    at_risk = (F.col("call_type") == "external") & valid_score() & below_3()
     return e.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_anomaly")).alias("anomalies"),
                  F.count_if(at_risk).alias("at_risk"),
                  ratio(F.count_if(outage) * F.lit(100), F.count(F.lit(1)), 1).alias("blast_share_pct"),

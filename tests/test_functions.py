@@ -87,3 +87,16 @@ def test_accounts(spark):
     assert got[3][0] == ""
     assert got[4][1] == "Brightpath Commerce"
     assert got[5][1] == "Customer"
+
+
+def test_thresholds_read_the_raw_score(spark):
+    """2.996 is below 3.0 and 2.496 below 2.5, though their hundredths are not."""
+    from colloquy.functions.flags import risk_score
+    from colloquy.functions.sentiment import hundredths, micros
+    from colloquy.operators import reports as R
+    rows = [("a", "2026-03", "external", "c", 2.996), ("b", "2026-03", "external", "c", 3.0), ("d", "2026-03", "external", "c", 2.496)]
+    e = spark.createDataFrame(rows, "meeting_id string, month string, call_type string, company string, sentiment_score double")
+    e = e.withColumn("score_h", hundredths(F.col("sentiment_score")))
+    assert R.month_breakdown(e, "2026-03", "call_type").first()["n_below_3"] == 2
+    got = e.select("meeting_id", risk_score(micros(F.col("sentiment_score")), F.lit(None).cast("double"), F.lit(False)).alias("r")).collect()
+    assert {r["meeting_id"]: r["r"] for r in got} == {"a": 25, "b": 10, "d": 40}
