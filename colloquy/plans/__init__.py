@@ -37,5 +37,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict:
     # Import for registration side effects.
-    from colloquy.plans import q_core, q_reports, q_visuals, q_text, q_io, q_stored, q_stream  # noqa: F401
+    from colloquy.plans import q_core, q_reports, q_visuals, q_text, q_io, q_stored, q_stream, q_timeline  # noqa: F401
     return REGISTRY
