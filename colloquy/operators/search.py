@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators.gold import gold_table
+from colloquy.operators.gold import gold_table, input_bytes
 from colloquy.operators.records import enriched
 from colloquy.rules import SEARCH_B, SEARCH_K1, SEARCH_MAX_K, SEARCH_TOP_K
 from colloquy.sources.tables import table
@@ -56,13 +56,33 @@ class Index(NamedTuple):
         return Index(*(a.unionByName(b) for a, b in zip(self, other)))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, dl, tf) of (doc_id, tokens) rows, in ranges of (term, hash of the id): a
-    query's terms are few row groups, and a term of most documents spans many partitions."""
-    hits = (docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-            .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))  # combined map-side, document by document
-    rows = hits.select("term", "doc_id", "dl", "tf", F.xxhash64("doc_id").alias("_h"))
-    return rows.repartitionByRange("term", "_h").sortWithinPartitions("term", "_h").drop("_h")
+#: Slots by a hash of the id that a term's postings are dealt to; input bytes whose postings one task sorts.
+SLOTS = 4096
+BYTES_PER_TASK = 8 << 20
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf) of every row of (doc_id, tokens): the row's sorted tokens in runs, without a shuffle."""
+    t = docs.select("doc_id", F.sort_array("tokens").alias("_s"))
+    first = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    t = t.select("doc_id", "_s", F.when(F.size("_s") > 0, first).alias("_f"))
+    runs = F.transform("_f", lambda i, j: F.struct(F.get("_s", i).alias("term"),
+                                                   (F.coalesce(F.get("_f", j + 1), F.size("_s")) - i).cast("bigint").alias("tf")))
+    # the outer form keeps Spark from testing the size of the runs by making them twice
+    return t.select("doc_id", F.size("_s").alias("dl"), F.inline_outer(runs)).where(F.col("term").isNotNull())
+
+
+def postings(docs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(term, doc_id, dl, tf) of (doc_id, tokens) rows, in ranges of (term, slot by a hash of the id): a
+    query's terms are few row groups, and a term of most documents spans many partitions.
+
+    Counted per row, shuffled once; rows that share id, length and term meet in a range and are
+    added up there.  ``tasks``: the ranges, if more than there are shuffle partitions."""
+    rows = term_counts(docs).select("term", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("_h"), "doc_id", "dl", "tf")
+    many = tasks and tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(*([tasks] if many else []), "term", "_h")
+    return (dealt.groupBy("term", "_h", "doc_id", "dl").agg(F.sum("tf").alias("tf"))
+            .sortWithinPartitions("term", "_h").select("term", "doc_id", "dl", "tf"))
 
 
 def corpus_index(docs: DataFrame, n_docs: DataFrame | None = None, stored: DataFrame | None = None) -> Index:
@@ -90,7 +110,7 @@ def indexed_stats(stats: DataFrame, term_df: DataFrame, terms: list) -> tuple:
 
 def stored_index(spark: SparkSession, name: str, inputs: list, docs: Callable[[], DataFrame]) -> Index:
     """The gold index of ``docs()`` (doc_id, tokens), built once per input and code fingerprint."""
-    post = gold_table(spark, f"{name}-postings", inputs, "bm25", lambda: postings(docs()))
+    post = gold_table(spark, f"{name}-postings", inputs, "bm25", lambda: postings(docs(), -(-input_bytes(spark, inputs) // BYTES_PER_TASK)))
     lazy = lambda: corpus_index(docs(), n_docs=docs().select("doc_id"), stored=post)
     return Index(gold_table(spark, f"{name}-stats", inputs, "bm25", lambda: lazy().stats),
                  gold_table(spark, f"{name}-terms", inputs, "bm25", lambda: lazy().term_df, sort_by=["term"]), post)
