@@ -120,7 +120,7 @@ class KeyedTable:
         """S-08: store the rows whose key has no value; first write wins.  Returns (key, status) of the
         batch's keys: saved or duplicate.  A replay of ``seq`` gives the same answer as its first try."""
         keys = rows.select(*self.key).distinct()
-        have = self.lookup(keys, before=seq).select(*self.key).withColumn("_have", F.lit(True))
+        have = self.present(keys, before=seq).withColumn("_have", F.lit(True))
         status = keys.join(have, self.key, "left").select(
             *self.key, F.when(F.col("_have"), F.lit("duplicate")).otherwise(F.lit("saved")).alias("status"))
         # lineage is cut here: the status must not change when the run below is visible
@@ -150,16 +150,29 @@ class KeyedTable:
         latest = self._latest(rows.drop(HASH), [SEQ])
         return latest.where(~F.col(GONE)).select(*self.schema.fieldNames())
 
+    def present(self, keys: DataFrame, before: int | None = None) -> DataFrame:
+        """Those of ``keys`` that have a value: as :func:`lookup`, but the payload is neither read nor shuffled."""
+        rows = self._rows_for(keys, before)
+        if rows is None:
+            return self.spark.createDataFrame([], self.schema).select(*self.key)
+        last = rows.select(*self.key, SEQ, GONE).groupBy(*self.key).agg(F.max(F.struct(SEQ, GONE)).alias("_last"))
+        return last.where(~F.col(f"_last.{GONE}")).select(*self.key)
+
     def lookup(self, keys: DataFrame, before: int | None = None) -> DataFrame:
         """Values of ``keys`` (S-05, S-08), from the files that can hold them; ``before``: as of the
         writes with smaller sequence numbers."""
+        rows = self._rows_for(keys, before)
+        return self.spark.createDataFrame([], self.schema) if rows is None else self._values(rows)
+
+    def _rows_for(self, keys: DataFrame, before: int | None) -> DataFrame | None:
+        """Stored rows of ``keys`` (and ``before``) from the files that can hold them; None without such files."""
         files = self.files_for(keys)
         if not files:
-            return self.spark.createDataFrame([], self.schema)
+            return None
         rows = self.spark.read.schema(self.stored_schema).parquet(*files)
         if before is not None:
             rows = rows.where(F.col(SEQ) < before)
-        return self._values(rows.join(keys.select(*self.key).distinct(), self.key, "left_semi"))
+        return rows.join(keys.select(*self.key).distinct(), self.key, "left_semi")
 
     def view(self) -> DataFrame:
         """The value of every key (S-09: last writer wins)."""
