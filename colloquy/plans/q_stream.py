@@ -14,6 +14,8 @@ from colloquy.sources.meetings import meetings_raw
 from colloquy.streaming import pending, windows
 
 TS = "yyyy-MM-dd HH:mm:ss"
+#: Files (of at most ``MEETINGS_PER_TASK`` rows each) of one micro-batch.
+BATCH_FILES = 100
 
 
 def sliding_kpi(spark, sf) -> DataFrame:
@@ -62,9 +64,12 @@ def complete_meetings(spark, sf) -> DataFrame:
     """Meetings that the keyed state completes from a stream of parts, summaries and infos in batches of their own."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/parts-{uuid.uuid4().hex}"
     rows = pending.with_validity(parts_of(spark, sf))
+    files = 0
     for part in ("summary", "meeting-info"):
         rows.where(F.col("part") == part).write.mode("append").parquet(root)
-    events = pending.track(windows.table_stream(spark, root, max_files_per_trigger=4))
+        files = files or len(spark.read.parquet(root).inputFiles())
+    # a part's files in one batch, or as many as make a few million rows: every batch costs a commit of all state
+    events = pending.track(windows.table_stream(spark, root, max_files_per_trigger=min(files, BATCH_FILES)))
     done = windows.collected(events, "complete-meetings", mode="update", timers=True).where(F.col("event").isin("complete", "repaired"))
     m = pending.meetings_of(done)
     return m.select("meeting_id", "title", F.date_format("start_time", TS).alias("start"), "sentiment_score", F.array_join("topics", "|").alias("topics"), "summary",
