@@ -101,3 +101,16 @@ def test_compaction_to_nothing(spark, table):
     table.delete(spark.createDataFrame([("a",)], "id string"), 2)
     assert len(table.compact(full=True)) == 2
     assert state(table.view()) == {} and table.lookup(spark.createDataFrame([("a",)], "id string")).count() == 0
+
+
+def test_presence_is_decided_without_the_payload(spark, scratch):
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("payload", T.StringType())])
+    t = KeyedTable(spark, f"{scratch}/p", ["id"], schema)
+    t.upsert(spark.createDataFrame([("a", "1"), ("b", "2")], schema), 1)
+    t.delete(spark.createDataFrame([("b",)], "id string"), 2)
+    t.upsert(spark.createDataFrame([("c", "3")], schema), 3)
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    p = t.present(keys)
+    assert sorted(r["id"] for r in p.collect()) == ["a", "c"]
+    assert sorted(r["id"] for r in t.present(keys, before=2).collect()) == ["a", "b"]
+    assert "payload" not in p._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from colloquy.functions.redact import redact
+from colloquy.functions.redact import java_pattern, need, pii_possible, redact
 from colloquy.operators import redaction as RD
 from colloquy.rules import PII_PATTERNS
 from colloquy.sources.tables import table
@@ -109,3 +109,29 @@ def test_all_columns_are_revealed_from_stored_rows(spark):
     assert any(raw[r["meeting_id"]] != r for r in stored.collect())
     back = RD.reveal_record(stored, vault(spark, SF_SMALL), RD.MEETING_TEXT_COLUMNS).select(*cols).collect()
     assert len(back) == len(raw) and all(raw[r["meeting_id"]] == r for r in back)
+
+
+def test_tasks_of_the_write_path_hold_bounded_meetings(spark, monkeypatch):
+    from colloquy.operators.records import build_sanitized
+    from colloquy.sources import meetings
+    monkeypatch.setattr(meetings, "MEETINGS_PER_TASK", 100)
+    per_task = build_sanitized(spark, SF_SMALL).select("meeting_id").rdd.glom().map(len).collect()
+    assert len(per_task) >= 15 and max(per_task) < 200
+
+
+def test_marks_lose_no_text(spark):
+    """A text that the patterns' conditions meet is never left out by the marks, in any alphabet."""
+    texts = ["AKIA", "a\u212aIA", "\u017fk-ant-x", "GHP_", "bearer x", "BEARER\u00a0x", "a@b", "\u0661\u0662\u0663-\u0664\u0665\u0666-\u0667\u0668\u0669\u0660",
+             "call 555-123-4567", "AB1234567", "nothing", "", "caf\u00e9", "12", "kiosk begs"]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    wide = F.lit(False)
+    for _, p in PII_PATTERNS:
+        wide = wide | F.col("t").rlike(java_pattern(need(p)))
+    assert [r["t"] for r in t.where(pii_possible(F.col("t")) != wide).collect()] == []
+
+
+def test_sanitized_is_read_from_the_one_store(spark):
+    from colloquy.operators.records import enriched, sanitized
+    s, e = sanitized(spark, SF_SMALL), enriched(spark, SF_SMALL)
+    assert sorted(s.inputFiles()) == sorted(e.inputFiles())
+    assert s.columns[-2:] == ["n_pii_redacted", RD.MATCH_COLUMN] and RD.MATCH_COLUMN not in e.columns

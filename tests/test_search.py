@@ -67,3 +67,12 @@ def test_appended_documents_score_as_a_rebuilt_index(spark):
     want = {r["doc_id"]: r["score"] for r in S.bm25(d, "doc_id", F.col("text"), q).collect()}
     got = {r["doc_id"]: r["score"] for r in S.bm25(d, "doc_id", F.col("text"), q, index=idx).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_postings_are_shuffled_once_and_rows_that_come_twice_add_up(spark):
+    rows = [("a", "x y x z"), ("a", "x y x z"), ("b", ""), ("c", None), ("d", "y"), (None, "z z")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").select("doc_id", S.tokens(F.col("text")).alias("tokens"))
+    p = S.postings(docs)
+    got = {(r["doc_id"], r["dl"], r["term"]): r["tf"] for r in p.collect()}
+    assert got == {("a", 4, "x"): 4, ("a", 4, "y"): 2, ("a", 4, "z"): 2, ("d", 1, "y"): 1, (None, 2, "z"): 2}
+    assert "Exchange hashpartitioning" not in p._jdf.queryExecution().executedPlan().toString()
