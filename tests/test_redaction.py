@@ -137,6 +137,23 @@ def test_sanitized_is_read_from_the_one_store(spark):
     assert s.columns[-2:] == ["n_pii_redacted", RD.MATCH_COLUMN] and RD.MATCH_COLUMN not in e.columns
 
 
+def test_every_shuffle_of_the_store_follows_the_meetings(spark, monkeypatch, tmp_path):
+    """Its partitions, and so a task's memory, do not stay at the session's number when the input grows."""
+    from colloquy.operators import records
+    from colloquy.rules import DEFAULT_RULES
+    from colloquy.sources import meetings
+    monkeypatch.setattr(meetings, "MEETINGS_PER_TASK", 10)
+    key, seen = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+
+    def build():
+        seen.append(int(spark.conf.get(key)))
+        return spark.range(3)
+
+    assert records._gold(spark, SF_SMALL, f"partitions-{tmp_path.name}", DEFAULT_RULES, build).count() == 3
+    assert seen == [max(int(before), meetings.n_tasks(spark, SF_SMALL))] and seen[0] >= 150 and spark.conf.get(key) == before
+
+
 def test_lists_without_marks_skip_the_chain_and_keep_every_value(spark):
     """A list is redacted leaf by leaf as before, whatever it holds; only lists that no pattern can match are passed on."""
     from colloquy.functions.redact import unmarked
