@@ -139,19 +139,21 @@ def test_sanitized_is_read_from_the_one_store(spark):
 
 def test_every_shuffle_of_the_store_follows_the_meetings(spark, monkeypatch, tmp_path):
     """Its partitions, and so a task's memory, do not stay at the session's number when the input grows."""
-    from colloquy.operators import records
+    from colloquy.operators import gold, records
     from colloquy.rules import DEFAULT_RULES
     from colloquy.sources import meetings
     monkeypatch.setattr(meetings, "MEETINGS_PER_TASK", 10)
-    key, seen = "spark.sql.shuffle.partitions", []
-    before = spark.conf.get(key)
+    key, split, seen = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", []
+    before, split_before = spark.conf.get(key), spark.conf.get(split)
 
     def build():
         seen.append(int(spark.conf.get(key)))
+        assert spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() <= gold.SPLIT_BYTES
         return spark.range(3)
 
     assert records._gold(spark, SF_SMALL, f"partitions-{tmp_path.name}", DEFAULT_RULES, build).count() == 3
-    assert seen == [max(int(before), meetings.n_tasks(spark, SF_SMALL))] and seen[0] >= 150 and spark.conf.get(key) == before
+    assert seen == [max(int(before), meetings.n_tasks(spark, SF_SMALL))] and seen[0] >= 150
+    assert (spark.conf.get(key), spark.conf.get(split)) == (before, split_before)
 
 
 def test_lists_without_marks_skip_the_chain_and_keep_every_value(spark):
