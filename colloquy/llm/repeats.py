@@ -2,8 +2,8 @@
 
 A shard is a block of documents (by a hash of the id), and its suffix array is built by
 Larsson-Sadakane refinement in numpy: suffixes are ordered by eight bytes, then groups of equal
-suffixes are refined by the ranks of the suffixes 8, 16, 32 and 64 bytes on.  Kasai's common
-prefixes, run in many lanes at once and cut at 100, part the order in classes of equal 100-byte
+suffixes are refined by the ranks of the suffixes 8, 16, 32 and 64 bytes on.  The common prefixes
+of neighbours in the order, cut at 100, part it in classes of equal 100-byte
 strings; the first of a class in the shard stays a candidate, the others are repeats.  Across
 shards the candidates are merged by binary search: each shard's sorted keys are searched in those
 of the others, equal keys are compared byte by byte, and the earlier string wins.
@@ -28,20 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import MULT_INV, binary_array, count_of, joined, one_array, powers, prefix_hash, ragged, range_hash, spread, text_bytes
+from colloquy.llm.common import MIX, MULT, binary_array, count_of, joined, one_array, prefix_hash, ragged, range_hash, spread, text_bytes
 
 LENGTH, GRAM = 100, 24
 BLOCK_BYTES = 4 << 20
 HOT = 256
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Odd multipliers of the three words of a gram, and what is added so that zeros do not hash to zero.
+_GRAM_MULT = np.array([MULT, MIX, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+_GRAM_ADD = np.uint64(0x165667B19E3779F9)
+#: Positions that one step of a sweep handles: its few arrays stay in the processor's cache.
+_SWEEP = 1 << 15
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as a big-endian number, zeros after the end."""
-    out = np.zeros(len(buf), dtype=np.uint64)
-    for k in range(8):
-        out[:len(buf) - k or None] |= buf[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
-    return out
+    wide = np.zeros(len(buf) + 7, dtype=np.uint8)
+    wide[:len(buf)] = buf
+    return np.ndarray(len(buf), dtype=">u8", buffer=wide, strides=(1,)).astype(np.uint64)
 
 
 def suffix_array(buf: np.ndarray, depth: int, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -70,41 +74,61 @@ def suffix_array(buf: np.ndarray, depth: int, key: np.ndarray | None = None) ->
         ks, h = key[order], 2 * h
 
 
-def common_prefixes(w8: np.ndarray, order: np.ndarray, rank: np.ndarray, cap: int, lane: int = 256) -> np.ndarray:
+def common_prefixes(w8: np.ndarray, order: np.ndarray, rank: np.ndarray, cap: int, lane: int = _SWEEP) -> np.ndarray:
     """Common prefix (at most ``cap``) of each position of ``order`` with the one before it, by text
-    position: Kasai's sweep over the text, in lanes of ``lane`` positions side by side.  Positions of
-    equal rank share ``cap`` bytes at least; their order is open, so the next one starts anew."""
-    n = len(w8)
-    phi = np.full(n + 1, -1, dtype=np.int64)
-    phi[order[1:]] = order[:-1]
-    chosen = np.zeros(n + 1, dtype=bool)
-    chosen[order] = True
+    position.  Positions of equal rank share ``cap`` bytes at least; other pairs are compared eight bytes
+    at a time, ``lane`` pairs side by side.  ``cap`` bounds the steps of a pair, so nothing has to be
+    carried over from the pair of the position before, as Kasai's sweep does."""
+    out = np.zeros(len(w8), dtype=np.int64)
     wide = np.concatenate((w8, np.zeros(cap + 8, dtype=np.uint64)))
-    pos = np.flatnonzero(chosen)
-    out = np.zeros(n, dtype=np.int64)
-    lanes = max(1, -(-len(pos) // lane))
-    begin = np.arange(lanes) * lane
-    h, last, last_phi = np.zeros(lanes, np.int64), np.full(lanes, -2), np.full(lanes, -2)
-    for step in range(min(lane, len(pos))):
-        on = np.flatnonzero(begin + step < len(pos))
-        i = pos[begin[on] + step]
-        j = phi[i]
-        # the text before gives h - 1, if both positions moved by one
-        follows = (i == last[on] + 1) & (last_phi[on] >= 0) & chosen[last_phi[on] + 1]
-        g = np.where(follows, np.maximum(h[on] - 1, 0), 0)
-        g[j < 0] = 0
-        tied = (j >= 0) & (rank[i] == rank[j])
-        g[tied] = cap
-        live = np.flatnonzero((j >= 0) & ~tied)
+    for c in range(1, len(order), lane):
+        i, j = order[c:c + lane], order[c - 1:c + lane - 1][:len(order) - c]
+        g = np.where(rank[i] == rank[j], cap, 0)
+        live = np.flatnonzero(g == 0)
         while len(live):
             x = wide[i[live] + g[live]] ^ wide[j[live] + g[live]]
-            same = np.zeros(len(live), dtype=np.int64)
-            for k in range(8):
-                same += x < np.uint64(1 << (56 - 8 * k)) if k < 7 else x == 0
-            g[live] += same
-            live = live[(same == 8) & (g[live] < cap)]
-        out[i] = h[on] = np.minimum(g, cap)
-        last[on], last_phi[on] = i, np.where(tied, -2, j)
+            differ = x != 0
+            y, same = x[differ], np.zeros(np.count_nonzero(differ), dtype=np.int8)
+            for k in range(7):
+                same += y < np.uint64(1 << (56 - 8 * k))
+            g[live[differ]] += same
+            live = live[~differ]
+            g[live] += 8
+            live = live[g[live] < cap]
+        out[i] = np.minimum(g, cap)
+    return out
+
+
+def gram_hashes(buf: np.ndarray) -> np.ndarray:
+    """Hash of the ``GRAM`` bytes from each position, the greatest number where fewer are left."""
+    out = np.full(len(buf), _TOP, dtype=np.uint64)
+    n = len(buf) - GRAM + 1
+    words = np.ndarray(max(len(buf) - 7, 0), dtype="<u8", buffer=np.ascontiguousarray(buf), strides=(1,))
+    for c in range(0, n, _SWEEP):
+        w = words[c:min(c + _SWEEP, n) + GRAM - 8].astype(np.uint64)
+        size = len(w) - GRAM + 8
+        h = out[c:c + size]
+        np.multiply(w[:size], _GRAM_MULT[0], out=h)
+        for k in range(1, GRAM // 8):
+            h += w[8 * k:8 * k + size] * _GRAM_MULT[k]
+        h += _GRAM_ADD
+    return out
+
+
+def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (np.minimum or np.maximum) over every ``width`` neighbouring values."""
+    out = np.empty(max(len(values) - width + 1, 0), dtype=values.dtype)
+    for c in range(0, len(out), _SWEEP):
+        a = values[c:c + _SWEEP + width - 1]
+        b, spare = np.empty(len(a), a.dtype), np.empty(len(a), a.dtype)
+        span, n = 1, len(a)
+        while span < width:
+            step = min(span, width - span)
+            n -= step
+            pick(a[:n], a[step:step + n], out=b[:n])
+            a, b, spare = b, spare, b
+            span += step
+        out[c:c + n] = a[:n]
     return out
 
 
@@ -112,23 +136,15 @@ def smallest_hashes(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray):
     """(gram hashes, smallest gram hash of the 100 bytes from each position, whether 100 bytes of one
     text start there); positions run over buf."""
     n = len(buf)
-    hash_n = max(n - GRAM + 1, 0)
-    prefix = prefix_hash(buf)
-    grams = np.full(n, _TOP, dtype=np.uint64)
-    if hash_n:
-        grams[:hash_n] = (prefix[GRAM:] - prefix[:hash_n]) * powers(hash_n, MULT_INV)
-    del prefix
-    edge = np.zeros(n + 1, dtype=np.int32)  # positions where 100 bytes fit
+    grams = gram_hashes(buf)
     size = np.maximum(ends - starts - LENGTH + 1, 0)
-    np.add.at(edge, starts[size > 0], 1)
-    np.add.at(edge, (starts + size)[size > 0], -1)
-    fits = np.cumsum(edge[:-1]) > 0
-    low, span = grams.copy(), 1
-    width = LENGTH - GRAM + 1
-    while span < width:
-        step = min(span, width - span)
-        low[:n - step] = np.minimum(low[:n - step], low[step:])
-        span += step
+    edge = np.zeros(n + 1, dtype=np.int8)  # positions where 100 bytes fit
+    edge[starts[size > 0]] += 1
+    edge[(starts + size)[size > 0]] -= 1
+    fits = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    low = np.full(n, _TOP, dtype=np.uint64)
+    found = sliding(grams[:max(n - GRAM + 1, 0)], LENGTH - GRAM + 1, np.minimum)
+    low[:len(found)] = found
     return grams, low, fits
 
 
@@ -136,12 +152,9 @@ def sent_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     """Distinct smallest hashes of a shard, and whether each stands at several positions."""
     grams, low, fits = smallest_hashes(buf, ends, starts)
     # a gram is chosen if it is the smallest of some 100 bytes that hold it
-    most = np.where(fits, low, 0)
-    span, width = 1, LENGTH - GRAM + 1
-    while span < width:
-        step = min(span, width - span)
-        most[step:] = np.maximum(most[step:], most[:-step]) if step < len(most) else most[step:]
-        span += step
+    most = np.zeros(len(buf) + LENGTH - GRAM, dtype=np.uint64)
+    np.copyto(most[LENGTH - GRAM:], low, where=fits)
+    most = sliding(most, LENGTH - GRAM + 1, np.maximum)
     chosen = (most == grams) & (most > 0)
     value, count = np.unique(grams[chosen], return_counts=True)
     return value, count > 1
@@ -153,7 +166,8 @@ def _runs(flag: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(at), dtype=bool)
     new[1:] = np.diff(at) > 1
     for s in same:
-        new[1:] |= s[at[1:]] != s[at[:-1]]
+        value = s[at]
+        new[1:] |= value[1:] != value[:-1]
     head = np.flatnonzero(new)
     return at[head], np.diff(np.append(head, len(at)))
 
@@ -176,7 +190,7 @@ def shard_repeats(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, again:
     edge = np.zeros(len(buf) + 1, dtype=np.int32)
     np.add.at(edge, head, 1)
     np.add.at(edge, head + size - 1 + LENGTH, -1)
-    cover = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    cover = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0)
     text, start_here = buf[cover], may[cover]
     w8 = words8(text)
     sa, rank = suffix_array(text, LENGTH, w8)
@@ -229,6 +243,7 @@ class _Collision(Exception):
 def merge_task(t: pa.Table) -> pa.Table:
     """Repeats among the candidate runs that were routed to one task."""
     t = t.filter(pa.array(np.asarray(t.column("n")) > 0)) if t.num_rows else t
+    t = t.take(pa.array(np.argsort(t.column("block").to_numpy(), kind="stable")))
     buf, off, _ = joined(t.column("data"))
     n = t.column("n").to_numpy()
     block, tie = t.column("block").to_numpy(), t.column("tie").to_numpy()
@@ -243,7 +258,7 @@ def merge_task(t: pa.Table) -> pa.Table:
     step = start - off[run]
     key = range_hash(prefix_hash(buf), start, start + LENGTH)
     where = (place[run] << 32) | step
-    view = np.lib.stride_tricks.as_strided(buf, (max(len(buf) - 7, 0), 8), (1, 1))
+    w8 = words8(buf)
 
     def begin(p):
         return off[order[p >> 32]] + (p & 0xFFFFFFFF)
@@ -251,14 +266,15 @@ def merge_task(t: pa.Table) -> pa.Table:
     def equal(p, q):
         x, y = begin(p), begin(q)
         for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-            if not (view[x + k] == view[y + k]).all():
+            if (w8[x + k] != w8[y + k]).any():
                 raise _Collision
 
     def merge(key):
         keys, places = [], []
-        by = np.lexsort((key, block[run]))
-        for part in np.split(by, np.flatnonzero(np.diff(block[run][by])) + 1):
-            keys.append(key[part]), places.append(where[part])
+        cut = (np.cumsum(n) - n)[np.flatnonzero(np.diff(block)) + 1]  # the strings of a shard stand together
+        for k, w in zip(np.split(key, cut), np.split(where, cut)):
+            by = np.argsort(k)
+            keys.append(k[by]), places.append(w[by])
         return merge_shards(keys, places, equal)
 
     if not len(n):

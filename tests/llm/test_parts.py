@@ -54,6 +54,45 @@ def test_colliding_hashes_are_told_apart(monkeypatch):
     assert [(r["doc_id"], r["at"], r["n"]) for r in out] == [(2, 1, 41)]
 
 
+def test_merge_orders_the_strings_of_a_shard_by_themselves(monkeypatch):
+    """Only runs are ordered by several columns; the strings under them are far more."""
+    sorted_rows = []
+    monkeypatch.setattr(np, "lexsort", lambda keys, real=np.lexsort: sorted_rows.append(len(keys[0])) or real(keys))
+    rng = random.Random(5)
+    one = bytes(rng.choices(b"abcdef", k=900))
+    data = [one, one[100:700]]
+    n = [len(d) - 99 for d in data]
+    t = pa.table({"bucket": pa.array([0, 0], pa.int32()), "block": pa.array([2, 0], pa.int32()), "doc_id": pa.array([2, 1], pa.int64()),
+                  "tie": pa.array([0, 0], pa.int32()), "at": pa.array([0, 7], pa.int64()), "n": pa.array(n, pa.int64()),
+                  "size": pa.array(n, pa.int64()), "data": pa.array(data, pa.binary())})
+    out = repeats.merge_task(t).to_pylist()
+    assert [(r["block"], r["doc_id"], r["at"], r["n"]) for r in out] == [(2, 2, 100, 501)]
+    assert sorted_rows and max(sorted_rows) <= len(data)
+
+
+def test_smallest_hashes_in_steps(monkeypatch):
+    """The sweep in small steps gives what each 100 bytes hold, zero bytes included."""
+    monkeypatch.setattr(repeats, "_SWEEP", 64)
+    rng = random.Random(6)
+    texts = [bytes(rng.choices(b"abc", k=k)) for k in (0, 99, 100, 101, 450)] + [b"\0" * 150, b""]
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    grams, low, fits = repeats.smallest_hashes(buf, ends, starts)
+    assert [bool(f) for f in fits] == [any(s <= i and i + 100 <= e for s, e in zip(starts, ends)) for i in range(len(buf))]
+    by_bytes = {}
+    chosen = set()
+    for i in np.flatnonzero(fits).tolist():
+        hashes = grams[i:i + 77].tolist()
+        assert low[i] == min(hashes) > 0
+        chosen.add(min(hashes))
+    for i in range(len(buf) - 23):
+        assert by_bytes.setdefault(buf[i:i + 24].tobytes(), grams[i]) == grams[i]
+    assert len(set(by_bytes.values())) == len(by_bytes)
+    value, many = repeats.sent_hashes(buf, starts, ends)
+    assert set(value.tolist()) == chosen and many[value == grams[len(buf) - 150]].all()
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=30), min_size=1, max_size=8), st.lists(st.integers(1, 4), min_size=1, max_size=4))
 def test_fm_index(runs, pattern):
