@@ -11,8 +11,11 @@ of the others, equal keys are compared byte by byte, and the earlier string wins
 Only strings that can repeat are ordered: any 100 bytes hold the smallest hash among their
 24-byte substrings, so each shard sends its distinct smallest hashes, and learns which of them
 occur twice in the corpus and which in several shards.  Every repeated string passes this test.
-The hashes also route the merge: equal strings have equal smallest hashes.  A hash that more than
-``HOT`` shards have is routed string by string instead, so no task holds all its strings.
+The hashes also route the merge: equal strings have equal smallest hashes, and the strings of a
+stretch that share one travel as one run.  Where a hash has more than ``HOT`` places in the corpus,
+its strings are routed by the smallest hash among their 64-byte substrings instead: one common line in
+many contexts is dealt to many tasks, and neighbouring strings still travel as one run, so the bytes
+sent follow the input, however common its passages are.
 
 Order of strings: (doc_id, null first; rows of one id by their bytes; start).  Null texts are
 empty; rows that repeat an id are documents of their own, the later is a copy; an empty table
@@ -22,17 +25,19 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import MIX, MULT, binary_array, count_of, joined, one_array, prefix_hash, ragged, range_hash, spread, text_bytes
+from colloquy.llm.common import MIX, MULT, MULT_INV, binary_array, count_of, joined, one_array, powers, prefix_hash, ragged, range_hash, spread, text_bytes
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM, LONG_GRAM = 100, 24, 64
 BLOCK_BYTES = 4 << 20
-HOT = 256
+#: Places of a hash whose runs one task of the merge takes.
+HOT = 8192
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd multipliers of the three words of a gram, and what is added so that zeros do not hash to zero.
 _GRAM_MULT = np.array([MULT, MIX, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
@@ -149,7 +154,7 @@ def smallest_hashes(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray):
 
 
 def sent_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct smallest hashes of a shard, and whether each stands at several positions."""
+    """Distinct smallest hashes of a shard, and at how many further positions each stands (255: or more)."""
     grams, low, fits = smallest_hashes(buf, ends, starts)
     # a gram is chosen if it is the smallest of some 100 bytes that hold it
     most = np.zeros(len(buf) + LENGTH - GRAM, dtype=np.uint64)
@@ -157,7 +162,15 @@ def sent_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     most = sliding(most, LENGTH - GRAM + 1, np.maximum)
     chosen = (most == grams) & (most > 0)
     value, count = np.unique(grams[chosen], return_counts=True)
-    return value, count > 1
+    return value, np.minimum(count - 1, 255).astype(np.uint8)
+
+
+def long_hashes(buf: np.ndarray) -> np.ndarray:
+    """Smallest hash among the ``LONG_GRAM`` byte substrings of the 100 bytes from each position that has as many."""
+    prefix = prefix_hash(buf)
+    grams = prefix[LONG_GRAM:] - prefix[:-LONG_GRAM]
+    grams *= powers(len(grams), MULT_INV)
+    return sliding(grams, LENGTH - LONG_GRAM + 1, np.minimum)
 
 
 def _runs(flag: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,10 +227,10 @@ def merge_shards(keys: list[np.ndarray], places: list[np.ndarray], equal) -> np.
     """Merge sorted key lists of shards (unique in each) by binary search; ``places`` order the
     strings in the corpus.  Returns the places that have an earlier equal string."""
     lost = []
-    lists = list(zip(keys, places))
+    lists = [(len(k), i, k, p) for i, (k, p) in enumerate(zip(keys, places))]
+    heapq.heapify(lists)
     while len(lists) > 1:
-        lists.sort(key=lambda x: len(x[0]))
-        (ka, pa_), (kb, pb) = lists[0], lists[1]
+        (_, _, ka, pa_), (_, i, kb, pb) = heapq.heappop(lists), lists[0]
         at = np.searchsorted(kb, ka)
         hit = at < len(kb)
         hit[hit] = kb[at[hit]] == ka[hit]
@@ -232,7 +245,7 @@ def merge_shards(keys: list[np.ndarray], places: list[np.ndarray], equal) -> np.
         old = np.ones(len(out_k), dtype=bool)
         old[put] = False
         out_k[put], out_p[put], out_k[old], out_p[old] = rest, pa_[~hit], kb, pb
-        lists[:2] = [(out_k, out_p)]
+        heapq.heapreplace(lists, (len(out_k), i, out_k, out_p))
     return np.concatenate(lost) if lost else np.zeros(0, np.int64)
 
 
@@ -312,6 +325,46 @@ def _block(t: pa.Table):
     return t, tie, *joined(t.column("data"))
 
 
+def marks(t: pa.Table, hot: int) -> pa.Table:
+    """The hashes of one bucket that occur twice in the corpus, for each shard that has them, with marks."""
+    buf, a, b = joined(t.column("hashes"))
+    value = np.frombuffer(buf.tobytes(), dtype=np.uint64)
+    more = joined(t.column("more"))[0]
+    size = (b - a) // 8
+    _, which, shards = np.unique(value, return_inverse=True, return_counts=True)
+    places = shards + np.bincount(which, more, len(shards)).astype(np.int64)
+    again = places[which] > 1
+    # 1: twice in one shard only, 2: in several shards, 3: there at very many places
+    mark = np.where(shards > 1, np.where(places > hot, 3, 2), 1).astype(np.uint8)[which]
+    owner = np.repeat(np.arange(len(size)), size)[again]
+    n = np.bincount(owner, minlength=len(size))
+    off = np.append(0, np.cumsum(n))
+    out = pa.table({"block": t.column("block"), "hashes": binary_array(value[again].view(np.uint8), off * 8),
+                    "mark": binary_array(mark[again], off)})
+    return out.filter(pa.array(n > 0))
+
+
+def routed_runs(buf: np.ndarray, owner: np.ndarray, may: np.ndarray, low: np.ndarray, value: np.ndarray, mark: np.ndarray):
+    """(starts, lengths, hash that routes each) of the runs of the candidates ``may``: neighbours of one document
+    that share a smallest hash, or the smallest long one where the hash is marked as very common."""
+    b, m = _runs(may, owner, low)
+    route = low[b]
+    heat = mark[np.searchsorted(value, route)] == 3 if len(b) else np.zeros(0, bool)
+    if heat.any():
+        # the stretches of neighbours, put together
+        s, e = b[heat], (b + m)[heat]
+        head = np.flatnonzero(np.append(True, (s[1:] != e[:-1]) | (owner[s[1:]] != owner[s[:-1]])))
+        s, n = s[head], np.add.reduceat(m[heat], head)
+        size = n + LENGTH - 1
+        at = ragged(s, size)
+        far = long_hashes(buf[at])
+        common = np.zeros(len(at), dtype=bool)
+        common[ragged(np.cumsum(size) - size, n)] = True
+        c, k = _runs(common, far)
+        b, m, route = np.concatenate((b[~heat], at[c])), np.concatenate((m[~heat], k)), np.concatenate((route[~heat], far[c]))
+    return b, m, route
+
+
 def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(blocks of documents, runs of starts whose 100 bytes start earlier in the corpus)."""
     rows = docs.select("doc_id", text_bytes().alias("data"))
@@ -321,34 +374,19 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) ->
 
     def send(t: pa.Table) -> pa.Table:
         _, _, buf, starts, ends = _block(t)
-        value, many = sent_hashes(buf, starts, ends)
+        value, more = sent_hashes(buf, starts, ends)
         to = spread(value, n_blocks)
         order = np.lexsort((value, to))
-        value, many, to = value[order], many[order], to[order]
+        value, more, to = value[order], more[order], to[order]
         head = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
         off = np.append(head, len(to))
         return pa.table({"bucket": pa.array(to[head], pa.int32()), "block": pa.array(np.full(len(head), t.column("block")[0].as_py()), pa.int32()),
-                         "hashes": binary_array(value.view(np.uint8), off * 8), "many": binary_array(many.view(np.uint8), off)})
+                         "hashes": binary_array(value.view(np.uint8), off * 8), "more": binary_array(more, off)})
 
     def reply(t: pa.Table) -> pa.Table:
-        buf, a, b = joined(t.column("hashes"))
-        value = np.frombuffer(buf.tobytes(), dtype=np.uint64)
-        many = joined(t.column("many"))[0].astype(bool)
-        size = (b - a) // 8
-        _, which, count = np.unique(value, return_inverse=True, return_counts=True)
-        any_many = np.zeros(len(count), dtype=bool)
-        any_many[which[many]] = True
-        again = (count[which] > 1) | any_many[which]
-        # 1: twice in one shard only, 2: in several shards, 3: in very many
-        mark = np.where(count[which] > hot, 3, np.where(count[which] > 1, 2, 1)).astype(np.uint8)
-        owner = np.repeat(np.arange(len(size)), size)[again]
-        n = np.bincount(owner, minlength=len(size))
-        off = np.append(0, np.cumsum(n))
-        out = pa.table({"block": t.column("block"), "hashes": binary_array(value[again].view(np.uint8), off * 8),
-                        "mark": binary_array(mark[again], off)})
-        return out.filter(pa.array(n > 0))
-
-    replies = (blocks.groupBy("block").applyInArrow(send, "bucket int, block int, hashes binary, many binary")
+        return marks(t, hot)
+
+    replies = (blocks.groupBy("block").applyInArrow(send, "bucket int, block int, hashes binary, more binary")
                .groupBy("bucket").applyInArrow(reply, "block int, hashes binary, mark binary"))
 
     run_schema = f"bucket int, block int, doc_id {kind}, tie int, at long, n long, size long, data binary"
@@ -368,13 +406,8 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) ->
         # repeats inside the shard: done, they only pass through (n = 0 marks them)
         owner_of = np.repeat(np.arange(len(starts)), ends - starts)
         a, n = _runs(gone, owner_of)
-        b, m = _runs(may, owner_of, low)
-        heat = mark[np.searchsorted(value, low[b])] == 3 if len(b) else np.zeros(0, bool)
-        single = ragged(b[heat], m[heat])  # strings of very common hashes go one by one
-        b, m = np.concatenate((b[~heat], single)), np.concatenate((m[~heat], np.ones(len(single), np.int64)))
-        to = spread(low[b], n_blocks)
-        if len(single):
-            to[len(to) - len(single):] = spread(range_hash(prefix_hash(buf), single, single + LENGTH), n_blocks)
+        b, m, route = routed_runs(buf, owner_of, may, low, value, mark)
+        to = spread(route, n_blocks)
         owner, size = owner_of[np.concatenate((a, b))], np.concatenate((np.zeros(len(a), np.int64), m + LENGTH - 1))
         data = buf[ragged(np.concatenate((a, b)), size)]
         return pa.table({

@@ -93,6 +93,74 @@ def test_smallest_hashes_in_steps(monkeypatch):
     assert set(value.tolist()) == chosen and many[value == grams[len(buf) - 150]].all()
 
 
+def _sent(texts, blocks):
+    """What the shards ``blocks``, a text each, send to one bucket."""
+    rows = []
+    for b, text in zip(blocks, texts):
+        value, more = repeats.sent_hashes(np.frombuffer(text, dtype=np.uint8), np.array([0]), np.array([len(text)]))
+        rows.append((b, value.tobytes(), more.astype(np.uint8).tobytes()))
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "hashes": pa.array([r[1] for r in rows], pa.binary()),
+                     "more": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def test_a_hash_of_many_shards_is_common_by_its_places_only():
+    """One passage in 300 shards makes 300 runs, which a task merges; bytes are not multiplied for it."""
+    rng = random.Random(8)
+    passage = bytes(rng.choices(b"abcdefgh", k=300))
+    t = _sent([passage] * 300, range(300))
+    assert set(b"".join(repeats.marks(t, repeats.HOT).column("mark").to_pylist())) == {2}
+    assert set(b"".join(repeats.marks(t, 299).column("mark").to_pylist())) == {3}
+    twice = _sent([passage + bytes(rng.choices(b"xyz", k=300)) + passage], [0])
+    assert set(b"".join(repeats.marks(twice, 0).column("mark").to_pylist())) == {1}
+
+
+def test_runs_of_common_hashes_stay_runs():
+    """Strings under common hashes take a few times the bytes of other runs at most; equal ones have equal routes."""
+    rng = random.Random(9)
+    passage = bytes(rng.choices(b"abcdefgh", k=2000))
+    text = bytes(rng.choices(b"xyz", k=700)) + passage + bytes(rng.choices(b"xyz", k=500)) + passage[100:]
+    buf = np.frombuffer(text, dtype=np.uint8)
+    starts, ends = np.array([0]), np.array([len(buf)])
+    _, low, fits = repeats.smallest_hashes(buf, ends, starts)
+    value = np.unique(low[fits])
+    route = {}
+    sent = {}
+    for kind in (2, 3):
+        b, m, by = repeats.routed_runs(buf, np.zeros(len(buf), np.int64), fits, low, value, np.full(len(value), kind, np.uint8))
+        at = ragged(b, m)
+        assert sorted(at.tolist()) == np.flatnonzero(fits).tolist()
+        for i, h in zip(at.tolist(), np.repeat(by, m).tolist()):
+            assert route.setdefault((kind, text[i:i + 100]), h) == h
+        sent[kind] = int((m + 99).sum())
+    assert sent[3] < 3 * sent[2] and sent[3] < 12 * len(text)
+    # one line in many contexts: its strings are dealt to many routes
+    line = bytes(rng.choices(b"abcdefgh", k=40))
+    texts = [bytes(rng.choices(b"mnop", k=90)) + line + bytes(rng.choices(b"qrst", k=90)) for _ in range(50)]
+    routes = set()
+    for text in texts:
+        buf = np.frombuffer(text, dtype=np.uint8)
+        far = repeats.long_hashes(buf)
+        routes |= set(far.tolist())
+    assert len(routes) > 100
+
+
+def test_many_small_lists_are_merged_without_sorting_them_anew():
+    """The lists are handled a few times each, not once for every merge."""
+    class Counted(np.ndarray):
+        asked = 0
+
+        def __len__(self):
+            Counted.asked += 1
+            return super().__len__()
+
+    n = 400
+    keys = [np.array([i % 7, 100 + i], dtype=np.uint64).view(Counted) for i in range(n)]
+    places = [np.array([2 * i, 2 * i + 1]) for i in range(n)]
+    lost = set(repeats.merge_shards(keys, places, lambda a, b: None).tolist())
+    assert lost == {2 * i for i in range(7, n)}
+    assert Counted.asked < 30 * n
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=30), min_size=1, max_size=8), st.lists(st.integers(1, 4), min_size=1, max_size=4))
 def test_fm_index(runs, pattern):
