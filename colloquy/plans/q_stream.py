@@ -7,15 +7,18 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.gold import SPLIT_BYTES
 from colloquy.plans import register
 from colloquy.plans.sqlgen import meetings_ctes
-from colloquy.session import ensure_checkpoint_dir
-from colloquy.sources.meetings import meetings_raw
+from colloquy.session import bounded_tasks, ensure_checkpoint_dir
+from colloquy.sources.meetings import meetings_raw, n_tasks
 from colloquy.streaming import pending, windows
 
 TS = "yyyy-MM-dd HH:mm:ss"
-#: Files (of at most ``MEETINGS_PER_TASK`` rows each) of one micro-batch.
+#: Files (of about ``SPLIT_BYTES`` each) of one micro-batch.
 BATCH_FILES = 100
+#: Buckets of the keyed state for each task's ``MEETINGS_PER_TASK`` meetings, so that a bucket does not grow with the input.
+BUCKETS_PER_TASK = 32
 
 
 def sliding_kpi(spark, sf) -> DataFrame:
@@ -63,14 +66,19 @@ def parts_of(spark, sf) -> DataFrame:
 def complete_meetings(spark, sf) -> DataFrame:
     """Meetings that the keyed state completes from a stream of parts, summaries and infos in batches of their own."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/parts-{uuid.uuid4().hex}"
+    n = n_tasks(spark, sf)
     rows = pending.with_validity(parts_of(spark, sf))
     files = 0
-    for part in ("summary", "meeting-info"):
-        rows.where(F.col("part") == part).write.mode("append").parquet(root)
-        files = files or len(spark.read.parquet(root).inputFiles())
-    # a part's files in one batch, or as many as make a few million rows: every batch costs a commit of all state
-    events = pending.track(windows.table_stream(spark, root, max_files_per_trigger=min(files, BATCH_FILES)))
-    done = windows.collected(events, "complete-meetings", mode="update", timers=True).where(F.col("event").isin("complete", "repaired"))
+    with bounded_tasks(spark, n, SPLIT_BYTES):
+        rows.write.partitionBy("part").parquet(f"{root}-made")  # the meetings are built once for both parts
+        made = spark.read.schema(rows.schema).parquet(f"{root}-made").select(*rows.columns)
+        for part in ("summary", "meeting-info"):
+            made.where(F.col("part") == part).write.mode("append").parquet(root)
+            files = files or len(spark.read.parquet(root).inputFiles())
+        # a part's files in one batch, or as many as make some million rows: every batch costs a commit of all state
+        stream = windows.table_stream(spark, root, max_files_per_trigger=min(files, BATCH_FILES))
+        events = pending.track(stream, buckets=n * BUCKETS_PER_TASK)
+        done = windows.collected(events, "complete-meetings", mode="update", timers=True).where(F.col("event").isin("complete", "repaired"))
     m = pending.meetings_of(done)
     return m.select("meeting_id", "title", F.date_format("start_time", TS).alias("start"), "sentiment_score", F.array_join("topics", "|").alias("topics"), "summary",
                     F.size("key_moments").alias("n_moments"))

@@ -1,7 +1,9 @@
 """Meetings whose parts arrive one by one: held in keyed state until complete, retried, dead-lettered, repaired.
 
 Every part file is one row of the stream.  Per meeting the state holds the valid parts, the parts
-that do not parse, the tries and a status:
+that do not parse, the tries, a status and a timer.  The state is keyed by buckets of meetings (by a hash
+of the id): a call of Python then takes all meetings of a bucket that a delivery brings, where a call for each
+meeting costs far more than the step itself.  A bucket's timer is the earliest of its meetings'.
 
 * waiting   until the trigger part is seen and all required parts are valid; then one ``complete``
             event carries all parts.
@@ -24,9 +26,11 @@ notices, dead letters and counters.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +45,9 @@ from colloquy.streaming.windows import data_batches_only
 TRIGGER, REQUIRED, MAX_TRIES = "meeting-info", ("meeting-info", "summary"), 3
 RETRY_MS, KEEP_MS = 60_000, 86_400_000
 EVENT = "meeting_id string, event string, tries int, reason string, parts map<string,string>, at timestamp"
-STATE = "parts map<string,string>, bad map<string,string>, tries int, status string"
+#: State of a bucket: per meeting the valid parts, those that do not parse, tries, status and when its timer is due; JSON, packed.
+STATE = "size long, meetings binary"
+BUCKETS = 4096
 
 
 def part_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -76,38 +82,62 @@ def _lacking(parts: dict, bad: dict) -> str:
     return ", ".join(f"{p} {bad.get(p, 'is missing')}" for p in REQUIRED if p not in parts)
 
 
-def track(parts: DataFrame, retry_ms: int = RETRY_MS, keep_ms: int = KEEP_MS, max_tries: int = MAX_TRIES) -> DataFrame:
-    """Events (complete, retry, dead, repaired) of a stream of parts."""
+def _packed(meetings: dict) -> tuple[int, bytes]:
+    raw = json.dumps(meetings, ensure_ascii=False, separators=(",", ":")).encode()
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(size: int, held: bytes) -> dict:
+    return json.loads(pa.decompress(held, decompressed_size=size, codec="zstd", asbytes=True))
+
+
+def track(parts: DataFrame, retry_ms: int = RETRY_MS, keep_ms: int = KEEP_MS, max_tries: int = MAX_TRIES, buckets: int = BUCKETS) -> DataFrame:
+    """Events (complete, retry, dead, repaired) of a stream of parts.  ``buckets``, like the shuffle partitions, holds for the life of a checkpoint."""
+
+    def timer(held: dict, bad: dict, status: str, now: int) -> int | None:
+        if status != "waiting":
+            return now + keep_ms
+        return now + retry_ms if TRIGGER in held or bad else None
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, bad, tries, status = ({}, {}, 0, "waiting")
-        if state.exists:
-            held, bad, tries, status = state.get
-            held, bad = dict(held or {}), dict(bad or {})
-        event = None
-        if state.hasTimedOut:
+        now = state.getCurrentProcessingTimeMs()
+        meetings = _unpacked(*state.get) if state.exists else {}
+        delivered: dict = {}
+        if not state.hasTimedOut:
+            for b in batches:
+                for meeting, *row in zip(b["meeting_id"], b["part"], b["body"], b["valid"]):
+                    delivered.setdefault(meeting, []).append(tuple(row))
+        events = []
+        for meeting, rows in delivered.items():
+            held, bad, tries, status, _ = meetings.get(meeting) or ({}, {}, 0, "waiting", None)
+            changed = _advance(held, bad, sorted(rows, key=str) if len(rows) > 1 else rows)
+            if changed and not _lacking(held, bad):
+                event, status = ("complete" if status == "waiting" else "repaired"), "complete"
+                events.append((meeting, event, tries, "", held))
+            meetings[meeting] = (held, bad, tries, status, timer(held, bad, status, now))
+        for meeting in [m for m, (*_, due) in meetings.items() if due is not None and due < now and m not in delivered]:
+            held, bad, tries, status, _ = meetings[meeting]
             if status != "waiting":
-                state.remove()
-                return
+                del meetings[meeting]
+                continue
             tries += 1
             event = "dead" if tries >= max_tries else "retry"
             status = "dead" if tries >= max_tries else status
+            events.append((meeting, event, tries, _lacking(held, bad), held if event != "retry" else {}))
+            meetings[meeting] = (held, bad, tries, status, timer(held, bad, status, now))
+        if not meetings:
+            state.remove()
         else:
-            rows = [r for b in batches for r in sorted(zip(b["part"], b["body"], b["valid"]), key=str)]
-            changed = _advance(held, bad, rows)
-            if changed and not _lacking(held, bad):
-                event, status = ("complete" if status == "waiting" else "repaired"), "complete"
-        state.update((held, bad, tries, status))
-        if status != "waiting":
-            state.setTimeoutDuration(keep_ms)
-        elif TRIGGER in held or bad:
-            state.setTimeoutDuration(retry_ms)
-        if event:
-            yield pd.DataFrame({"meeting_id": [key[0]], "event": [event], "tries": [tries], "reason": [_lacking(held, bad)],
-                                "parts": [held if event != "retry" else {}], "at": [pd.Timestamp.now(tz="UTC").tz_localize(None)]})
-
-    keyed = parts.where(F.col("meeting_id").isNotNull()).groupBy("meeting_id")
-    return keyed.applyInPandasWithState(step, EVENT, STATE, "update", "ProcessingTimeTimeout")
+            state.update(_packed(meetings))
+            if due := [d for *_, d in meetings.values() if d is not None]:
+                state.setTimeoutDuration(max(1, min(due) - now))
+        if events:
+            at = pd.Timestamp.now(tz="UTC").tz_localize(None)
+            yield pd.DataFrame(events, columns=["meeting_id", "event", "tries", "reason", "parts"]).assign(at=at)
+
+    bucket = F.pmod(F.xxhash64("meeting_id"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = parts.where(F.col("meeting_id").isNotNull()).select(bucket, "meeting_id", "part", "body", "valid")
+    return rows.groupBy("bucket").applyInPandasWithState(step, EVENT, STATE, "update", "ProcessingTimeTimeout")
 
 
 def _of(part: str, schema: T.StructType) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.operators.records import RECORD_COLUMNS, enrich
 from colloquy.operators.redaction import sanitize_meetings
 from colloquy.sources.raw_json import read_meetings
-from colloquy.streaming import pending
+from colloquy.streaming import pending, windows
 
 
 def put(root, meeting, part, body):
@@ -110,3 +110,50 @@ def test_steps_of_one_delivery():
     assert not pending._advance(parts, bad, [("summary", "{", False)]) and pending._lacking(parts, bad) == "meeting-info is missing, summary does not parse"
     assert pending._advance(parts, bad, [("summary", "{}", True), ("meeting-info", "{}", True)]) and not bad and pending._lacking(parts, bad) == ""
     assert not pending._advance(parts, bad, [("summary", "{}", True), ("summary", "{", False)])
+
+
+def test_state_is_kept_by_buckets_of_meetings(spark, scratch):
+    """Python is called for a bucket, not for a meeting; every meeting of it has its own event."""
+    root, seen = os.path.join(scratch, "parts"), []
+    rows = [(f"m{i}", part, json.dumps(body(i)) if part == "meeting-info" or i % 7 else "{") for part, body in (("summary", summary), ("meeting-info", info)) for i in range(60)]
+    for part in ("summary", "meeting-info"):
+        df = spark.createDataFrame([r for r in rows if r[1] == part], "meeting_id string, part string, body string")
+        pending.with_validity(df).coalesce(1).write.mode("append").parquet(root)
+    events = pending.track(windows.table_stream(spark, root, max_files_per_trigger=1), buckets=3)
+    with windows.data_batches_only(spark):
+        q = (events.writeStream.outputMode("update").foreachBatch(lambda df, b: seen.extend(df.collect())).option("checkpointLocation", os.path.join(scratch, "ck"))
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert {(r["meeting_id"], r["event"]) for r in seen} == {(f"m{i}", "complete") for i in range(60) if i % 7} and len(seen) == 51
+    assert {r["meeting_id"]: dict(r["parts"]) for r in seen} == {f"m{i}": {"meeting-info": json.dumps(info(i)), "summary": json.dumps(summary(i))} for i in range(60) if i % 7}
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+def test_meetings_of_one_bucket_have_timers_of_their_own(spark, scratch):
+    root = os.path.join(scratch, "raw")
+    put(root, "done", "meeting-info", info(1))
+    put(root, "done", "summary", summary(1))
+    put(root, "late", "meeting-info", info(2))
+    put(root, "early", "summary", summary(3))  # no trigger part: no timer
+    events, sent = [], set()
+
+    def of(kind):
+        return {r["meeting_id"] for r in events if r["event"] == kind}
+
+    q = (pending.track(pending.part_stream(spark, root), retry_ms=200, keep_ms=3000, buckets=1).writeStream.outputMode("update")
+         .foreachBatch(lambda df, b: events.extend(df.collect())).option("checkpointLocation", os.path.join(scratch, "ck")).trigger(processingTime="100 milliseconds").start())
+    until = time.time() + 90
+    while not (of("complete") >= {"done", "early"} and of("repaired") >= {"late"}):
+        assert q.exception() is None and time.time() < until, q.exception()
+        if "late" in of("dead") and "late" not in sent:
+            sent.add("late")
+            put(root, "late", "summary", summary(2))
+            put(root, "early", "meeting-info", info(3))
+        time.sleep(0.1)
+    while not q.lastProgress or q.lastProgress["stateOperators"][0]["numRowsTotal"] > 0:  # keep_ms after: the bucket goes with its last meeting
+        assert q.exception() is None and time.time() < until, q.exception()
+        time.sleep(0.2)
+    q.stop()
+    assert of("complete") == {"done", "early"} and of("dead") == of("repaired") == {"late"}
+    assert sorted(r["tries"] for r in events if r["meeting_id"] == "late") == [1, 2, 3, 3]
+    assert [r["reason"] for r in events if r["event"] == "dead"] == ["summary is missing"]
